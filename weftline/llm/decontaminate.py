@@ -7,41 +7,41 @@ from pyspark.sql import functions as F
 
 from .common import KEY, cut, row_key, words
 
-#: Windows are broadcast up to this many (at most about 100 bytes of words each, 100 MB); more are joined by shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Windows broadcast at once (about 200 bytes each, 100 MB); a larger set is scanned for in blocks of this size.
+BROADCAST_WINDOWS = 500_000
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, window, length, hash): each width consecutive words of an item, or all its words if fewer."""
+    """(_item, _window, _anchor, _at): each width consecutive words of an item, or all its words if fewer.
+
+    The anchor is the word of the window that fewest windows have, the longest
+    of these, and _at its place; the n-gram is hashed by it.
+    """
     items = benchmark.select(F.col(item_col).cast("string").alias("_item"), words(F.col(text_col)).alias("_words")).where(F.size("_words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - width + 1, F.lit(1)))
-    items = items.select("_item", F.explode(F.transform(starts, lambda i: F.slice("_words", i, width))).alias("_window"))
-    return items.select("_item", "_window", F.size("_window").alias("_len"), F.xxhash64("_window").alias("_hash")).distinct()
-
-
-def _window_hashes(n: int):
-    """The hash of each n words in a row."""
-    return F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.xxhash64(F.slice("_words", i, n)))
+    windows = cut(items.select("_item", F.explode(F.transform(starts, lambda i: F.slice("_words", i, width))).alias("_window")).distinct())
+    places = windows.select("_item", "_window", F.posexplode("_window").alias("_at", "_anchor"))
+    often = places.groupBy("_anchor").agg(F.count("*").alias("_often"))
+    choice = F.struct("_often", (-F.length("_anchor")).alias("_short"), "_anchor", "_at")
+    return places.join(often, "_anchor").groupBy("_item", "_window").agg(F.min(choice).alias("_c")).select("_item", "_window", "_c._anchor", "_c._at")
 
 
-def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, start, length, item) of the occurrences, confirmed word by word.
+def _hits(docs: DataFrame, windows: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, start, length, item) of the occurrences.
 
-    The words stay beside the exploded hashes; generated code passes a reference,
-    so only rows that meet a window are ever built.
+    Every word probes the broadcast table of windows by anchor, and where it is
+    found, the words around it are compared with the window's. The words stay
+    beside the exploded ones; generated code passes a reference, so only rows
+    that meet a window are ever built.
     """
     texts = docs.select(*row_key(id_col, text_col), words(F.col(text_col)).alias("_words"))
-    found = None
-    for n in lengths:
-        own = windows.where(F.col("_len") == n).drop("_len")
-        own = F.broadcast(own) if rows <= BROADCAST_WINDOWS else own
-        hashes = _window_hashes(n)
-        at = texts.where(F.size("_words") >= n).select(*KEY, "_words", F.posexplode(hashes).alias("_start", "_hash"))
-        if rows > BROADCAST_WINDOWS:  # only the window's own words travel
-            at = at.select(*KEY, "_start", "_hash", F.slice("_words", F.col("_start") + 1, n).alias("_at"))
-        else:
-            at = at.withColumn("_at", F.slice("_words", F.col("_start") + 1, n))
-        at = at.join(own, "_hash").where(F.col("_at") == F.col("_window")).select(*KEY, "_start", F.lit(n).alias("_len"), "_item")
+    blocks, found = max(1, -(-rows // BROADCAST_WINDOWS)), None
+    for k in range(blocks):
+        own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("_item", "_window"), F.lit(blocks)) == k)
+        at = texts.select(*KEY, "_words", F.posexplode("_words").alias("_pos", "_anchor")).join(F.broadcast(own), "_anchor")
+        start = F.col("_pos") - F.col("_at")
+        at = at.where((start >= 0) & (F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.size("_window")) == F.col("_window")))
+        at = at.select(*KEY, start.alias("_start"), F.size("_window").alias("_len"), "_item")
         found = at if found is None else found.unionByName(at)
     return found
 
@@ -57,13 +57,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
     """
     new = ["n_words", "n_hit", "items", "spans"]
     windows = cut(benchmark_windows(benchmark, width, item_col, item_text_col))
-    seen = {r["_len"]: r["n"] for r in windows.groupBy("_len").agg(F.count("*").alias("n")).collect()}
+    n_windows = windows.count()
     own = [c for c in docs.columns if c not in new]
     rows = docs.select(*own, *row_key(id_col, text_col), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     none = {"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:int,end:int>>")}
-    if not seen:
+    if not n_windows:
         return rows.select(*own, "n_words", *[v.alias(k) for k, v in none.items()])
-    hits = _hits(docs, windows, sorted(seen), sum(seen.values()), id_col, text_col)
+    hits = _hits(docs, windows, n_windows, id_col, text_col)
     w = Window.partitionBy(*KEY).orderBy("_start", "_end")
     spans = hits.groupBy(*KEY, "_start", (F.col("_start") + F.col("_len")).alias("_end")).agg(F.collect_set("_item").alias("_items"))
     spans = spans.withColumn("_reach", F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
