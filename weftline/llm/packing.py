@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -12,79 +13,69 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Strings kept with their ids in a worker before the memory is cleared (about 200 bytes each).
-MEMORY = 400_000
+#: Fixed value: the parts that byte-level pre-tokenization cuts a text into before merging.
+PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces packed together in one task.
 GROUP = 50_000
 
 
-class ChunkEncoder:
-    """Encodes texts through a cache of the strings between single spaces.
+class Encoder:
+    """Encodes texts with the vocabulary of a tokenizers file, by the faster tiktoken where both must agree.
 
-    The tokenizer splits a text by its pattern before merging, and a single space
-    or line feed between two other characters always begins a part of its own,
-    so such strings can be encoded apart. Texts with two white-space characters
-    in a row, or with a special token's string, are encoded whole.
+    They agree if the file is a plain byte-level BPE whose ids follow the order
+    of its merges and whose parts are those of PARTS; texts that hold the string
+    of an added token, and all texts of any other file, go to tokenizers.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = "|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.whole = regex.compile(r"\s\s" + (f"|{special}" if special else ""))
-        self.known: dict[str, bytes] = {}
-        self.newline = self._encode("\n")
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        known, plain = self.known, []
-        if len(known) > MEMORY:
-            known.clear()
-        missing: set[str] = set()
-        for text in texts:
-            if self.whole.search(text):
-                plain.append(None)
-                continue
-            lines = []
-            for line in text.split("\n"):
-                parts = line.replace(" ", "\0 ").split("\0") if "\0" not in line else None
-                if parts is None:
-                    lines = None
-                    break
-                lines.append(parts if parts[0] else parts[1:])
-                missing.update(p for p in lines[-1] if p not in known)
-            plain.append(lines)
-        if missing:
-            order = list(missing)
-            for p, e in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, np.uint32).tobytes()
-        out = []
-        for text, lines in zip(texts, plain, strict=True):
-            data = self._encode(text) if lines is None else self.newline.join(b"".join([known[p] for p in parts]) for parts in lines)
-            out.append(np.frombuffer(data, np.uint32))
-        return out
-
-
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self._ranked(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _ranked(spec: dict):
+        import tiktoken
+
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        odd = [spec["normalizer"], spec["truncation"], model.get("dropout"), model.get("unk_token"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("ignore_merges")]
+        if not plain or any(odd):
+            return None
+        # Byte-level vocabularies write bytes that don't print as the characters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        added = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        ids = [model["vocab"][m] for m in merged]
+        if ids != sorted(ids) or len(ranks) != 256 + len(merged):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One encoder a worker and path."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids) of every row: the ids of its text and end_id, cut if over capacity.
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, ids) of every row: the ids of its text and end_id, cut if over capacity.
 
     All pieces of a cut document are full except the first. Null text counts as
-    empty and gives end_id alone.
+    empty and gives end_id alone. ids are little-endian unsigned 32-bit numbers,
+    and null without with_ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,19 +83,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                rows: list[list] = [[], [], [], [], []]
+                rows: list[list] = [[], [], [], [], [], []]
                 ids_in = part.column(0).to_pylist()
-                for doc, ids in zip(ids_in, own.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for doc, text in zip(ids_in, part.column(1).to_pylist(), strict=True):
+                    ids = np.append(own.encode(text or ""), np.uint32(end_id)).astype("<u4")
                     first = len(ids) % capacity or capacity
                     for k, start in enumerate([0, *range(first, len(ids), capacity)]):
                         stop = first if k == 0 else start + capacity
-                        for column, value in zip(rows, (doc, k, start, stop - start, ids[start:stop].tobytes()), strict=True):
+                        for column, value in zip(rows, (doc, k, start, stop - start, crc32_of(ids[start:stop]), ids[start:stop].tobytes() if with_ids else None), strict=True):
                             column.append(value)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["_id", "piece", "start", "length", "ids"])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     numbers. Every row is packed, repeated rows and rows with a null id too.
     An empty table gives an empty table.
     """
-    made = pieces(docs, tokenizer, capacity, end_id, id_col, text_col)
-    made = cut(made.select("_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    made = cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids=False).drop("ids"))
     return pack(made, capacity).withColumnRenamed("_id", id_col)
 
 
