@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold_of
+from .tokens import mix
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Hashed feature space; a power of two.
@@ -33,22 +33,47 @@ class Crf:
     first: np.ndarray
     lexicon: dict[str, int] = field(default_factory=dict)
 
-    def features(self, word: str) -> np.ndarray:
-        return feature_ids(word, self.lexicon)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """(words, labels) sums of the weights of each word's features."""
+        owner, ids = features(words, self.lexicon)
+        return np.stack([np.bincount(owner, self.weights[ids, y], minlength=len(words)) for y in range(len(self.labels))], axis=1)
 
 
-def feature_ids(word: str, lexicon: dict[str, int]) -> np.ndarray:
-    """Affixes up to four letters, letter 2- and 3-grams with edges, the word itself and its lexicon. Distinct, hashed.
+_U = np.uint64
 
-    Only the 64 letters at each end of a longer run of letters are looked at, as its affixes.
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hashed feature) pairs: affixes up to four letters, letter 2- and 3-grams with edges, the word, its lexicon, a bias.
+
+    Only the 64 letters at each end of a longer run of letters are looked at.
     """
-    if len(word) > 128:
-        word = word[:64] + word[-64:]
-    w = f"^{word}$"
-    names = {f"p{word[:n]}" for n in (1, 2, 3, 4)} | {f"s{word[-n:]}" for n in (1, 2, 3, 4)}
-    names |= {f"b{w[i : i + 2]}" for i in range(len(w) - 1)} | {f"t{w[i : i + 3]}" for i in range(len(w) - 2)}
-    names |= {"w" + word, f"l{lexicon.get(word, -1)}", "bias"}
-    return np.fromiter({zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names}, np.int64)
+    words = [w if len(w) <= 128 else w[:64] + w[-64:] for w in words]
+    n = len(words)
+    size = np.fromiter((len(w) for w in words), np.int64, n)
+    chars = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
+    start = np.concatenate(([0], np.cumsum(size + 2)))[:-1]
+    word = np.repeat(np.arange(n), size + 2)
+    factor = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5)]
+    code = lambda kind, *cs: mix(sum(c * f for c, f in zip(cs, factor, strict=False)) + _U(kind * 0x1000003))
+    owner, out = [], []
+
+    def add(who: np.ndarray, made: np.ndarray) -> None:
+        owner.append(who)
+        out.append((made % _U(FEATURES)).astype(np.int64))
+
+    for width in (2, 3):
+        same = np.flatnonzero(word[: 1 - width] == word[width - 1 :])
+        add(word[same], code(width, *[chars[same + k] for k in range(width)]))
+    for width in (1, 2, 3, 4):
+        own = np.flatnonzero(size >= width)
+        add(own, code(10 + width, *[chars[start[own] + 1 + k] for k in range(width)]))
+        add(own, code(20 + width, *[chars[start[own] + size[own] - k] for k in range(width)]))
+    if n:
+        place = (np.arange(len(chars)) - np.repeat(start, size + 2)).astype(_U)
+        add(np.arange(n), code(30, np.add.reduceat(mix(chars + place * factor[1]), start)))
+        add(np.arange(n), code(40, np.fromiter((lexicon.get(w, -1) + 2 for w in words), np.int64, n).astype(_U)))
+        add(np.arange(n), code(50, np.ones(n, _U)))
+    return np.concatenate(owner), np.concatenate(out)
 
 
 def _chains(text: str) -> list[list[str]]:
@@ -62,9 +87,9 @@ def _forward_backward(score: np.ndarray, lengths: np.ndarray, trans: np.ndarray,
     With pairs, also the expected counts of transitions.
     """
     n, t_max, k = score.shape
-    e = np.exp(score - score.max(axis=2, keepdims=True))
-    a = np.exp(trans - trans.max())
-    alpha, beta = np.empty_like(e), np.ones_like(e)
+    e = np.exp(np.maximum(score - score.max(axis=2, keepdims=True), -40.0), dtype=np.float64)
+    a = np.exp(np.maximum(trans - trans.max(), -40.0))
+    alpha, beta = np.ones_like(e), np.ones_like(e)
     live = [int(np.searchsorted(-lengths, -t, "left")) for t in range(t_max)]  # chains longer than t
     alpha[:, 0] = e[:, 0] * np.exp(first - first.max())
     alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
@@ -123,9 +148,10 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.25, l2: fl
     chains += joined
 
     vocabulary = {w: i for i, w in enumerate(sorted(seen))}
-    ids = [feature_ids(w, lexicon) for w in vocabulary]
-    f_word, f_id = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids)
-    f_start = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    f_word, f_id = features(list(vocabulary), lexicon)
+    order = np.argsort(f_word, kind="stable")
+    f_word, f_id = f_word[order], f_id[order]
+    f_start = np.searchsorted(f_word, np.arange(len(vocabulary) + 1))
     weights, trans, first = np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros(k)
     squares = [np.full_like(x, 1e-2) for x in (weights, trans, first)]
     coded = [(np.array([vocabulary[w] for w in c]), np.array(y)) for c, y in chains]
@@ -174,9 +200,9 @@ class Tagger:
     def _add(self, words: list[str]) -> None:
         while len(self.ids) + len(words) > len(self.scores):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-        for w in words:
-            self.scores[len(self.ids)] = self.model.weights[self.model.features(w)].sum(axis=0)
-            self.ids[w] = len(self.ids)
+        if words:
+            self.scores[len(self.ids) : len(self.ids) + len(words)] = self.model.scores(words)
+            self.ids.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
 
     def word_posteriors(self, texts: list[str], pad: int = 400_000) -> list[np.ndarray]:
         """(words, labels) probabilities of each text."""
