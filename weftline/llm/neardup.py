@@ -166,11 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int, id_co
             keep = []
             a_sets, b_sets = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
-                a, b = np.frombuffer(a_sets[i].as_buffer(), _U), np.frombuffer(b_sets[i].as_buffer(), _U)
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    continue
-                common = len(a) + len(b) - len(np.union1d(a, b))
-                if 100 * common >= percent * (len(a) + len(b) - common) and common:
+                if _similar(np.frombuffer(a_sets[i].as_buffer(), _U), np.frombuffer(b_sets[i].as_buffer(), _U), percent):
                     keep.append(i)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["_a", "_b"])
@@ -203,35 +199,77 @@ def connected_components(edges: DataFrame, a: str = "_a", b: str = "_b") -> Data
     return edges.select(F.col("u").alias("_id"), F.col("v").alias("_component")).unionByName(edges.select(F.col("v").alias("_id"), F.col("v").alias("_component")).distinct())
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, sketch: Sketch, at_least: float, block: int = 1024) -> DataFrame:
-    """Likely pairs across components inside the buckets that still hold several components.
+def _mates(t: pa.Table, sketch: Sketch, percent: int, at_least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a bucket's block, the rows it may link with in another component.
 
-    A bucket of g members is dealt into ceil(g / block) parts, and each two
-    parts meet in a task of their own, so no task holds more than two blocks.
+    A pair is left to the first band that both rows share, so no other bucket sees it again.
+    """
+    ids, comp, part, n = (t.column(c).to_numpy() for c in ("_id", "_component", "_part", "_n"))
+    lo, hi, key = t.column("_lo")[0].as_py(), t.column("_hi")[0].as_py(), t.column("_key")[0].as_py()
+    regs = np.frombuffer(b"".join(t.column("_regs").to_pylist()), np.uint8).reshape(len(ids), -1)
+    keys = sketch.keys(regs)
+    band = int(np.flatnonzero(keys[0] == key)[0])
+    for i in range(len(ids)):
+        mates = (comp > comp[i]) if lo == hi else ((comp != comp[i]) & (part[i] == lo) & (part == hi))
+        mates = np.flatnonzero(mates & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        mates = mates[~(keys[mates, :band] == keys[i, :band]).any(axis=1)]
+        if len(mates):
+            sizes = n[mates].astype(float)
+            near = sketch.jaccard(np.broadcast_to(regs[i], (len(mates), regs.shape[1])), regs[mates], np.full(len(mates), float(n[i])), sizes) >= at_least
+            if near.any():
+                yield i, mates[near]
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |A and B| >= percent * |A or B|, of sorted distinct arrays."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = len(a) + len(b) - len(np.union1d(a, b))
+    return bool(common) and 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _open_links(members: DataFrame, classes: DataFrame, docs: DataFrame, sketch: Sketch, percent: int, at_least: float, width: int, id_col: str, text_col: str, block: int = 1024) -> DataFrame:
+    """Verified links (a, b) across components inside the buckets that still hold several; enough to join what links join.
+
+    A bucket of g members is dealt into ceil(g / block) parts, and each two parts
+    meet in a task of their own, so no task holds more than two blocks. A first
+    pass over sketches picks the members with a likely mate, a second verifies
+    theirs on full sets; pairs are never written, and a pair whose rows have been
+    joined meanwhile is skipped.
     """
     parts = members.withColumn("_parts", F.ceil(F.col("_g") / block).cast("int")).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("_parts") - 1)
-    parts = parts.select("_key", "_id", "_component", "_part", F.explode(other).alias("_other"))
+    parts = parts.select("_key", "_id", "_component", "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
     parts = parts.select("_key", "_id", "_component", "_part", F.least("_part", "_other").alias("_lo"), F.greatest("_part", "_other").alias("_hi"))
-    parts = parts.join(classes.select("_id", "_n", "_regs"), "_id")
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, comp, part = (t.column(c).to_numpy() for c in ("_id", "_component", "_part"))
-        lo, hi = t.column("_lo")[0].as_py(), t.column("_hi")[0].as_py()
-        regs = np.frombuffer(b"".join(t.column("_regs").to_pylist()), np.uint8).reshape(len(ids), -1)
-        n = t.column("_n").to_numpy().astype(float)
-        a_out, b_out = [], []
-        for i in range(len(ids)):
-            mates = (comp > comp[i]) if lo == hi else ((comp != comp[i]) & (part[i] == lo) & (part == hi))
-            mates = np.flatnonzero(mates & (100 * np.minimum(n, n[i]) >= 60 * np.maximum(n, n[i])))
-            if len(mates):
-                near = mates[sketch.jaccard(np.broadcast_to(regs[i], (len(mates), regs.shape[1])), regs[mates], np.full(len(mates), n[i]), n[mates]) >= at_least]
-                a_out.append(np.minimum(ids[i], ids[near]))
-                b_out.append(np.maximum(ids[i], ids[near]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"_a": np.concatenate(a_out or empty), "_b": np.concatenate(b_out or empty)})
-
-    return parts.groupBy("_key", "_lo", "_hi").applyInArrow(run, "_a long, _b long").distinct()
+    full = classes.select("_id", "_n", "_regs")
+    by = ["_key", "_lo", "_hi"]
+
+    def pick(t: pa.Table) -> pa.Table:
+        used: set[int] = set()
+        for i, mates in _mates(t, sketch, percent, at_least):
+            used.update([i, *mates.tolist()])
+        return t.select([*by, "_id", "_component", "_part"]).take(pa.array(sorted(used), pa.int64()))
+
+    def verify(t: pa.Table) -> pa.Table:
+        ids, sets = t.column("_id").to_numpy(), [np.frombuffer(x.as_buffer(), _U) for x in t.column("_set")]
+        root = {c: c for c in t.column("_component").to_pylist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        comp, out = t.column("_component").to_pylist(), []
+        for i, mates in _mates(t, sketch, percent, at_least):
+            for j in mates.tolist():
+                if find(comp[i]) != find(comp[j]) and _similar(sets[i], sets[j], percent):
+                    root[find(comp[i])] = find(comp[j])
+                    out.append((ids[i], ids[j]))
+        return pa.table({"_a": pa.array([a for a, _ in out], pa.int64()), "_b": pa.array([b for _, b in out], pa.int64())})
+
+    picked = cut(parts.join(full, "_id").groupBy(*by).applyInArrow(pick, "_key long, _lo int, _hi int, _id long, _component long, _part int"))
+    wanted = cut(picked.select("_id").distinct())
+    sets = _sets(docs, wanted, wanted.count(), width, id_col, text_col)
+    return picked.join(full, "_id").join(sets, "_id").groupBy(*by).applyInArrow(verify, "_a long, _b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch: Sketch | None = None, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,8 +287,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     share a band meet through the least id of their bucket; a pair goes on if
     the likelihood of its registers peaks within margin of the bound, and is
     verified on the full sets. Buckets that still hold several components then
-    have all their likely pairs across components verified, so what one pivot
-    misses is not lost.
+    have all their likely pairs across components verified, a block of a bucket
+    at a time, so what one pivot misses is not lost.
     """
     sketch = sketch or Sketch()
     docs = docs.select(id_col, text_col)
@@ -269,9 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     # What the pivots left open: buckets of three or more whose members are still in several components.
     members = shared.where(F.col("_g") > 2).join(parts, "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
     mixed = members.groupBy("_key").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("_key")
-    open_pairs = _open_pairs(members.join(mixed, "_key", "left_semi"), classes, sketch, percent / 100 - margin)
-    open_pairs = cut(open_pairs.join(likely, ["_a", "_b"], "left_anti"))
-    more = _verified(open_pairs, docs, percent, width, id_col, text_col)
+    more = _open_links(members.join(mixed, "_key", "left_semi"), classes, docs, sketch, percent, percent / 100 - margin, width, id_col, text_col)
     # A repeated id joins the classes of its texts.
     same = valid.select("_id", "_f1", "_f2").distinct().join(classes.select("_f1", "_f2", F.col("_id").alias("_rep")), ["_f1", "_f2"])
     same = cut(same.select("_id", "_rep"))
