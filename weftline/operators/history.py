@@ -35,14 +35,16 @@ def split_system(messages: DataFrame, by: str = "conv_id", order: str = "turn",
     return messages.groupBy(by).agg(F.max_by(text, order).alias("_x"), F.expr(f"max_by(`{text}`, `{order}`) FILTER (WHERE `{role}` = 'system')").alias("system")).drop("_x")
 
 
-def head_and_tail(c: Column, limit: int = 3000, marker: str = "\n... (middle omitted) ...\n") -> Column:
-    """Short texts as they are; longer ones as their first and last three lines, or, on six lines or fewer, as their ends."""
+def head_and_tail(c: Column, limit: int = 3000) -> Column:
+    """Short texts as they are; a long line as its ends; long lines as the first three and, of more than six, the last three, cut to limit."""
+    cut_mark, gap_mark = " ... (contenido truncado) ...", "... (contenido intermedio omitido para reducir contexto ...) "  # fixed values
     lines = F.split(c, "\n")
-    n = F.size(lines)
-    half = (limit - len(marker)) // 2
-    ends = F.concat(F.substring(c, 1, half), F.lit(marker), F.substring(c, -(limit - len(marker) - half), limit))
-    block = F.concat(F.array_join(F.slice(lines, 1, 3), "\n"), F.lit(marker), F.array_join(F.slice(lines, -3, 3), "\n"))
-    return F.when(F.length(c) <= limit, c).when((n > 6) & (F.length(block) <= limit), block).otherwise(ends)
+    head = (limit - len(cut_mark)) // 2
+    tail = limit - len(cut_mark) - head
+    ends = F.concat(F.substring(c, 1, head), F.lit(cut_mark), F.substring(c, -tail, tail))
+    last = F.when(F.size(lines) > 6, F.slice(lines, -3, 3)).otherwise(F.array().cast("array<string>"))
+    block = F.array_join(F.concat(F.slice(lines, 1, 3), F.array(F.lit(gap_mark)), last), "\n")
+    return F.when(F.length(c) <= limit, c).when(F.size(lines) == 1, ends).otherwise(F.substring(block, 1, limit))
 
 
 def usage_totals(rounds: DataFrame, by: str, order: str, tokens: str = "total_tokens", cost: str = "cost") -> DataFrame:

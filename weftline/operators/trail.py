@@ -36,7 +36,7 @@ def window_load(events: DataFrame, by: str, ts: str = "ts", seconds: int = 54, l
 
     An analysis of arrivals as they were; see streaming.limits for admission.
     """
-    at = F.unix_micros(F.col(ts))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     w = Window.partitionBy(by).orderBy(at).rangeBetween(-(seconds * 1_000_000) + 1, -1)
     wait = F.when(F.count("*").over(w) >= limit, pause - (at - F.min(at).over(w)) / 1_000_000)
     return events.withColumn("n", F.count("*").over(w)).withColumn("wait", wait)
@@ -45,7 +45,7 @@ def window_load(events: DataFrame, by: str, ts: str = "ts", seconds: int = 54, l
 def min_gap(events: DataFrame, by: str, ts: str = "ts", tie: str = "event_id", seconds: int = 15, most: int = 3) -> DataFrame:
     """Adds blocked (less than `seconds` after the one before) and barred (`most` blocked in a row)."""
     w = Window.partitionBy(by).orderBy(ts, tie)
-    gap = (F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))) / 1_000_000
+    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1_000_000
     rows = events.withColumn("blocked", F.coalesce(gap < seconds, F.lit(False)))
     return run_lengths(rows, by, [ts, tie], "blocked", "_run").withColumn("barred", F.col("_run") >= most).drop("_run")
 
