@@ -63,6 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows an Arrow batch, since a row here is a whole text; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hints a broadcast only if the counted rows are within limit; beyond it Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import bound_batches, fold_of
 from .tokens import mix
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -262,14 +262,19 @@ def _tagger(model: Crf) -> Tagger:
 def training_sample(docs: DataFrame, where: Column, per_label: int = 250, max_bytes: int = 8_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """At most per_label (text, label) rows of each label with at most max_bytes of text, lowest hash of the row first.
 
-    The two-step rank keeps per_label rows a label and salt, so a frequent label
-    doesn't meet in one task; only the chosen rows reach the driver.
+    Labels are counted first, and only rows whose hash is under the share that
+    holds about 16 * per_label rows of their label are ranked, so the rank sees a
+    bounded number of rows however many a label has; only the chosen ones reach
+    the driver. A label most of whose texts are longer may give fewer rows.
     """
-    rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_y"), F.col(id_col).cast("string").alias("_id"), where.alias("_use"))
-    rows = rows.where(F.col("_use") & F.col("_y").isNotNull() & (F.col("_y") != UNDETERMINED) & F.octet_length("_text").between(1, max_bytes))
-    rows = rows.select("_y", "_text", F.xxhash64(F.lit(4), F.coalesce("_id", F.lit("")), F.col("_text")).alias("_h")).withColumn("_salt", F.pmod("_h", F.lit(64)))
-    for by in (["_y", "_salt"], ["_y"]):
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_text"))).where(F.col("_r") <= per_label)
+    label, key = F.col(lang_col).cast("string"), F.xxhash64(F.lit(4), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    rows = docs.select(F.col(text_col).alias("_text"), label.alias("_y"), key.alias("_h"), where.alias("_use")).where(F.col("_use") & F.col("_y").isNotNull() & (F.col("_y") != UNDETERMINED))
+    counts = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for y, n in sorted(counts.items()) for x in (y, min(1.0, 16 * per_label / n))])
+    rows = rows.where((F.pmod("_h", F.lit(1 << 30)) < F.try_element_at(share, F.col("_y")) * (1 << 30)) & F.octet_length("_text").between(1, max_bytes))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_text"))).where(F.col("_r") <= per_label)
     return [(r["_text"], r["_y"]) for r in rows.select("_text", "_y").collect()]
 
 
@@ -287,6 +292,7 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     the new names give way; an empty table gives an empty table.
     """
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double")
     at = own.index(text_col)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 from .tokens import chunks, hashed_words, mix, shingles
 
 _U = np.uint64
@@ -291,6 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     at a time, so what one pivot misses is not lost.
     """
     sketch = sketch or Sketch()
+    bound_batches(docs.sparkSession)
     docs = docs.select(id_col, text_col)
     rows = cut(sketches(docs, sketch, width, id_col, text_col))
     valid = rows.where((F.col("_n") > 0) & F.col("_id").isNotNull())

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 
 #: Fixed value: the parts that byte-level pre-tokenization cuts a text into before merging.
 PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -164,6 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     numbers. Every row is packed, repeated rows and rows with a null id too.
     An empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     made = cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids=False).drop("ids"))
     return pack(made, capacity).withColumnRenamed("_id", id_col)
 
