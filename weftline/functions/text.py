@@ -164,7 +164,7 @@ def markdown_block(line: Column) -> Column:
 
 def table_cells(line: Column) -> Column:
     """Cells of a table row without the outer pipes, trimmed."""
-    return F.transform(F.split(F.regexp_replace(trimmed(line), r"^\||\|$", ""), r"\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(trimmed(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
 
 
 def is_table_separator(line: Column) -> Column:

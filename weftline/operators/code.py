@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 SCHEMA = "path string, start int, end int, type string, name string, parent string, imports array<string>, symbols array<string>, lang string, text string"
 #: Which scanner reads a file, by its extension.
@@ -261,7 +262,7 @@ def width(s: str) -> int:
     return total
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def display_width(c: pd.Series) -> pd.Series:
     return c.map(lambda s: None if s is None else width(s)).astype("Int32")
 
