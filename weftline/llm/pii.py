@@ -45,9 +45,12 @@ def _holds(kind: str, value: Column) -> Column:
 def _matches(text: Column, pattern: str, needs: str, kind: int) -> Column:
     """Matches, each with the text since the last match and up to the next one."""
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # Zipped, so that the text is split once and not again for each match.
+    zipped = F.arrays_zip(values.alias("value"), gaps.alias("before"), F.slice(gaps, 2, F.length(text) + 1).alias("after"))
+    own = F.filter(zipped, lambda z: z["value"].isNotNull())
     found = F.transform(
-        values,
-        lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("skip"), v.alias("value"), _edge_word(F.get(gaps, i), -1).alias("left"), _edge_word(F.get(gaps, i + 1), 1).alias("right")),
+        own,
+        lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(z["before"]).alias("skip"), z["value"].alias("value"), _edge_word(z["before"], -1).alias("left"), _edge_word(z["after"], 1).alias("right")),
     )
     return F.when(text.rlike(needs), found).otherwise(F.array().cast("array<struct<kind:int,i:int,skip:int,value:string,left:string,right:string>>"))
 
