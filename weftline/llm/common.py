@@ -37,12 +37,12 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     and texts have keys too, since neither column of the key is ever null.
     """
     return [
-        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))).alias("_k1"),
-        F.xxhash64(F.lit(7), F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))).alias("_k2"),
+        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))).alias("_w_k1"),
+        F.xxhash64(F.lit(7), F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))).alias("_w_k2"),
     ]
 
 
-KEY = ["_k1", "_k2"]
+KEY = ["_w_k1", "_w_k2"]
 
 
 def fold_of(id_col: str = "doc_id", folds: int = 5) -> Column:

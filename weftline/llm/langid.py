@@ -35,6 +35,8 @@ class Crf:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(words, labels) sums of the weights of each word's features."""
+        if not self.labels:
+            return np.zeros((len(words), 0))
         owner, ids = features(words, self.lexicon)
         return np.stack([np.bincount(owner, self.weights[ids, y], minlength=len(words)) for y in range(len(self.labels))], axis=1)
 
@@ -207,6 +209,8 @@ class Tagger:
     def word_posteriors(self, texts: list[str], pad: int = 400_000) -> list[np.ndarray]:
         """(words, labels) probabilities of each text."""
         k, owner, chains = len(self.model.labels), [], []
+        if not k:
+            return [np.zeros((0, 0))] * len(texts)
         for i, text in enumerate(texts):
             own = _chains(text)
             owner += [i] * len(own)

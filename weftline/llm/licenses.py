@@ -95,10 +95,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     phrases = phrases or PHRASES
     own = [c for c in docs.columns if c not in new]
     kind = "array<struct<label:string,at:int>>"
-    rows = docs.select(*own, *row_key(id_col, text_col), words(F.col(text_col)).alias("_words"))
-    found = F.concat(*[_labelled(_starts(F.col("_words"), p), x) for p, x in phrases.items()])
-    probe = F.arrays_overlap("_words", F.array(*[F.lit(w) for w in sorted({max(p.split(), key=len) for p in phrases})]))
-    rows = rows.select(*own, *KEY, F.size("_words").cast("long").alias("n_words"), F.when(probe, found).otherwise(F.array().cast(kind)).alias("_found"))
+    rows = docs.select(*own, *row_key(id_col, text_col), words(F.col(text_col)).alias("_w_words"))
+    found = F.concat(*[_labelled(_starts(F.col("_w_words"), p), x) for p, x in phrases.items()])
+    probe = F.arrays_overlap("_w_words", F.array(*[F.lit(w) for w in sorted({max(p.split(), key=len) for p in phrases})]))
+    rows = rows.select(*own, *KEY, F.size("_w_words").cast("long").alias("n_words"), F.when(probe, found).otherwise(F.array().cast(kind)).alias("_w_found"))
 
     best = template_matches(docs, templates, threshold, id_col, text_col).groupBy(*KEY, "label").agg(F.max("containment").alias("containment"))
     best = best.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "containment"))).alias("matches"))
@@ -106,8 +106,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     return out.select(
         *own,
         "n_words",
-        F.array_sort(F.transform("_found", lambda x: x["at"])).alias("starts"),
-        F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["label"]))).alias("base_labels"),
+        F.array_sort(F.transform("_w_found", lambda x: x["at"])).alias("starts"),
+        F.array_sort(F.array_distinct(F.transform("_w_found", lambda x: x["label"]))).alias("base_labels"),
         "matches",
-        F.when(F.size("_found") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda x: x["containment"])), F.lit(0.0))).alias("score"),
+        F.when(F.size("_w_found") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda x: x["containment"])), F.lit(0.0))).alias("score"),
     )

@@ -44,15 +44,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     at = docs.select(*row_key(id_col, text_col), F.posexplode(lines).alias("_pos", "_line"))
     at = at.select(*KEY, "_pos", *_hashes(_line_key(F.col("_line")))).join(hot, ["_h1", "_h2"])
-    gone = at.groupBy(*KEY).agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
+    gone = at.groupBy(*KEY).agg(F.array_sort(F.collect_set("_pos")).alias("_w_gone"))
 
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text_col)]
-    rows = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *row_key(id_col, text_col)).join(gone, KEY, "left")
-    rows = rows.withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    n, m = F.size("_lines"), F.size("_gone")
-    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("_gone", i - 1))
-    after = lambda i: F.when(i == m, n).otherwise(F.get("_gone", i))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), m), lambda i: F.slice("_lines", before(i) + 2, after(i) - before(i) - 1)))
-    kept = F.when(m == 0, F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    rows = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias("_w_text"), *row_key(id_col, text_col)).join(gone, KEY, "left")
+    rows = rows.withColumn("_w_lines", F.split("_w_text", "\n", -1)).withColumn("_w_gone", F.coalesce("_w_gone", F.array().cast("array<int>")))
+    n, m = F.size("_w_lines"), F.size("_w_gone")
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("_w_gone", i - 1))
+    after = lambda i: F.when(i == m, n).otherwise(F.get("_w_gone", i))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), m), lambda i: F.slice("_w_lines", before(i) + 2, after(i) - before(i) - 1)))
+    kept = F.when(m == 0, F.col("_w_text")).otherwise(F.array_join(kept, "\n"))
     out = rows.select(*own, kept.alias(text_col), n.cast("long").alias("n_lines"), m.cast("long").alias("n_dropped"))
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -13,7 +13,7 @@ BUCKETS = 16**HEX_DIGITS
 def _offsets(counts: DataFrame, by: list[str], bucket: str, total: str) -> DataFrame:
     """Rows before each bucket and in all, within by; counts has at most BUCKETS rows a group."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(total, F.sum("_n").over(w))
+    return counts.withColumn("_w_before", F.coalesce(F.sum("_w_n").over(w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(total, F.sum("_w_n").over(w))
 
 
 def interleave(docs: DataFrame, shards: int = 16, seed: str = "weftline", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -35,22 +35,22 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "weftline", id_col
         *own,
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.col(source_col).alias("_source"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("_md5"),
-    ).withColumn("_bucket", F.substring("_md5", 1, HEX_DIGITS))
-    ties = ["_md5", "text_crc32", "size"]
-
-    counts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    at = _offsets(counts, ["_source"], "_bucket", "_of").withColumnsRenamed({"_source": "_s", "_bucket": "_b"})
-    ranked = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy(*ties)))
-    ranked = ranked.join(at, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    ranked = ranked.select(*own, "size", "text_crc32", "_md5", ((F.col("_before") + F.col("_local") - 0.5) / F.col("_of")).alias("_fraction"))
-    ranked = ranked.withColumn("_bucket", F.floor(F.col("_fraction") * BUCKETS).cast("int"))
-
-    counts = ranked.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    at = _offsets(counts, [], "_bucket", "_all").withColumnRenamed("_bucket", "_b")
-    placed = ranked.withColumn("_local", F.row_number().over(Window.partitionBy("_bucket").orderBy("_fraction", *ties)))
-    placed = placed.join(F.broadcast(at), F.col("_bucket") == F.col("_b")).withColumn("_place", F.col("_before") + F.col("_local") - 1)
-    shard = F.expr(f"(_place * {shards}) div _all")
-    first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", shard.cast("int")).select(*own, "size", "text_crc32", "shard", (F.col("_place") - first).cast("long").alias("slot"))
+        F.col(source_col).alias("_w_source"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("_w_md5"),
+    ).withColumn("_w_bucket", F.substring("_w_md5", 1, HEX_DIGITS))
+    ties = ["_w_md5", "text_crc32", "size"]
+
+    counts = rows.groupBy("_w_source", "_w_bucket").agg(F.count("*").alias("_w_n"))
+    at = _offsets(counts, ["_w_source"], "_w_bucket", "_w_of").withColumnsRenamed({"_w_source": "_w_s", "_w_bucket": "_w_b"})
+    ranked = rows.withColumn("_w_local", F.row_number().over(Window.partitionBy("_w_source", "_w_bucket").orderBy(*ties)))
+    ranked = ranked.join(at, F.col("_w_source").eqNullSafe(F.col("_w_s")) & (F.col("_w_bucket") == F.col("_w_b")))
+    ranked = ranked.select(*own, "size", "text_crc32", "_w_md5", ((F.col("_w_before") + F.col("_w_local") - 0.5) / F.col("_w_of")).alias("_w_fraction"))
+    ranked = ranked.withColumn("_w_bucket", F.floor(F.col("_w_fraction") * BUCKETS).cast("int"))
+
+    counts = ranked.groupBy("_w_bucket").agg(F.count("*").alias("_w_n"))
+    at = _offsets(counts, [], "_w_bucket", "_w_all").withColumnRenamed("_w_bucket", "_w_b")
+    placed = ranked.withColumn("_w_local", F.row_number().over(Window.partitionBy("_w_bucket").orderBy("_w_fraction", *ties)))
+    placed = placed.join(F.broadcast(at), F.col("_w_bucket") == F.col("_w_b")).withColumn("_w_place", F.col("_w_before") + F.col("_w_local") - 1)
+    shard = F.expr(f"(_w_place * {shards}) div _w_all")
+    first = F.expr(f"(shard * _w_all + {shards - 1}) div {shards}")
+    return placed.withColumn("shard", shard.cast("int")).select(*own, "size", "text_crc32", "shard", (F.col("_w_place") - first).cast("long").alias("slot"))

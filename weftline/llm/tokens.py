@@ -99,10 +99,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> t
         own = []
         for r in short:
             x = hashes[begin[r] : begin[r + 1]]
-            h = _U(len(x))
-            for k, y in enumerate(x):
-                h = h + np.multiply(y, factor[k])
-            own.append(h)
+            own.append(_U(len(x)) + (x * np.array(factor[: len(x)], _U)).sum(dtype=_U))
         made, at = np.concatenate((made, mix(np.array(own, _U)))), np.concatenate((at, short))
     order = np.argsort(made)
     if n_rows <= 65_535:
