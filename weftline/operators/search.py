@@ -94,8 +94,8 @@ def snippet(text: Column, tokens: list[str], context: int = 5) -> Column:
     walls = lambda x: stops(x) | F.trim(x).isin("}", "{")
     back = F.filter(F.transform(F.slice(lines, 1, best), lambda x, i: F.when(walls(x), i + 1)), lambda i: i.isNotNull())
     start = F.coalesce(F.array_max(back), F.lit(0))
-    on = F.filter(F.transform(lines, lambda x, i: F.when((i >= best) & stops(x), i + 1)), lambda i: i.isNotNull())
-    end = F.coalesce(F.array_min(on), n)
+    on = F.filter(F.transform(F.slice(lines, best + 1, n), lambda x, i: F.when(stops(x), i + 1)), lambda i: i.isNotNull())
+    end = F.coalesce(best + F.array_min(on), n)
     extra = F.floor((context - (end - start)) / 2).cast("int")
     small = end - start < context
     lo, hi = F.when(small, F.greatest(F.lit(0), start - extra)).otherwise(start), F.when(small, F.least(n, end + extra)).otherwise(end)
