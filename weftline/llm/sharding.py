@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Buckets of the distributed rank: 16**3 ranges of a shuffle key or of the fractional rank.
 HEX_DIGITS = 3
 BUCKETS = 16**HEX_DIGITS
@@ -19,14 +21,15 @@ def _offsets(counts: DataFrame, by: list[str], bucket: str, total: str) -> DataF
 def interleave(docs: DataFrame, shards: int = 16, seed: str = "weftline", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Returns the columns of docs (without text) plus size, text_crc32, shard and slot.
 
-    Rows of a source are shuffled by md5(seed, id), ranked, and given the
-    fractional rank (rank + 1/2) / rows of the source. All rows are put in the
+    Rows of a source are shuffled by md5(seed, id, crc32 of the text), ranked,
+    and given the fractional rank (rank + 1/2) / rows of the source. All rows are put in the
     order of that fraction and cut into shards whose counts differ by one at
     most. Ranks come from counts of hash ranges plus a rank within a range, so
-    a source with most of the rows never meets in one task. A null source is a
-    source of its own; null text has size 1 and the crc32 of the empty text;
-    a null id shuffles as the empty id; equal rows are interchangeable. Columns
-    of docs named like the new ones give way. An empty table stays empty.
+    a source with most of the rows never meets in one task. Texts are read once
+    and the rest is written first. A null source is a source of its own; null
+    text has size 1 and the crc32 of the empty text; a row with a null id
+    shuffles by its place in docs; equal rows are interchangeable. Columns of
+    docs named like the new ones give way. An empty table stays empty.
     """
     new = ("size", "text_crc32", "shard", "slot")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -36,8 +39,10 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "weftline", id_col
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.col(source_col).alias("_w_source"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("_w_md5"),
-    ).withColumn("_w_bucket", F.substring("_w_md5", 1, HEX_DIGITS))
+        F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.monotonically_increasing_id())).alias("_w_name"),
+    )
+    key = F.md5(F.concat_ws(":", F.lit(seed), "_w_name", "text_crc32").cast("binary"))
+    rows = cut(rows.withColumn("_w_md5", key).drop("_w_name")).withColumn("_w_bucket", F.substring("_w_md5", 1, HEX_DIGITS))
     ties = ["_w_md5", "text_crc32", "size"]
 
     counts = rows.groupBy("_w_source", "_w_bucket").agg(F.count("*").alias("_w_n"))
