@@ -177,6 +177,10 @@ def test_sharding(spark, docs):
     mix = rows.groupby(["source", "shard"]).size().unstack(fill_value=0)
     assert (mix.max(axis=1) - mix.min(axis=1)).max() <= 2
     assert (rows.text_crc32 == [zlib.crc32(docs.text[d].encode()) for d in rows.doc_id]).all()
+    again = sharding.interleave(spark.read.parquet(f"{SF}/documents.parquet").repartition(5), 7).toPandas()
+    assert set(zip(rows.doc_id, rows.shard, rows.slot, strict=True)) == set(zip(again.doc_id, again.shard, again.slot, strict=True))
+    alike = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("src").alias("source"))
+    assert sorted(sharding.interleave(alike, 7).groupBy("shard").count().toPandas()["count"]) == [71] * 4 + [72] * 3
 
 
 def test_line_dedup_brute(spark):
@@ -396,6 +400,14 @@ def test_packing(spark, odd):
     assert packing.pack_documents(odd.limit(0), tokenizer_path()).count() == 0
 
 
+def test_packing_spreads_rows_alike(spark):
+    items = spark.range(3000).select(F.lit(None).cast("long").alias("_id"), F.lit(0).alias("piece"), F.lit(5).cast("long").alias("length"))
+    rows = packing.pack(items, 20, group=200).toPandas()
+    groups = rows.groupby(rows.sequence_id // 2**32).size()
+    assert len(rows) == 3000 and len(groups) == 15 and groups.max() < 300
+    assert (rows.groupby("sequence_id").length.sum() <= 20).all()
+
+
 def test_sum_of_squares_rule():
     """Each placement is one that makes the sum smallest, by trying them all."""
     rng = np.random.default_rng(7)

@@ -139,8 +139,10 @@ def pack(items: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFram
 
     Full pieces take a sequence each. The others are dealt by a hash into groups
     of about group pieces, and each group is packed longest first; at most a few
-    sequences a group end up less than full. Equal rows are interchangeable.
+    sequences a group end up less than full. The hash is of a row's place in the
+    written table, so rows that share an id, or have none, are spread as well.
     """
+    items = cut(items)
     parts = max(1, -(-items.count() // group))
 
     def run(t: pa.Table) -> pa.Table:
@@ -152,7 +154,7 @@ def pack(items: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFram
         base = t.column("_group")[0].as_py() << 32
         return t.drop_columns(["_group"]).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
 
-    dealt = items.withColumn("_group", F.pmod(F.xxhash64("_id", "piece"), F.lit(parts)))
+    dealt = items.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", sequence_id long, offset long"
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
@@ -165,7 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     An empty table gives an empty table.
     """
     bound_batches(docs.sparkSession)
-    made = cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids=False).drop("ids"))
+    made = pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids=False).drop("ids")
     return pack(made, capacity).withColumnRenamed("_id", id_col)
 
 
