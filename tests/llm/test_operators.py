@@ -101,6 +101,20 @@ def test_lm_against_dictionaries(spark, docs):
             assert got.base_score[k] == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in toks), abs=1e-6)
 
 
+@pytest.mark.parametrize("vocabulary", [1 << 22, 200])
+def test_lm_scores_by_groups(spark, docs, vocabulary):
+    """A trie larger than a group is scored group by group: all that is seen twice counts, and the scores are those of one group."""
+    small = docs[docs.text.str.len() < 1500].head(60)
+    df = spark.createDataFrame([(int(k), t) for k, t in [*small.text.items(), *small.text.head(2).items()]], "doc_id long, text string")
+    whole = ngramlm.train(df, ngramlm.Limits(vocabulary=vocabulary, shards=7))
+    parted = ngramlm.train(df, ngramlm.Limits(vocabulary=vocabulary, shards=7, group=1))
+    fine = ngramlm.train(df, ngramlm.Limits(vocabulary=vocabulary, shards=1, bucket=300, group=5000))
+    assert len(whole.groups) == 1 and len(parted.groups) == 7 and fine.shards > 7 and 1 < len(fine.groups)
+    want, got, other = (ngramlm.score(df, m).toPandas().sort_values(["doc_id", "score"]).reset_index(drop=True) for m in (whole, parted, fine))
+    pd.testing.assert_frame_equal(got, want, check_exact=False, rtol=1e-9)
+    assert (other.n_known == want.n_known).all() and other.score.tolist() == pytest.approx(want.score.tolist(), rel=0.01, abs=0.3)
+
+
 def cut_counts(small, train):
     """The discounts of pairs and triples, from how many are seen once and twice."""
     out = []
