@@ -329,6 +329,15 @@ def test_pii_discovers_by_context(spark):
     assert [(s["kind"], s["start"], s["end"]) for s in extra] == [(2, 14, 30)] and not got[texts[-1]]
 
 
+def test_pii_finds_seeds_in_other_spellings(spark):
+    """A number after a trusted word is found whether or not a text elsewhere holds it as a phone; an ip's digits alone aren't one."""
+    texts = [f"call +49 30 12345{i} now" for i in range(10, 22)] + ["call 49 30 1234567 now", "ring 49-30-1234567", "from 1.2.3.4 to", "costs 12.34 or"]
+    for more in ([], ["call +49 30 1234567 now"]):
+        rows = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")
+        got = {r["text"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["found"]] for r in pii.scan(rows).collect()}
+        assert got[texts[12]] == [(3, 5, 18)] and got[texts[13]] == [(3, 5, 18)] and not got[texts[15]]
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "mail a@b.co or 1.2.3.4 now"), (2, None)], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(pii.scan(df)).orderBy("doc_id").collect()] == ["mail [email] or [ip] now", ""]

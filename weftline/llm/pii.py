@@ -94,14 +94,16 @@ def _free_candidates(found: DataFrame) -> DataFrame:
     return rows.select(*KEY, "start", "end", "value", "left", "right", F.explode(F.array_compact(F.array(*fits))).alias("kind"))
 
 
-def _norm(value: Column) -> Column:
-    return F.when(value.contains("@"), ascii_lower(value)).otherwise(F.regexp_replace(value, "[^0-9]", ""))
+def _norm(kind: Column, value: Column) -> Column:
+    """What spellings of an identifier share: an address lower-cased, else its digits; of an ip the places of its dots too."""
+    digits = F.when(kind == KINDS.index("ip"), F.regexp_replace(value, "[^0-9]+", ".")).otherwise(F.regexp_replace(value, "[^0-9]", ""))
+    return F.when(value.contains("@"), ascii_lower(value)).otherwise(digits)
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
     """Edges of the pattern-instance graph: the words that stand before and after an instance."""
     sides = F.array(F.concat(F.lit("<"), F.col("left")), F.concat(F.lit(">"), F.col("right")))
-    edges = rows.select("kind", _norm(F.col("value")).alias("instance"), F.explode(sides).alias("pattern"))
+    edges = rows.select("kind", _norm(F.col("kind"), F.col("value")).alias("instance"), F.explode(sides).alias("pattern"))
     return edges.where(F.length("pattern") > 1).distinct()
 
 
@@ -112,8 +114,9 @@ def discover(found: DataFrame, rounds: int = 2, min_support: int = 3, min_confid
     round scores a pattern of a kind by the mean confidence of its distinct
     instances, smoothed by one more unknown, and drops patterns with fewer than
     min_support confident instances or a score under min_confidence; an instance
-    then takes the noisy-or of its patterns. Instances that reach
-    min_confidence by the last round are found, wherever they occur. Edges are
+    then takes the noisy-or of its patterns. Instances whose patterns reach
+    min_confidence in the last round are found, wherever they occur, seeds in
+    another spelling too. Edges are
     distinct before any join, and joins on a pattern are salted by instance,
     so a word beside most identifiers is spread out.
     """
@@ -123,16 +126,16 @@ def discover(found: DataFrame, rounds: int = 2, min_support: int = 3, min_confid
     edges = seeds.unionByName(_contexts(free).withColumn("_seed", F.lit(0.0)))
     edges = edges.groupBy("kind", "instance", "pattern").agg(F.max("_seed").alias("_seed"))
     known = edges.groupBy("kind", "instance").agg(F.max("_seed").alias("_known"))
-    edges = edges.drop("_seed").join(known, ["kind", "instance"]).withColumn("conf", F.col("_known")).withColumn("_salt", F.pmod(F.xxhash64("instance"), F.lit(salts)).cast("int"))
+    edges = edges.drop("_seed").join(known, ["kind", "instance"]).withColumn("conf", F.col("_known")).withColumn("_v", F.lit(0.0)).withColumn("_salt", F.pmod(F.xxhash64("instance"), F.lit(salts)).cast("int"))
     edges = cut(edges)
     for _ in range(rounds):
         patterns = edges.groupBy("kind", "pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("_p"), F.count_if(F.col("conf") >= min_confidence).alias("_support"))
         patterns = patterns.where((F.col("_support") >= min_support) & (F.col("_p") >= min_confidence))
         patterns = patterns.select("kind", "pattern", "_p", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        vouched = edges.where(F.col("_known") == 0).join(patterns, ["kind", "pattern", "_salt"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("_p"), F.lit(0.999999)))))).alias("_v"))
-        edges = cut(edges.join(vouched, ["kind", "instance"], "left").withColumn("conf", F.greatest("_known", F.coalesce("_v", F.lit(0.0)))).drop("_v"))
-    trusted = edges.where((F.col("_known") == 0) & (F.col("conf") >= min_confidence)).select("kind", "instance").distinct()
-    hits = free.withColumn("instance", _norm(F.col("value"))).join(trusted, ["kind", "instance"])
+        vouched = edges.join(patterns, ["kind", "pattern", "_salt"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("_p"), F.lit(0.999999)))))).alias("_v"))
+        edges = cut(edges.drop("_v").join(vouched, ["kind", "instance"], "left").withColumn("conf", F.greatest("_known", F.coalesce("_v", F.lit(0.0)))))
+    trusted = edges.where(F.col("_v") >= min_confidence).select("kind", "instance").distinct()
+    hits = free.withColumn("instance", _norm(F.col("kind"), F.col("value"))).join(trusted, ["kind", "instance"])
     # A string that fits several kinds is reported once, as the first of them.
     return hits.groupBy(*KEY, "start", "end").agg(F.min("kind").alias("kind"))
 
