@@ -329,6 +329,19 @@ def test_pii_discovers_by_context(spark):
     assert [(s["kind"], s["start"], s["end"]) for s in extra] == [(2, 14, 30)] and not got[texts[-1]]
 
 
+def test_pii_discovers_unseen_with_defaults(spark):
+    """With the parameters of op7_pii: contexts where over a third, and half, of the identifiers are unseen; not a word before any number."""
+    valid = [n for n in (str(4111111111110000 + i) for i in range(400)) if luhn(n)]
+    wrong = [n for n in (str(4222222222220000 + i) for i in range(400)) if not luhn(n)]
+    seen = [f"charge {n} today" for n in valid[:10]] + [f"call +49 30 12345{i} now" for i in range(10, 22)]
+    unseen = [f"charge {n} today" for n in wrong[:6]] + [f"call 030 99912{i} now" for i in range(10, 22)]
+    other = [f"of {n} parts" for n in valid[10:15]] + [f"of {n} parts" for n in wrong[6:40]]
+    rows = spark.createDataFrame(list(enumerate(seen + unseen + other)), "doc_id long, text string")
+    got = {r["text"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["found"]] for r in pii.scan(rows).collect()}
+    assert [got[t] for t in unseen] == [[(2, 7, 23)]] * 6 + [[(3, 5, 16)]] * 12
+    assert not any(got[t] for t in seen + other)
+
+
 def test_pii_finds_seeds_in_other_spellings(spark):
     """A number after a trusted word is found whether or not a text elsewhere holds it as a phone; an ip's digits alone aren't one."""
     texts = [f"call +49 30 12345{i} now" for i in range(10, 22)] + ["call 49 30 1234567 now", "ring 49-30-1234567", "from 1.2.3.4 to", "costs 12.34 or"]

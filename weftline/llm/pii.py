@@ -20,6 +20,8 @@ PATTERNS = {
 NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Identifier-like strings that contexts may turn into findings: digit chains, and addresses without a dotted domain.
 CANDIDATE = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++|(?<![A-Za-z0-9])[0-9]++(?:[\x20.-][0-9]++)*+(?![A-Za-z])"
+#: What an instance that nothing confirms or contradicts weighs in a pattern's score, against 1.
+UNSEEN = 0.125
 #: Digits that a candidate must have to pass for the kind; an email candidate needs none.
 DIGITS = {"ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 
@@ -111,8 +113,12 @@ def discover(found: DataFrame, rounds: int = 2, min_support: int = 3, min_confid
     """Candidates (key, kind, start, end) that contexts of confirmed identifiers vouch for.
 
     Base matches are seeds with confidence 1, other instances start at 0. Each
-    round scores a pattern of a kind by the mean confidence of its distinct
-    instances, smoothed by one more unknown, and drops patterns with fewer than
+    round scores a pattern of a kind by the confidence of its distinct
+    instances over their weights, smoothed by one more: an instance confirmed
+    as another kind weighs 1, another its confidence and UNSEEN at least, so
+    that identifiers not seen elsewhere hardly speak against their context, but
+    a word before very many unconfirmed numbers fails. It drops patterns with
+    fewer than
     min_support confident instances or a score under min_confidence; an instance
     then takes the noisy-or of its patterns. Instances whose patterns reach
     min_confidence in the last round are found, wherever they occur, seeds in
@@ -126,10 +132,12 @@ def discover(found: DataFrame, rounds: int = 2, min_support: int = 3, min_confid
     edges = seeds.unionByName(_contexts(free).withColumn("_seed", F.lit(0.0)))
     edges = edges.groupBy("kind", "instance", "pattern").agg(F.max("_seed").alias("_seed"))
     known = edges.groupBy("kind", "instance").agg(F.max("_seed").alias("_known"))
+    elsewhere = F.max("_known").over(Window.partitionBy("instance"))
+    known = known.withColumn("_least", F.when(elsewhere > F.col("_known"), 1.0).otherwise(UNSEEN))
     edges = edges.drop("_seed").join(known, ["kind", "instance"]).withColumn("conf", F.col("_known")).withColumn("_v", F.lit(0.0)).withColumn("_salt", F.pmod(F.xxhash64("instance"), F.lit(salts)).cast("int"))
     edges = cut(edges)
     for _ in range(rounds):
-        patterns = edges.groupBy("kind", "pattern").agg((F.sum("conf") / (F.count("*") + 1)).alias("_p"), F.count_if(F.col("conf") >= min_confidence).alias("_support"))
+        patterns = edges.groupBy("kind", "pattern").agg((F.sum("conf") / (F.sum(F.greatest("conf", "_least")) + 1)).alias("_p"), F.count_if(F.col("conf") >= min_confidence).alias("_support"))
         patterns = patterns.where((F.col("_support") >= min_support) & (F.col("_p") >= min_confidence))
         patterns = patterns.select("kind", "pattern", "_p", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
         vouched = edges.join(patterns, ["kind", "pattern", "_salt"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("_p"), F.lit(0.999999)))))).alias("_v"))
