@@ -176,6 +176,17 @@ def test_licenses_brute(spark):
         assert r["starts"] == places and r["n_words"] == len(ws)
 
 
+def test_licenses_wrapped(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files (the Software)"
+    cut_off = "x\n" + bsd.removeprefix("Redistribution and ") + "\ny"
+    other = "licensed\nunder a cloud by\n4 in cc 0"
+    rows = spark.createDataFrame(list(enumerate([bsd, mit, cut_off, other])), "doc_id long, text string")
+    got = [({m["label"]: round(m["containment"], 3) for m in r["matches"]}, round(r["score"], 3)) for r in licenses.scan(rows).orderBy("doc_id").collect()]
+    n = len(set(dict(licenses.TEMPLATES)["bsd-grant"].split()))
+    assert got == [({"bsd-grant": 1.0}, 1.0), ({"mit-grant": 1.0}, 1.0), ({"bsd-grant": round((n - 1) / n, 3)}, round((n - 1) / n, 3)), ({}, 0.0)]
+
+
 @pytest.mark.parametrize("run", [licenses.scan, linededup.dedup_lines, sharding.interleave, pii.scan], ids=lambda f: f.__module__)
 def test_odd_rows(spark, odd, run):
     assert run(odd).count() == 10
