@@ -169,6 +169,31 @@ def fact_delete(spark, sf):
     return edits.remove_fact(edits.remove_fact(fact_table(spark, sf), "memory", "likes 7"), "memory", "likes 1")
 
 
+def every_fact(spark, sf):
+    """All customers as facts, forty a store."""
+    key = F.col("c_custkey")
+    line = F.when(key % 10 == 0, "# heading").when(key % 4 == 0, "<!-- note -->").otherwise(F.concat(F.lit("- likes "), key.cast("string")))
+    return read(spark, sf, "customer").select(F.floor(key / 40).cast("string").alias("store"), (key % 40 + 1).cast("int").alias("line_no"), line.alias("line"))
+
+
+_EVERY_FACT = "SELECT (c_custkey // 40)::VARCHAR AS store, (c_custkey % 40 + 1)::INT AS line_no, CASE WHEN c_custkey % 10 = 0 THEN '# heading' WHEN c_custkey % 4 = 0 THEN '<!-- note -->' ELSE '- likes ' || c_custkey END AS line FROM customer"
+
+
+@query(f"SELECT * FROM ({_EVERY_FACT}) WHERE contains(lower(line), 'likes 1') AND NOT starts_with(line, '<!--')")
+def fact_search_all(spark, sf):
+    return edits.find_facts(every_fact(spark, sf), "LIKES 1")
+
+
+@query(f"SELECT store, line_no, CASE WHEN store = '0' AND line_no = 2 THEN '- ikes 1' ELSE line END AS line FROM ({_EVERY_FACT}) UNION ALL SELECT '1', 41, '- is new'")
+def fact_upsert_all(spark, sf):
+    return edits.upsert_fact(edits.upsert_fact(every_fact(spark, sf), "0", "ikes 1"), "1", "is new")
+
+
+@query(f"SELECT * FROM ({_EVERY_FACT}) WHERE NOT (store = '1' AND line_no IN (8, 9))")
+def fact_delete_all(spark, sf):
+    return edits.remove_fact(edits.remove_fact(every_fact(spark, sf), "1", "likes 47"), "0", "likes 1")
+
+
 @query("SELECT page_id, coalesce(CASE WHEN page_id % 2 = 0 THEN url END, 'none') AS url, 30 AS timeout FROM pages")
 def default_overlay(spark, sf):
     rows = read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).alias("url"))
