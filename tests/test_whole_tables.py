@@ -1,6 +1,7 @@
 """Registered queries that take whole tables and texts."""
 
 from conftest import SF
+from pyspark.sql import functions as F
 
 from weftline.plans import registry
 
@@ -10,3 +11,10 @@ def test_facts_of_all_customers(spark):
     q = registry.queries()
     assert n > 40 and q["fact_upsert_all"](spark, SF).count() == n + 1 and q["fact_delete_all"](spark, SF).count() == n - 2
     assert q["fact_search_all"](spark, SF).where("line_no > 0 and store <> '0'").count() > 0
+
+
+def test_image_uri_of_whole_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = registry.queries()["image_uri_whole"](spark, SF).withColumn("back", F.unbase64(F.substring_index("uri", ",", -1)).cast("string"))
+    assert got.where(F.col("uri").contains("\n")).count() == 0
+    assert docs.where("length(text) > 30").count() and got.join(docs, "doc_id").where("back <> text").count() == 0

@@ -323,4 +323,4 @@ def data_uri(path: Column, content: Column) -> Column:
     """A picture of up to 20 MB as a data URI, by its extension; else null."""
     kinds = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
     kind = F.try_element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.lower(F.substring_index(path, ".", -1)))
-    return F.when(kind.isNotNull() & (F.octet_length(content) <= 20 * 1024 * 1024), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content)))
+    return F.when(kind.isNotNull() & (F.octet_length(content) <= 20 * 1024 * 1024), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", "")))

@@ -237,3 +237,8 @@ def project_files(spark, sf):
 @query("SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(substr(text, 1, 30))) AS uri FROM documents")
 def image_uri(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.data_uri(F.lit("x/y.PNG"), F.substring("text", 1, 30).cast("binary")).alias("uri"))
+
+
+@query("SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(text)) AS uri FROM documents")
+def image_uri_whole(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", T.data_uri(F.lit("x/y.PNG"), F.col("text").cast("binary")).alias("uri"))
