@@ -3,6 +3,7 @@
 from conftest import SF
 from pyspark.sql import functions as F
 
+from weftline.operators import search
 from weftline.plans import registry
 
 
@@ -18,3 +19,12 @@ def test_image_uri_of_whole_texts(spark):
     got = registry.queries()["image_uri_whole"](spark, SF).withColumn("back", F.unbase64(F.substring_index("uri", ",", -1)).cast("string"))
     assert got.where(F.col("uri").contains("\n")).count() == 0
     assert docs.where("length(text) > 30").count() and got.join(docs, "doc_id").where("back <> text").count() == 0
+
+
+def test_counts_of_a_long_document(spark):
+    docs = spark.sql("SELECT 1 AS doc_id, repeat('zebra ', 70000) AS text")
+    posted = search.postings(docs)
+    sizes = search.lengths(docs, posted)
+    assert posted.first()["tf"] == 70_000 and sizes.first()["num_tokens"] == 70_000
+    stats = search.corpus_stats(sizes).first()
+    assert stats["total"] == 70_000 and stats["avgdl"] == 70_000

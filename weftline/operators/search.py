@@ -13,7 +13,7 @@ MAX_TF = 65_535
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, key, tf)."""
-    return token_rows(docs, F.col(text), key).groupBy("term", key).agg(F.least(F.count("*"), F.lit(MAX_TF)).alias("tf"))
+    return token_rows(docs, F.col(text), key).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame, posted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -49,7 +49,7 @@ def scores(posted: DataFrame, sizes: DataFrame, stats: DataFrame, terms: list[st
     """
     found = posted.where(F.col("term").isin(sorted(set(terms)))) if terms else posted.limit(0)
     found = found.join(F.broadcast(found.groupBy("term").agg(F.count("*").alias("df"))), "term").join(sizes, key).crossJoin(F.broadcast(stats))
-    tf = F.col("tf")
+    tf = F.least(F.col("tf"), F.lit(MAX_TF))  # as the reference packs it
     part = idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("num_tokens") / F.col("avgdl")))
     return found.groupBy(key).agg(F.sum(part).alias("score")).where(F.col("score") > 0)
 
