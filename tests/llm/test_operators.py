@@ -245,6 +245,13 @@ def test_language_held_out(spark, docs):
     assert [zlib.crc32(str(d).encode()) % 5 == 0 for d in got.index] == got.held_out.tolist()
 
 
+def test_language_features_of_long_runs():
+    """The middle of a long run of letters counts, as its letters would in a short one."""
+    (_, one), (_, two) = (langid.features(["a" * 100 + m * 100 + "a" * 100], {}) for m in ("b", "c"))
+    _, short = langid.features(["bb"], {})
+    assert len(one) > 2 * 300 and sorted(one) != sorted(two) and set(one) & set(short[1:2]) and not set(two) & set(short[1:2])
+
+
 def test_language_switches(spark):
     rows = [("der hund und die katze sind nicht hier " * 3, "de"), ("the dog and the cat are not here " * 3, "en")] * 4
     rows = [(f"{t} {i}", y) for i, (t, y) in enumerate(rows)]

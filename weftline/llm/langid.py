@@ -45,11 +45,7 @@ _U = np.uint64
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, hashed feature) pairs: affixes up to four letters, letter 2- and 3-grams with edges, the word, its lexicon, a bias.
-
-    Only the 64 letters at each end of a longer run of letters are looked at.
-    """
-    words = [w if len(w) <= 128 else w[:64] + w[-64:] for w in words]
+    """(word, hashed feature) pairs: affixes up to four letters, letter 2- and 3-grams with edges, the word, its lexicon, a bias."""
     n = len(words)
     size = np.fromiter((len(w) for w in words), np.int64, n)
     chars = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
