@@ -130,6 +130,25 @@ def cut_counts(small, train):
     return out
 
 
+def test_lm_counts_beyond_32_bits():
+    keys, n = np.array([3, 9, 2**62], np.int64), np.array([1, 2**33 + 5, 2**40], np.int64)
+    back = ngramlm._unpacked(ngramlm._packed(keys, n))
+    assert (back[0] == keys).all() and (back[1] == n).all()
+    twice = ngramlm._summed([ngramlm._packed(keys, n)] * 2)
+    assert (twice[1] == 2 * n).all()
+
+
+def test_lm_keeps_all_with_least_1(spark, docs):
+    """With least 1 a pair seen once is in the trie, so the training text itself gets likelier."""
+    small = docs[docs.text.str.len() < 1500].head(60)
+    df = spark.createDataFrame([(int(k), t) for k, t in small.text.items()], "doc_id long, text string")
+    two, one = (ngramlm.train(df, ngramlm.Limits(least=n, shards=3)) for n in (2, 1))
+    assert one.size > two.size
+    a, b = (ngramlm.score(df, m).agg(F.sum("score")).first()[0] for m in (two, one))
+    assert b > a
+    one.remove()
+
+
 def test_lm_odd_rows(spark, odd):
     model = ngramlm.train(odd)
     assert ngramlm.score(odd, model).count() == 10

@@ -51,10 +51,14 @@ def fold_of(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the folder the cluster names; a folder of our own only where none is named."""
+    """Takes the folder the cluster names; a temporary one of our own only where none is named and all runs on this machine."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/weftline-{uuid.uuid4().hex}")
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/weftline-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:
