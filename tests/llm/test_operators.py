@@ -318,11 +318,56 @@ def test_neighbours(spark):
     assert hits / len(got) >= 0.9
 
 
+@pytest.mark.parametrize("case", ["opposite", "12", "24", "30", "huge"])
+def test_neighbours_small_tables_are_exact(spark, case):
+    """Every query gets its k nearest, or all candidates, on tables that fill no bucket."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(3, 64))
+    x = {"opposite": np.vstack([np.eye(64)[0], -np.eye(64)[0]]), "24": centres[np.arange(24) % 3] + 0.05 * rng.normal(size=(24, 64)), "huge": rng.normal(size=(5, 4)) * 1e100}.get(case)
+    x = rng.normal(size=(int(case), 64)) if x is None else x
+    x = x if case == "huge" else x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df).toPandas()
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -s))[: min(20, len(x) - 1)].tolist()
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want
+
+
+def test_neighbours_clusters(spark):
+    """Clustered vectors: the fitted probes find them and meet few of the points; a third of the rows in one cluster."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(100, 32))
+    which = np.where(np.arange(6000) % 3 == 0, 0, rng.integers(1, 100, 6000))
+    x = (centres[which] + 0.3 * rng.normal(size=(6000, 32))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got, x = ann.search(df, every=60, block=500).toPandas(), x.astype(float)
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+    assert hits / len(got) >= 0.9 and len(got) == 2000
+
+
+def test_probe_order_and_places():
+    rng = np.random.default_rng(4)
+    index = ann.CrossPolytope(tables=2, axes=2)
+    q, p = ann._unit(rng.normal(size=(3, 16))), ann._unit(rng.normal(size=(5, 16)))
+    who = np.array([0, 0, 1, 2, 2])
+    need = index.places(q, p, who)
+    for i, w in enumerate(who):
+        meets = lambda m, i=i, w=w: any(index.buckets(p[i : i + 1], t)[0, 0] in index.buckets(q[w : w + 1], t, m)[0] for t in range(2))
+        assert meets(int(need[i])) and (need[i] == 1 or not meets(int(need[i]) - 1))
+
+
 def test_neighbours_odd_rows(spark):
     v = [0.5, 0.5, 0.1]
     rows = [(i, v) for i in range(60)] + [(100, None), (120, [0.0] * 3), (140, [1.0, None, 2.0]), (160, [float("nan")] * 3), (180, [1.0, 2.0]), (None, v), (0, v), (200, [-1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.search(df, ann.CrossPolytope(tables=2, probes=8), block=7).toPandas()
+    got = ann.search(df, ann.CrossPolytope(tables=2, axes=1, probes=8), block=7).toPandas()
     assert got[got.query_id == 20].sort_values("rank").vec_id.tolist() == [i for i in range(21) if i != 20]
     assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == list(range(1, 21))
     assert set(got.query_id) == {0, 20, 40, 200} and ann.search(df.limit(0)).count() == 0
