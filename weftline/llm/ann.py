@@ -29,9 +29,9 @@ class CrossPolytope:
     query probes `probes` buckets a table, the likeliest first.
     """
 
-    tables: int = 6
+    tables: int = 4
     axes: int = 2
-    probes: int = 500
+    probes: int = 800
     seed: int = 20
 
     def buckets_of(self, dim: int) -> int:
@@ -122,7 +122,7 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _best(owner: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the keep best rows of each owner: by score, then the smaller id."""
+    """Places of the keep best rows of each owner, owner by owner: by score, then the smaller id."""
     order = np.lexsort((ids, -score, owner))
     owner = owner[order]
     start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, int)
@@ -130,6 +130,13 @@ def _best(owner: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: int) -> n
     return order[rank < keep]
 
 
+def _rows(owner: np.ndarray, ids: np.ndarray, points: np.ndarray, score: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """The columns of NEAR; rows of an owner stand together, ids and n are by owner."""
+    cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(1, int)
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(-score), pa.array(points)], ["s", "r"]))
+    return [pa.array(ids[owner[cuts[:-1]]]), lists, pa.array(n[owner[cuts[:-1]]])]
+
+
 def _top(qx: np.ndarray, px: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, point) places of at least the keep best points of each query, rounding and ties included."""
     if len(px) <= keep:
@@ -140,8 +147,8 @@ def _top(qx: np.ndarray, px: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndar
     return np.nonzero(rough >= (least - scale)[:, None])
 
 
-#: _n: on one row of a task and query, how many points of the task it was compared with; else 0.
-NEAR = "query_id long, _rep long, score double, _n long"
+#: A row a task and query: its best points as (minus the score, id), and with how many points it was compared.
+NEAR = "query_id long, _best array<struct<s:double,r:long>>, _n long"
 
 
 def _meet(points: DataFrame, queries: DataFrame, block: int, keep: int) -> DataFrame:
@@ -173,19 +180,21 @@ def _meet(points: DataFrame, queries: DataFrame, block: int, keep: int) -> DataF
         seen, floor = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
         # what rounding can take from a product, so that the sums below lose no tie
         slack = np.linalg.norm(x, axis=1) * (np.linalg.norm(x[~is_query], axis=1).max() if (~is_query).any() else 0.0) * 1e-12
-        found, held = [np.zeros((2, 0), np.int64)], 0
-        score = lambda at: _exact(x[at[0]], x[at[1]])
-
-        def pruned(found: list[np.ndarray]) -> np.ndarray:
-            at = np.concatenate(found, axis=1)  # a pair meets in one bucket of a task at most
-            exact = score(at)
-            best = _best(at[0], ids[at[1]], exact, keep)
-            at, exact = at[:, best], exact[best]
-            full = np.bincount(at[0], minlength=len(ids)) == keep
+        found, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+        def pruned(found: list[tuple], exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b, value = (np.concatenate(c) for c in zip(*found, strict=True))  # a pair meets in one bucket of a task at most
+            if exact:
+                value = _exact(x[a], x[b])
+                best = _best(a, ids[b], value, keep)
+                return a[best], b[best], value[best]
+            best = _best(a, b, value, keep)
+            last = np.flatnonzero(np.bincount(a[best], minlength=len(ids)) == keep)
             lowest = np.full(len(ids), np.inf)
-            np.minimum.at(lowest, at[0], exact)
-            floor[full] = (lowest - slack)[full]
-            return at
+            np.minimum.at(lowest, a[best], value[best])
+            floor[last] = np.maximum(floor[last], (lowest - slack)[last])
+            on = value >= floor[a]
+            return a[on], b[on], value[on]
 
         for lo, hi, n in zip(cuts[:-1], cuts[1:], n_queries, strict=True):
             if 0 < n < hi - lo:
@@ -199,15 +208,15 @@ def _meet(points: DataFrame, queries: DataFrame, block: int, keep: int) -> DataF
                         least = np.partition(rough, len(theirs) - keep, axis=1)[:, len(theirs) - keep] - slack[part]
                         floor[part] = np.maximum(floor[part], least)
                     a, b = np.nonzero(rough >= floor[part][:, None])
-                    found.append(np.stack((part[a], theirs[b])))
+                    found.append((part[a], theirs[b], rough[a, b]))
                     held += len(a)
                     if held > 300_000:
-                        found, held = [pruned(found)], 0
-        at = pruned(found)
-        first = np.unique(at[0], return_index=True)[1]
-        n = np.zeros(at.shape[1], np.int64)
-        n[first] = seen[at[0][first]]
-        return pa.table({"query_id": ids[at[0]], "_rep": ids[at[1]], "score": score(at), "_n": n})
+                        found = [pruned(found, False)]
+                        if len(found[0][0]) > 150_000:  # very many ties, or very many queries
+                            found = [pruned(found, True)]
+                        held = max(0, len(found[0][0]) - 150_000)
+        a, b, value = pruned(found, True)
+        return pa.table(_rows(a, ids, ids[b], value, seen), names=["query_id", "_best", "_n"])
 
     met = p.select(columns).unionByName(q.select(columns))
     return met.groupBy("_table", "_group", "_pb", "_qb").applyInArrow(rerank, NEAR)
@@ -221,17 +230,18 @@ def _scanned(points: DataFrame, ids: np.ndarray, x: np.ndarray, keep: int) -> Da
             if batch.num_rows and len(ids):
                 reps, px = batch.column(0).to_numpy(), _matrix(batch.column(1)).astype(np.float64)
                 a, b = _top(x, px, keep)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(reps[b]), pa.array(_exact(x[a], px[b])), pa.array(np.zeros(len(a), np.int64))], names=["query_id", "_rep", "score", "_n"])
+                score = _exact(x[a], px[b])
+                best = _best(a, reps[b], score, keep)
+                yield pa.RecordBatch.from_arrays(_rows(a[best], ids, reps[b[best]], score[best], np.full(len(ids), len(reps))), names=["query_id", "_best", "_n"])
 
     return points.select("_rep", "_v").mapInArrow(run, NEAR)
 
 
 def _ranked(near: DataFrame, keep: int) -> DataFrame:
-    """The keep best distinct points of each query, and in _n all points it was compared with, once a table."""
-    near = near.repartition("query_id").groupBy("query_id", "_rep").agg(F.max("score").alias("score"), F.sum("_n").alias("_n"))
-    own = Window.partitionBy("query_id")
-    near = near.withColumn("_r", F.row_number().over(own.orderBy(F.desc("score"), "_rep"))).withColumn("_n", F.sum("_n").over(own))
-    return near.where(F.col("_r") <= keep)
+    """(query_id, rep, score, n): the keep best distinct points of each query, and all points it was compared with, once a table."""
+    near = near.groupBy("query_id").agg(F.flatten(F.collect_list("_best")).alias("_best"), F.sum("_n").alias("_n"))
+    near = near.select("query_id", "_n", F.inline(F.slice(F.array_sort(F.array_distinct("_best")), 1, keep)))
+    return near.select("query_id", F.col("r").alias("_rep"), (F.lit(0.0) - F.col("s")).alias("score"), "_n")
 
 
 def fitted(index: CrossPolytope, points: DataFrame, queries: DataFrame, k: int, recall: float) -> CrossPolytope:
