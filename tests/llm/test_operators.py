@@ -297,6 +297,12 @@ def test_forward_backward():
 def test_language_odd_rows(spark, odd):
     model = langid.train(odd)
     got = langid.identify(odd, model)
+    nothing = spark.createDataFrame([(1, "\u00bd \u00b2"), (2, "\u2167 12"), (3, "\u00bda")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(nothing, model).collect()}
+    assert found[1] == found[2] == ("und", 0.0) and found[3][0] != "und"
+    long = [(i, f"sehr lange worte {i} " * 600, "de") for i in range(12)] + [(i, f"a short one {i}", "en") for i in range(20, 50)]
+    sample = langid.training_sample(spark.createDataFrame(long, "doc_id long, text string, lang string"), F.lit(True))
+    assert Counter(y for _, y in sample) == {"de": 10, "en": 30}
     assert got.count() == 10 and got.columns.count("score") == 1 and langid.identify(odd.limit(0), model).count() == 0
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,8 +17,12 @@ from .common import bound_batches, fold_of
 from .tokens import mix
 
 WORD = re.compile(r"[^\W\d_]+")
+#: What WORD takes besides letters: numbers that aren't decimal digits, like fractions and superscripts.
+NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not (c.isalpha() or c.isdecimal())) + "]")
 #: Hashed feature space; a power of two.
 FEATURES = 1 << 16
+#: Texts of a label that a sample has at least, if there are so many.
+FEW = 10
 #: Words with their scores kept in a worker before the memory is cleared.
 MEMORY = 300_000
 UNDETERMINED = "und"
@@ -75,7 +80,9 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
 
 
 def _chains(text: str) -> list[list[str]]:
-    """The words of each line that has any; a chain ends with its line."""
+    """The words of each line that has any, made of letters alone; a chain ends with its line."""
+    if not text.isascii():
+        text = NUMBERS.sub(" ", text)
     return [c for c in (WORD.findall(line) for line in text.lower().split("\n")) if c]
 
 
@@ -122,7 +129,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.25, l2: fl
     transitions between labels are seen. Minibatch Adagrad on the conditional
     likelihood. Rows are ordered first, so the order given doesn't matter.
     """
-    rows = sorted({(t, y) for t, y in rows if t and WORD.search(t)})
+    rows = sorted({(t, y) for t, y in rows if t and _chains(t)})
     labels = sorted({y for _, y in rows})
     if not labels:
         return Crf([], np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
@@ -265,16 +272,22 @@ def training_sample(docs: DataFrame, where: Column, per_label: int = 250, max_by
     Labels are counted first, and only rows whose hash is under the share that
     holds about 16 * per_label rows of their label are ranked, so the rank sees a
     bounded number of rows however many a label has; only the chosen ones reach
-    the driver. A label most of whose texts are longer may give fewer rows.
+    the driver. A label with fewer than FEW such texts gives FEW of its
+    shortest ones instead, whole, so that none is lost.
     """
     label, key = F.col(lang_col).cast("string"), F.xxhash64(F.lit(4), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(text_col).alias("_text"), label.alias("_y"), key.alias("_h"), where.alias("_use")).where(F.col("_use") & F.col("_y").isNotNull() & (F.col("_y") != UNDETERMINED))
-    counts = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("_n", F.octet_length("_text")).where(F.col("_n") > 0)
+    short = F.col("_n") <= max_bytes
+    counts = {r["_y"]: (r["n"], r["k"]) for r in rows.groupBy("_y").agg(F.count("*").alias("n"), F.count_if(short).alias("k")).collect()}
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for y, n in sorted(counts.items()) for x in (y, min(1.0, 16 * per_label / n))])
-    rows = rows.where((F.pmod("_h", F.lit(1 << 30)) < F.try_element_at(share, F.col("_y")) * (1 << 30)) & F.octet_length("_text").between(1, max_bytes))
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_text"))).where(F.col("_r") <= per_label)
+    of_label = lambda f: F.try_element_at(F.create_map(*[F.lit(x) for y, c in sorted(counts.items()) for x in (y, f(*c))]), F.col("_y"))
+    share = of_label(lambda n, k: min(1.0, 16 * per_label / (n if k < FEW else k)))
+    room = of_label(lambda n, k: FEW if k < FEW else per_label)
+    rows = rows.where((F.pmod("_h", F.lit(1 << 30)) < share * (1 << 30)) & (short | (room == FEW)))
+    order = [F.when(short, 0).otherwise(F.col("_n")), "_h", "_text"]
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy(*order))).where((F.col("_r") <= per_label) & (F.col("_r") <= room))
     return [(r["_text"], r["_y"]) for r in rows.select("_text", "_y").collect()]
 
 
@@ -309,7 +322,12 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
 
 
 def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, word, at, label, score): the likeliest label of each word of code-switched texts; at counts words from 0."""
+    """(id, word, at, label, score): the likeliest label of each word of code-switched texts; at counts words from 0.
+
+    Null and empty texts, and those without a letter, give no rows; nor does a
+    model without labels. A null id is answered as null, repeated rows repeat,
+    other columns are not read, an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
