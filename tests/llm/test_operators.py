@@ -254,6 +254,31 @@ def test_decontamination(spark, odd, monkeypatch):
     assert decontaminate.remove_documents(decontaminate.scan(df, bench)).count() == 2
 
 
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_decontamination_large_benchmark(spark, monkeypatch, bits):
+    """More windows than are broadcast, of common words, with any bitmap: the same hits as brute force."""
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(rng.choice(["the", "of", "and", "to"], n))
+    bench = {i: say(rng.integers(3, 14)) for i in range(300)}
+    texts = {i: say(rng.integers(0, 60)) for i in range(80)}
+    windows = defaultdict(set)
+    for i, t in bench.items():
+        w = t.split()
+        for k in range(max(1, len(w) - 9)):
+            windows[tuple(w[k : k + 10])].add(str(i))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 10)
+    monkeypatch.setattr(decontaminate, "BITMAP_BITS", bits)
+    rows = decontaminate.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(bench.items()), "item_id long, text string"))
+    for r in rows.collect():
+        w, hit, items = texts[r["doc_id"]].split(), set(), set()
+        for n in range(1, 11):
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    items |= windows[tuple(w[k : k + n])]
+        assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(items))
+
+
 # 4
 
 
