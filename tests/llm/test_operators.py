@@ -12,7 +12,7 @@ import pytest
 from conftest import SF, same_rows
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, decontaminate, langid, licenses, linededup, neardup, ngramlm, packing, pii, sharding
+from weftline.llm import ann, common, decontaminate, langid, licenses, linededup, neardup, ngramlm, packing, pii, sharding
 from weftline.llm.eliasfano import EliasFano, Ranges, flatten, unflatten
 from weftline.llm.queries import oracle_sql, queries, tokenizer_path
 
@@ -527,6 +527,39 @@ def test_components(spark):
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 101, 102), 100)
 
 
+def test_near_duplicates_hot_pivot(spark, monkeypatch):
+    """A pivot with very many mates is dealt to several tasks: the result is that of brute force."""
+    monkeypatch.setattr(common, "HOT_ROWS", 40)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = {k: " ".join(w if rng.random() > 0.004 else f"x{rng.integers(999)}" for w in base) + f" end{k}" for k in range(300)}
+    texts |= {k: " ".join(f"y{k} z{i}" for i in range(20)) for k in range(300, 310)}
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(texts, 5)
+    star = [(0, i) for i in range(1, 2000)] + [(i, 5000 + i) for i in range(1, 300)]
+    found = neardup.connected_components(spark.createDataFrame(star, "_a long, _b long"))
+    assert found.agg(F.min("_component"), F.max("_component"), F.count("*"), F.countDistinct("_id")).first() == (0, 0, 2299, 2299)
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    left = spark.range(500).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(450).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    counts = left.groupBy("k").agg(F.count("*").alias("_n"))
+    for how in ("inner", "left"):
+        got, want = (sorted(df.select("k", "v", "w").collect(), key=str) for df in (common.spread_join(left, right, ["k"], counts, 500, how), left.join(right, "k", how)))
+        assert got == want and len(got) == (450 if how == "inner" else 500)
+
+
+def test_strangers_share_no_band():
+    """Unrelated sets of one size agree in hardly a register; links at the bound are kept by the margin."""
+    rng, s = np.random.default_rng(9), neardup.Sketch()
+    sets = np.sort(rng.integers(0, 2**63, (200, 300)).astype(np.uint64), axis=1)
+    regs = s.of(sets.ravel(), np.arange(201) * 300)
+    same = np.mean([(regs[i] == regs[j]).mean() for i in range(100) for j in range(100, 200)])
+    assert same < 0.002 and len(np.unique(s.keys(regs))) == 200 * s.bands
+
+
 # 9
 
 

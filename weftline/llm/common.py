@@ -79,6 +79,31 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: A key with more rows than this, and than one in HOT_SHARE of all, is split in joins.
+HOT_ROWS = 500
+#: So many keys can be hot at most, which bounds what is broadcast to name them.
+HOT_SHARE = 20_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, rows: int, how: str = "inner") -> DataFrame:
+    """left join right on keys, where keys may be very frequent in left; right has few rows a key.
+
+    counts has the keys and _n, their rows in left, and rows is the sum of them.
+    A hot key's rows in left are dealt to parts of about as many rows as make a
+    key hot, and its rows in right are repeated for each part; there are at most
+    HOT_SHARE hot keys and rows / HOT_ROWS more rows on the right.
+    """
+    most = max(HOT_ROWS, -(-rows // HOT_SHARE))
+    if rows <= most:
+        return left.join(right, keys, how)
+    hot = counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_w_parts"))
+    parts = F.coalesce("_w_parts", F.lit(1))
+    others = [c for c in left.columns if c not in keys]
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("_w_part", F.pmod(F.xxhash64(*others), parts).cast("int")).drop("_w_parts")
+    right = right.join(F.broadcast(hot), keys, "left").withColumn("_w_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_w_parts")
+    return left.join(right, [*keys, "_w_part"], how).drop("_w_part")
+
+
 def replace_columns(docs: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Adds columns; a column of docs with the same name gives way."""
     return docs.select(*[docs[c] for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])

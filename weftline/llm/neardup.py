@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, spread_join
 from .tokens import chunks, hashed_words, mix, shingles
 
 _U = np.uint64
@@ -19,14 +19,17 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Sketch:
-    """Registers K_j = floor(1 - log_base(min of Exp(rate) over the set)), cut to one byte, in bands x rows.
+    """Registers K_j = floor(1 - log_base(min of Exp(rate) over the set)), cut to two bytes, in bands x rows.
 
     At a similarity of 0.8 a pair misses all 32 bands of 5 with probability 3e-6.
+    With so small a base, unrelated sets of like size agree in a register with
+    probability 5e-4 and in a band with 3e-17, so buckets hold no strangers at any
+    number of rows.
     """
 
     bands: int = 32
     rows: int = 5
-    base: float = 1.2
+    base: float = 1.001
     rate: float = 20.0
 
     @property
@@ -34,8 +37,8 @@ class Sketch:
         return self.bands * self.rows
 
     def of(self, sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Register bytes of each set; an empty set has zeros. Merging two sets' sketches is their maximum."""
-        out = np.zeros((len(offsets) - 1, self.registers), np.uint8)
+        """Registers of each set; an empty set has zeros. Merging two sets' sketches is their maximum."""
+        out = np.zeros((len(offsets) - 1, self.registers), np.uint16)
         full = np.flatnonzero(np.diff(offsets) > 0)
         at, factors = offsets[:-1][full], mix(np.arange(1, self.registers + 1, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)
         if not len(full):
@@ -47,7 +50,7 @@ class Sketch:
             least[j] = np.minimum.reduceat(x * _U(0xBF58476D1CE4E5B9), at)
         u = (least.astype(np.float64) + 1.0) / 2.0**64
         exp = -np.log1p(-np.minimum(u, 1 - 1e-16)) / self.rate
-        out[full] = np.clip(np.floor(1 - np.log(exp) / math.log(self.base)), 0, 255).T.astype(np.uint8)
+        out[full] = np.clip(np.floor(1 - np.log(exp) / math.log(self.base)), 0, 65_535).T.astype(np.uint16)
         return out
 
     def keys(self, registers: np.ndarray) -> np.ndarray:
@@ -118,22 +121,28 @@ def _band_keys(classes: DataFrame, sketch: Sketch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = sketch.keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, sketch.registers))
+                keys = sketch.keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, sketch.registers))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sketch.bands)), pa.array(keys.reshape(-1))], names=["_id", "_key"])
 
     return classes.select("_id", "_regs").mapInArrow(run, "_id long, _key long")
 
 
+def _per(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """Pairs by their first, for spread_join, and all of them."""
+    counts = cut(pairs.groupBy("_a").agg(F.count("*").alias("_n")))
+    return counts, counts.agg(F.sum("_n")).first()[0] or 0
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch, at_least: float) -> DataFrame:
-    """The distinct pairs (a, b) whose estimated similarity is at_least or more."""
+    """The distinct pairs (a, b) whose estimated similarity is at_least or more; a is a pivot and may have very many."""
     regs = classes.select("_id", "_n", "_regs")
-    for side in ("_a", "_b"):
-        pairs = pairs.join(regs.withColumnsRenamed({"_id": side, "_n": f"{side}n", "_regs": f"{side}r"}), side)
+    of = lambda side: regs.withColumnsRenamed({"_id": side, "_n": f"{side}n", "_regs": f"{side}r"})
+    pairs = spread_join(pairs, of("_a"), ["_a"], *_per(pairs)).join(of("_b"), "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
                 na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (4, 5))
                 keep = np.flatnonzero(sketch.jaccard(a, b, na, nb) >= at_least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["_a", "_b"])
@@ -171,7 +180,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int, id_co
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["_a", "_b"])
 
-    full = pairs.join(sets.withColumnsRenamed({"_id": "_a", "_set": "_as"}), "_a").join(sets.withColumnsRenamed({"_id": "_b", "_set": "_bs"}), "_b")
+    full = pairs.join(sets.withColumnsRenamed({"_id": "_b", "_set": "_bs"}), "_b")
+    full = spread_join(full, sets.withColumnsRenamed({"_id": "_a", "_set": "_as"}), ["_a"], *_per(pairs))
     return full.select("_a", "_b", "_as", "_bs").mapInArrow(run, "_a long, _b long").distinct()
 
 
@@ -179,23 +189,24 @@ def connected_components(edges: DataFrame, a: str = "_a", b: str = "_b") -> Data
     """(id, component) of every id in edges; component is the smallest id reachable.
 
     Alternates the large-star and small-star steps until nothing changes; each
-    star only needs a minimum a node, which is combined before the shuffle.
+    star only needs a minimum a node, which is combined before the shuffle, and
+    the edges of a node with very many are dealt to several tasks.
     """
     edges = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    before = None
-    while True:
+    n, before = edges.count(), None
+    while n:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+        large = spread_join(both, least.select("u", "m"), ["u"], least, 2 * n).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = spread_join(large, least.select("u", "m"), ["u"], least, n)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where(F.col("u") != F.col("v"))
         edges = cut(small.distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
-        before = now
+        before, n = now, now["n"]
     return edges.select(F.col("u").alias("_id"), F.col("v").alias("_component")).unionByName(edges.select(F.col("v").alias("_id"), F.col("v").alias("_component")).distinct())
 
 
@@ -206,7 +217,7 @@ def _mates(t: pa.Table, sketch: Sketch, percent: int, at_least: float) -> Iterat
     """
     ids, comp, part, n = (t.column(c).to_numpy() for c in ("_id", "_component", "_part", "_n"))
     lo, hi, key = t.column("_lo")[0].as_py(), t.column("_hi")[0].as_py(), t.column("_key")[0].as_py()
-    regs = np.frombuffer(b"".join(t.column("_regs").to_pylist()), np.uint8).reshape(len(ids), -1)
+    regs = np.frombuffer(b"".join(t.column("_regs").to_pylist()), np.uint16).reshape(len(ids), -1)
     keys = sketch.keys(regs)
     band = int(np.flatnonzero(keys[0] == key)[0])
     for i in range(len(ids)):
@@ -266,10 +277,12 @@ def _open_links(members: DataFrame, classes: DataFrame, docs: DataFrame, sketch:
                     out.append((ids[i], ids[j]))
         return pa.table({"_a": pa.array([a for a, _ in out], pa.int64()), "_b": pa.array([b for _, b in out], pa.int64())})
 
-    picked = cut(parts.join(full, "_id").groupBy(*by).applyInArrow(pick, "_key long, _lo int, _hi int, _id long, _component long, _part int"))
+    # Dealt to a number of tasks of its own, since rows are small here and the work on them isn't.
+    deal = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    picked = cut(deal(parts.join(full, "_id")).groupBy(*by).applyInArrow(pick, "_key long, _lo int, _hi int, _id long, _component long, _part int"))
     wanted = cut(picked.select("_id").distinct())
     sets = _sets(docs, wanted, wanted.count(), width, id_col, text_col)
-    return picked.join(full, "_id").join(sets, "_id").groupBy(*by).applyInArrow(verify, "_a long, _b long")
+    return deal(picked.join(full, "_id").join(sets, "_id")).groupBy(*by).applyInArrow(verify, "_a long, _b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch: Sketch | None = None, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,17 +311,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     classes = valid.groupBy("_f1", "_f2").agg(F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_regs").alias("_regs"))
     classes = cut(classes)
     keys = cut(_band_keys(classes, sketch))
-    buckets = keys.groupBy("_key").agg(F.min("_id").alias("_pivot"), F.count("*").alias("_g")).where(F.col("_g") > 1)
-    shared = cut(keys.join(buckets, "_key"))
+    buckets = cut(keys.groupBy("_key").agg(F.min("_id").alias("_pivot"), F.count("*").alias("_n")).where(F.col("_n") > 1))
+    shared = cut(spread_join(keys, buckets.withColumnRenamed("_n", "_g"), ["_key"], buckets, buckets.agg(F.sum("_n")).first()[0] or 0))
     pairs = shared.where(F.col("_id") != F.col("_pivot")).select(F.col("_pivot").alias("_a"), F.col("_id").alias("_b")).distinct()
     likely = cut(_likely(pairs, classes, sketch, percent / 100 - margin))
     links = cut(_verified(likely, docs, percent, width, id_col, text_col))
     parts = connected_components(links)
 
     # What the pivots left open: buckets of three or more whose members are still in several components.
-    members = shared.where(F.col("_g") > 2).join(parts, "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
-    mixed = members.groupBy("_key").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("_key")
-    more = _open_links(members.join(mixed, "_key", "left_semi"), classes, docs, sketch, percent, percent / 100 - margin, width, id_col, text_col)
+    members = cut(shared.where(F.col("_g") > 2).join(parts, "_id", "left").withColumn("_component", F.coalesce("_component", "_id")))
+    mixed = members.groupBy("_key").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi"), F.count("*").alias("_n")).where(F.col("_lo") != F.col("_hi"))
+    mixed = cut(mixed.select("_key", "_n"))
+    members = spread_join(members, mixed.select("_key"), ["_key"], mixed, mixed.agg(F.sum("_n")).first()[0] or 0)
+    more = _open_links(members, classes, docs, sketch, percent, percent / 100 - margin, width, id_col, text_col)
     # A repeated id joins the classes of its texts.
     same = valid.select("_id", "_f1", "_f2").distinct().join(classes.select("_f1", "_f2", F.col("_id").alias("_rep")), ["_f1", "_f2"])
     same = cut(same.select("_id", "_rep"))
