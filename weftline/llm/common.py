@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and checkpoints of steps that are done: it does so once neither side of the driver holds them.
+
+    A job of many steps would else pile them up on the executors' disks and in the driver until a collection comes by chance.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's rows an Arrow batch, since a row here is a whole text; a lower setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, spread_join
+from .common import bound_batches, cut, release, spread_join
+from .shared import new_folder, remove_folder
 from .tokens import chunks, hashed_words, mix, shingles
 
 _U = np.uint64
@@ -190,9 +191,18 @@ def connected_components(edges: DataFrame, a: str = "_a", b: str = "_b") -> Data
 
     Alternates the large-star and small-star steps until nothing changes; each
     star only needs a minimum a node, which is combined before the shuffle, and
-    the edges of a node with very many are dealt to several tasks.
+    the edges of a node with very many are dealt to several tasks. Each round's
+    edges are a table in the checkpoint folder, deleted two rounds later; a
+    checkpoint would hand its size estimate on, which joins multiply until the
+    number itself fills the driver.
     """
-    edges = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    spark, folder, step = edges.sparkSession, new_folder(edges.sparkSession, "components"), 0
+
+    def written(df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{folder}/{step}")
+        return spark.read.schema("u long, v long").parquet(f"{folder}/{step}")
+
+    edges = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     n, before = edges.count(), None
     while n:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -202,10 +212,13 @@ def connected_components(edges: DataFrame, a: str = "_a", b: str = "_b") -> Data
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
         small = spread_join(large, least.select("u", "m"), ["u"], least, n)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where(F.col("u") != F.col("v"))
-        edges = cut(small.distinct())
+        step += 1
+        edges = written(small.distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
+        if step > 1:
+            remove_folder(spark, f"{folder}/{step - 2}")
         before, n = now, now["n"]
     return edges.select(F.col("u").alias("_id"), F.col("v").alias("_component")).unionByName(edges.select(F.col("v").alias("_id"), F.col("v").alias("_component")).distinct())
 
@@ -315,6 +328,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     shared = cut(spread_join(keys, buckets.withColumnRenamed("_n", "_g"), ["_key"], buckets, buckets.agg(F.sum("_n")).first()[0] or 0))
     pairs = shared.where(F.col("_id") != F.col("_pivot")).select(F.col("_pivot").alias("_a"), F.col("_id").alias("_b")).distinct()
     likely = cut(_likely(pairs, classes, sketch, percent / 100 - margin))
+    release(docs.sparkSession)
     links = cut(_verified(likely, docs, percent, width, id_col, text_col))
     parts = connected_components(links)
 
@@ -323,6 +337,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch:
     mixed = members.groupBy("_key").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi"), F.count("*").alias("_n")).where(F.col("_lo") != F.col("_hi"))
     mixed = cut(mixed.select("_key", "_n"))
     members = spread_join(members, mixed.select("_key"), ["_key"], mixed, mixed.agg(F.sum("_n")).first()[0] or 0)
+    release(docs.sparkSession)
     more = _open_links(members, classes, docs, sketch, percent, percent / 100 - margin, width, id_col, text_col)
     # A repeated id joins the classes of its texts.
     same = valid.select("_id", "_f1", "_f2").distinct().join(classes.select("_f1", "_f2", F.col("_id").alias("_rep")), ["_f1", "_f2"])
