@@ -239,6 +239,15 @@ def test_line_dedup_brute(spark):
             assert (out[i]["text"], out[i]["n_lines"], out[i]["n_dropped"]) == ("\n".join(kept), len(lines), len(lines) - len(kept))
 
 
+def test_line_dedup_beyond_broadcast(spark, monkeypatch):
+    """A line in every document, and more frequent lines than are broadcast."""
+    rows = spark.createDataFrame([(i, f"top\nown {i}\nline {i % 40}\ntop") for i in range(800)], "doc_id long, text string")
+    want = sorted(linededup.dedup_lines(rows).collect())
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    assert sorted(linededup.dedup_lines(rows).collect()) == want and want[0]["text"] == "own 0" and {r["n_dropped"] for r in want} == {3}
+
+
 def test_decontamination(spark, odd, monkeypatch):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12))), (2, "short one"), (2, "short one"), (None, "nameless item"), (3, None), (4, "...")], "item_id long, text string")
     text = "Start W0 " + " ".join(f"w{i}" for i in range(1, 12)) + ", the SHORT; one nameless item w0 w1 end"
@@ -464,6 +473,18 @@ def test_pii_finds_seeds_in_other_spellings(spark):
         assert got[texts[12]] == [(3, 5, 18)] and got[texts[13]] == [(3, 5, 18)] and not got[texts[15]]
 
 
+def test_pii_long_context_words(spark, monkeypatch):
+    """A neighbouring word counts whole, however long; one identifier in every text is spread over tasks."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    word = "charge" * 20
+    valid = [n for n in (str(4111111111110000 + i) for i in range(400)) if luhn(n)]
+    wrong = next(n for n in (str(4222222222220000 + i) for i in range(400)) if not luhn(n))
+    texts = [f"a {word} {n} today" for n in valid[:10] * 3] + [f"a {word} {wrong} today"] * 30 + [f"b x{word[1:]} {wrong[:-2]}77 now", f"{word}\n{wrong[:-2]}78"] + ["x" * 200_000 + " 1.2.3.4"]
+    got = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all([(s["kind"], s["found"]) for s in r["spans"]] == [(2, 30 <= r["doc_id"])] for r in got[:60])
+    assert not got[60]["spans"] and not got[61]["spans"] and [(s["kind"], s["start"]) for s in got[62]["spans"]] == [(1, 200_001)]
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "mail a@b.co or 1.2.3.4 now"), (2, None)], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(pii.scan(df)).orderBy("doc_id").collect()] == ["mail [email] or [ip] now", ""]

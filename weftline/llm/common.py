@@ -84,11 +84,6 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
-def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Hints a broadcast only if the counted rows are within limit; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 #: A key with more rows than this, and than one in HOT_SHARE of all, is split in joins.
 HOT_ROWS = 500
 #: So many keys can be hot at most, which bounds what is broadcast to name them.

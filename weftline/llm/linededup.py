@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, KEY, ascii_lower, bounded_broadcast, cut, row_key
+from .common import BLANKS, KEY, ascii_lower, cut, row_key, spread_join
 
 #: 16 bytes a key: at most 32 MB is ever broadcast; more frequent lines than that are joined by shuffle.
 BROADCAST_KEYS = 2_000_000
@@ -38,12 +38,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     Every row counts as a document, so a repeated row counts again. Lines that
     stay keep their order and their bytes. Columns of docs named n_lines or
     n_dropped give way; all others stay. An empty table gives an empty table.
+    A repeated id is as many documents as rows. More frequent lines than
+    BROADCAST_KEYS are joined by hash, the commonest dealt to several tasks.
     """
-    hot = cut(frequent_lines(docs, min_docs, min_chars, text_col).select("_h1", "_h2"))
-    hot = bounded_broadcast(hot, hot.count(), BROADCAST_KEYS)
+    hot = cut(frequent_lines(docs, min_docs, min_chars, text_col).select("_h1", "_h2", F.col("n_docs").alias("_n")))
+    n_hot, keys = hot.count(), hot.select("_h1", "_h2")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     at = docs.select(*row_key(id_col, text_col), F.posexplode(lines).alias("_pos", "_line"))
-    at = at.select(*KEY, "_pos", *_hashes(_line_key(F.col("_line")))).join(hot, ["_h1", "_h2"])
+    at = at.select(*KEY, "_pos", *_hashes(_line_key(F.col("_line"))))
+    if n_hot <= BROADCAST_KEYS:
+        at = at.join(F.broadcast(keys), ["_h1", "_h2"])
+    else:  # the commonest lines are dealt to several tasks
+        at = spread_join(at, keys, ["_h1", "_h2"], hot, hot.agg(F.sum("_n")).first()[0])
     gone = at.groupBy(*KEY).agg(F.array_sort(F.collect_set("_pos")).alias("_w_gone"))
 
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text_col)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, ascii_lower, cut, row_key
+from .common import KEY, ascii_lower, cut, row_key, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, written so that Java neither recurses nor scans a run twice: a match can only begin where a run of
@@ -58,10 +58,13 @@ def _matches(text: Column, pattern: str, needs: str, kind: int) -> Column:
 
 
 def _edge_word(gap: Column, side: int) -> Column:
-    """The word at the end (-1) or the start (1) of a gap on the same line, or the empty string; at most 40 characters away."""
-    near = F.substring(gap, -60, 60) if side < 0 else F.substring(gap, 1, 60)
-    pattern = r"([^\W\d_]+)[^\w\n]{0,20}$" if side < 0 else r"^[^\w\n]{0,20}([^\W\d_]+)"
-    return ascii_lower(F.regexp_extract(near, "(?U)" + pattern, 1))
+    """The whole word at the end (-1) or the start (1) of a gap on the same line, or the empty string; at most 20 other signs away."""
+    if side < 0:
+        # a word is tried at its start alone and never given back, so a long one takes linear time
+        found = F.regexp_extract(F.substring_index(gap, "\n", -1), r"(?U)(?<![^\W\d_])([^\W\d_]++)[^\w\n]{0,20}\z", 1)
+    else:
+        found = F.regexp_extract(gap, r"(?U)\A[^\w\n]{0,20}([^\W\d_]++)", 1)
+    return ascii_lower(found)
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +112,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return edges.where(F.length("pattern") > 1).distinct()
 
 
-def discover(found: DataFrame, rounds: int = 2, min_support: int = 3, min_confidence: float = 0.8, salts: int = 16) -> DataFrame:
+def discover(found: DataFrame, rounds: int = 2, min_support: int = 3, min_confidence: float = 0.8) -> DataFrame:
     """Candidates (key, kind, start, end) that contexts of confirmed identifiers vouch for.
 
     Base matches are seeds with confidence 1, other instances start at 0. Each
@@ -122,9 +125,11 @@ def discover(found: DataFrame, rounds: int = 2, min_support: int = 3, min_confid
     min_support confident instances or a score under min_confidence; an instance
     then takes the noisy-or of its patterns. Instances whose patterns reach
     min_confidence in the last round are found, wherever they occur, seeds in
-    another spelling too. Edges are
-    distinct before any join, and joins on a pattern are salted by instance,
-    so a word beside most identifiers is spread out.
+    another spelling too; found is from occurrences(), and an empty one gives none.
+
+    Edges are distinct before any join; what is joined on a pattern or an
+    instance is counted first, so a word beside most identifiers, or an
+    identifier in most texts, is dealt to several tasks.
     """
     base = found.where(F.col("holds") & (F.col("kind") < len(KINDS)))
     free = cut(_free_candidates(found))
@@ -134,16 +139,21 @@ def discover(found: DataFrame, rounds: int = 2, min_support: int = 3, min_confid
     known = edges.groupBy("kind", "instance").agg(F.max("_seed").alias("_known"))
     elsewhere = F.max("_known").over(Window.partitionBy("instance"))
     known = known.withColumn("_least", F.when(elsewhere > F.col("_known"), 1.0).otherwise(UNSEEN))
-    edges = edges.drop("_seed").join(known, ["kind", "instance"]).withColumn("conf", F.col("_known")).withColumn("_v", F.lit(0.0)).withColumn("_salt", F.pmod(F.xxhash64("instance"), F.lit(salts)).cast("int"))
-    edges = cut(edges)
+    by_instance, by_pattern = (cut(edges.groupBy("kind", c).agg(F.count("*").alias("_n"))) for c in ("instance", "pattern"))
+    n = by_pattern.agg(F.sum("_n")).first()[0] or 0
+    edges = spread_join(edges.drop("_seed"), known, ["kind", "instance"], by_instance, n)
+    edges = cut(edges.withColumn("conf", F.col("_known")).withColumn("_v", F.lit(0.0)))
     for _ in range(rounds):
         patterns = edges.groupBy("kind", "pattern").agg((F.sum("conf") / (F.sum(F.greatest("conf", "_least")) + 1)).alias("_p"), F.count_if(F.col("conf") >= min_confidence).alias("_support"))
-        patterns = patterns.where((F.col("_support") >= min_support) & (F.col("_p") >= min_confidence))
-        patterns = patterns.select("kind", "pattern", "_p", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        vouched = edges.join(patterns, ["kind", "pattern", "_salt"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("_p"), F.lit(0.999999)))))).alias("_v"))
-        edges = cut(edges.drop("_v").join(vouched, ["kind", "instance"], "left").withColumn("conf", F.greatest("_known", F.coalesce("_v", F.lit(0.0)))))
+        patterns = patterns.where((F.col("_support") >= min_support) & (F.col("_p") >= min_confidence)).select("kind", "pattern", "_p")
+        vouched = spread_join(edges.select("kind", "instance", "pattern"), patterns, ["kind", "pattern"], by_pattern, n)
+        vouched = vouched.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("_p"), F.lit(0.999999)))))).alias("_v"))
+        edges = spread_join(edges.drop("_v"), vouched, ["kind", "instance"], by_instance, n, "left")
+        edges = cut(edges.withColumn("conf", F.greatest("_known", F.coalesce("_v", F.lit(0.0)))))
     trusted = edges.where(F.col("_v") >= min_confidence).select("kind", "instance").distinct()
-    hits = free.withColumn("instance", _norm(F.col("kind"), F.col("value"))).join(trusted, ["kind", "instance"])
+    free = free.withColumn("instance", _norm(F.col("kind"), F.col("value")))
+    often = cut(free.groupBy("kind", "instance").agg(F.count("*").alias("_n")))
+    hits = spread_join(free, trusted, ["kind", "instance"], often, often.agg(F.sum("_n")).first()[0] or 0)
     # A string that fits several kinds is reported once, as the first of them.
     return hits.groupBy(*KEY, "start", "end").agg(F.min("kind").alias("kind"))
 
@@ -153,7 +163,10 @@ def scan(docs: DataFrame, rounds: int = 2, min_support: int = 3, min_confidence:
 
     found is false for pattern matches and true for what contexts add; added
     spans never touch pattern matches. Null and empty texts have no spans. Rows
-    alike in id and text get the same spans; a column named spans gives way.
+    alike in id and text get the same spans; a column named spans gives way. A
+    string that fits several kinds is reported as the first of them; the order
+    of rows decides nothing. Time is linear in a text's length, and a text with
+    very many matches is sorted by them alone. An empty table stays empty.
     """
     found = cut(occurrences(docs, id_col, text_col))
     base = found.where(F.col("holds") & (F.col("kind") < len(KINDS))).select(*KEY, "kind", "start", "end", F.lit(False).alias("found"))
@@ -165,7 +178,11 @@ def scan(docs: DataFrame, rounds: int = 2, min_support: int = 3, min_confidence:
 
 
 def redact(scanned: DataFrame, text_col: str = "text") -> DataFrame:
-    """Replaces every span of scan() by its kind in brackets; overlapping spans become one, named by the first."""
+    """Replaces every span of scan() by its kind in brackets; overlapping spans become one, named by the first.
+
+    Null text becomes the empty text. Repeated rows repeat, other columns stay,
+    an empty table stays empty.
+    """
     text, spans = F.coalesce(F.col(text_col), F.lit("")), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
