@@ -208,8 +208,20 @@ def test_licenses_wrapped(spark):
 
 @pytest.mark.parametrize("run", [licenses.scan, linededup.dedup_lines, sharding.interleave, pii.scan], ids=lambda f: f.__module__)
 def test_odd_rows(spark, odd, run):
-    assert run(odd).count() == 10
-    assert run(odd.limit(0)).count() == 0
+    out = run(odd)
+    rows = sorted(out.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    assert len(rows) == 10 and run(odd.limit(0)).count() == 0
+    assert [r["doc_id"] for r in rows] == [1, 2, 3, 4, 4, 5, 6, 7, None, None] and {r["_text"] for r in rows} == {"clash"}
+    of = {r["doc_id"]: r for r in rows}
+    if run is licenses.scan:
+        assert [of[k]["n_words"] for k in (1, 2, 3, 4, 5, 6, 7)] == [0, 0, 0, 3, 60_000, 2, 3] and {(r["score"], tuple(r["matches"]), tuple(r["starts"])) for r in rows} == {(0.0, (), ())}
+    elif run is linededup.dedup_lines:
+        assert [of[k]["n_lines"] for k in (1, 2, 3, 4)] == [1, 1, 2, 1] and {r["n_dropped"] for r in rows} == {0}
+        assert [of[k]["text"] for k in (1, 2, 3, 4)] == ["", "", " \n\t ", "hello there friend"]
+    elif run is sharding.interleave:
+        assert [of[k]["size"] for k in (1, 2, 4)] == [1, 1, 19] and of[1]["text_crc32"] == 0 and sorted(r["shard"] for r in rows) == sorted(i * 16 // 10 for i in range(10))
+    else:
+        assert {tuple(r["spans"]) for r in rows} == {()}
 
 
 def test_sharding(spark, docs):
@@ -658,6 +670,33 @@ def test_pipeline(spark, docs):
     assert set(packed.doc_id) == set(after) and (packed.groupby("sequence_id").length.sum() <= 2048).all()
 
 
+NAMES = "n_lines n_dropped n_words n_hit items spans score lang_pred n_shingles component_id kept _id _text _own_0".split()
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_odd_rows(spark, odd, k):
+    """Each stage alone: columns that clash with what operators add keep their values; nulls, repeats and empty tables."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    clean = odd.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in NAMES])
+    out = stage(spark, clean, SF)
+    rows, none = out.collect(), stage(spark, clean.limit(0), SF)
+    assert none.columns == out.columns and none.count() == 0
+    ids = Counter(r["doc_id"] for r in rows)
+    if name == "packing":
+        assert ids.keys() == {1, 2, 3, 4, 5, 6, 7, None} and ids[4] == 2 and ids[None] == 2
+        return
+    assert out.columns == clean.columns
+    assert all(r[c] == f"{c} {r['doc_id'] if r['doc_id'] is not None else '-'}" for r in rows for c in NAMES)
+    if name == "language_id":
+        assert 1 not in ids and 2 not in ids and 3 not in ids and 6 not in ids and ids[4] == 2 and ids[5] == 1
+    else:
+        assert ids == {1: 1, 2: 1, 3: 1, 4: 2, 5: 1, 6: 1, 7: 1, None: 2}
+    if name == "line_dedup":
+        assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] is not None} == {r["doc_id"]: r["text"] or "" for r in clean.collect() if r["doc_id"] is not None}
+
+
 def test_digest_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert linededup.dedup_lines(df).select(F.sha2("text", 256)).first()[0] == hashlib.sha256(b"").hexdigest()

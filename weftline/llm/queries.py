@@ -71,7 +71,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: ~s["found"])
     of_kind = lambda i: F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long")
     counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
