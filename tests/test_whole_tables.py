@@ -28,3 +28,23 @@ def test_counts_of_a_long_document(spark):
     assert posted.first()["tf"] == 70_000 and sizes.first()["num_tokens"] == 70_000
     stats = search.corpus_stats(sizes).first()
     assert stats["total"] == 70_000 and stats["avgdl"] == 70_000
+
+
+def test_query_and_index_tokens_agree(spark):
+    """The driver's tokenizer and the columns': accents, other scripts, cases, fractions, short stems."""
+    from weftline.functions import text as T
+    from weftline.operators import search
+
+    said = ["książka leży na półce", "½ tasse", "getUserData v2api HTTPServer2", "øas øs ñas", "Größe über ÄÖÜ", "слова Словарь", "漢字テスト 東京2020", "naïve CAFÉ", "x_y-z", "٣٤abc", "", "İstanbul ǅungla", "a bb ccc", "los las corriendo rápidamente"]
+    rows = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {r["doc_id"]: r["t"] for r in rows.select("doc_id", T.tokenize(F.col("text")).alias("t")).collect()}
+    assert [got[i] for i in range(len(said))] == [T.tokenize_query(x) for x in said]
+    each = {r["doc_id"]: sorted(r["t"]) for r in T.token_rows(rows, F.col("text"), "doc_id").groupBy("doc_id").agg(F.collect_list("term").alias("t")).collect()}
+    assert all(each.get(i, []) == sorted(got[i]) for i in range(len(said)))
+    for word in ("książka", "leży", "Größe", "Словарь"):
+        assert [r["doc_id"] for r in search.search(rows, word, expand=False).collect()] == [i for i, x in enumerate(said) if set(T.tokenize_query(word)) & set(got[i])]
+    stored = search.postings(rows)
+    sizes = search.lengths(rows, stored)
+    a = search.scores(stored, sizes, search.corpus_stats(sizes), ["książk", "dat"]).orderBy("doc_id").collect()
+    b = search.query_scores(rows, ["książk", "dat"]).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in a] == [r["doc_id"] for r in b] and all(abs(x["score"] - y["score"]) < 1e-12 for x, y in zip(a, b, strict=True))

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
+import html
 import re
+import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values, in the order of the tokenizer they belong to.
+# Fixed values, in the order of the tokenizer they belong to: letters that lose their accents.
 ACCENTED, PLAIN = "áéíóúÁÉÍÓÚüÜñÑ", "aeiouAEIOUuUnN"
-STOP_WORDS = """
-el la los las lo les le un una unos unas
-de del a en por para con sin al ante bajo contra desde durante hacia hasta mediante segun sobre tras via
-y e o u pero porque que pues si aunque como cuando donde mientras salvo excepto
-yo tu tú ella ello nos nosotros vos vosotros ustedes me te se os mi mis tus su sus este esta esto ese esa eso aquel aquella aquello quien cual cuyo
-es son fue fueron era eran soy eres somos estan estaba hay ha han he hemos haber ser estar sido siendo
-muy mas menos todo toda todos todas nada algo cada otro otra otros otras mismo misma entre asi tambien tampoco aqui alli alla ya aun todavia solo sola no puede debe podria
-the and for are you our out not but with this that
-""".split()
-#: The suffixes that can match once accents are folded.
-SUFFIXES = """
-erais asteis isteis abais ando endo anza anzas ario arios aria arias ador adora adores adoras ante antes ente entes
-miento mientos menta mento idad idades ible ibles ismo ismos ista istas ivo iva ivos ivas aje ajes eza ezas
-aba ada ido ar er ir as es an en in os a o e s
-""".split()
+# Words that are no tokens.
+STOP_WORDS = [
+    "el", "la", "los", "las", "lo", "les", "le", "un", "una", "unos", "unas", "de", "del", "a", "en", "por", "para", "con", "sin", "al", "ante", "bajo",
+    "contra", "desde", "durante", "hacia", "hasta", "mediante", "segun", "sobre", "tras", "via", "y", "e", "o", "u", "pero", "porque", "que", "pues",
+    "si", "aunque", "como", "cuando", "donde", "mientras", "salvo", "excepto", "yo", "tu", "tú", "ella", "ello", "nos", "nosotros", "vos", "vosotros",
+    "ustedes", "me", "te", "se", "os", "mi", "mis", "tus", "su", "sus", "este", "esta", "esto", "ese", "esa", "eso", "aquel", "aquella", "aquello",
+    "quien", "cual", "cuyo", "es", "son", "fue", "fueron", "era", "eran", "soy", "eres", "somos", "estan", "estaba", "hay", "ha", "han", "he", "hemos",
+    "haber", "ser", "estar", "sido", "siendo", "muy", "mas", "menos", "todo", "toda", "todos", "todas", "nada", "algo", "cada", "otro", "otra", "otros",
+    "otras", "mismo", "misma", "entre", "asi", "tambien", "tampoco", "aqui", "alli", "alla", "ya", "aun", "todavia", "solo", "sola", "no", "puede",
+    "debe", "podria", "the", "and", "for", "are", "you", "our", "out", "not", "but", "with", "this", "that",
+]
+# Suffixes that a stem loses, without the accented ones: accents are folded first, so those can't match.
+SUFFIXES = [
+    "erais", "asteis", "isteis", "abais", "ando", "endo", "anza", "anzas", "ario", "arios", "aria", "arias", "ador", "adora", "adores", "adoras", "ante",
+    "antes", "ente", "entes", "miento", "mientos", "menta", "mento", "idad", "idades", "ible", "ibles", "ismo", "ismos", "ista", "istas", "ivo", "iva",
+    "ivos", "ivas", "aje", "ajes", "eza", "ezas", "aba", "ada", "ido", "ar", "er", "ir", "as", "es", "an", "en", "in", "os", "a", "o", "e", "s",
+]
+# Words that a query is widened by.
 SYNONYMS = {
     "crear": ["generar", "construir", "nuevo", "hacer"], "buscar": ["encontrar", "localizar", "consultar", "recuperar"],
     "obtener": ["recuperar", "conseguir", "leer", "sacar"], "eliminar": ["borrar", "remover", "quitar", "suprimir"],
@@ -41,60 +47,87 @@ SYNONYMS = {
     "update": ["actualizar", "modificar"], "get": ["obtener", "recuperar", "leer"], "set": ["establecer", "definir", "poner"],
     "save": ["guardar", "almacenar"], "load": ["cargar", "leer"],
 }
-LANGUAGES = """
-.go=go .py=python .js=javascript .ts=typescript .jsx=jsx .tsx=tsx .rs=rust .java=java .rb=ruby .php=php .c=c .h=c .cpp=cpp .hpp=cpp
-.cs=csharp .swift=swift .kt=kotlin .scala=scala .r=r .lua=lua .sh=bash .bash=bash .zsh=bash .fish=bash .ps1=powershell .pl=perl .pm=perl
-.tex=latex .md=markdown .rst=rst .txt=text .json=json .yaml=yaml .yml=yaml .xml=xml .html=html .htm=html .css=css .scss=scss .sass=sass
-.less=less .sql=sql .toml=toml .ini=ini .cfg=ini .env=env .dockerfile=dockerfile
-""".split()
-STEM = r"^(?:(..+?)|([^\x00-\x7F]))(?:" + "|".join(SUFFIXES) + ")$"
-#: Where an identifier is cut, one pattern after the other.
-CUTS = (r"(\p{Ll})(\p{Lu})", r"(\p{L})(\p{Nd})", r"(\p{Nd})(\p{L})", r"(\p{Lu})(\p{Lu}\p{Ll})")
+# Languages by extension.
+LANGUAGES = {
+    ".go": "go", ".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "jsx", ".tsx": "tsx", ".rs": "rust", ".java": "java", ".rb": "ruby",
+    ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".r": "r",
+    ".lua": "lua", ".sh": "bash", ".bash": "bash", ".zsh": "bash", ".fish": "bash", ".ps1": "powershell", ".pl": "perl", ".pm": "perl", ".tex": "latex",
+    ".md": "markdown", ".rst": "rst", ".txt": "text", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".xml": "xml", ".html": "html", ".htm": "html",
+    ".css": "css", ".scss": "scss", ".sass": "sass", ".less": "less", ".sql": "sql", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".env": "env",
+    ".dockerfile": "dockerfile",
+}
+#: Between words, and inside identifiers at case and digit boundaries.
+BREAK = r"[^\p{L}\p{Nd}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, ACCENTED, PLAIN))
 
 
 def raw_parts(c: Column) -> Column:
     """Runs of letters and digits, cut at case and digit boundaries, in their own case."""
-    spaced = F.regexp_replace(fold_accents(c), r"[^\p{L}\p{Nd}]+", " ")
-    for pattern in CUTS:
-        spaced = F.regexp_replace(spaced, pattern, "$1 $2")
-    return F.split(spaced, " ")
+    return F.split(fold_accents(c), BREAK)
 
 
 def stem(word: Column) -> Column:
     """Strips the longest listed suffix that leaves two bytes; words of three bytes or fewer stay."""
-    return F.when(F.octet_length(word) > 3, F.regexp_replace(word, STEM, "$1$2")).otherwise(word)
+    out = None
+    for n in sorted({len(x) for x in SUFFIXES}, reverse=True):
+        test = (F.octet_length(word) >= max(4, n + 2)) & F.right(word, F.lit(n)).isin([x for x in SUFFIXES if len(x) == n])
+        cut = F.left(word, F.char_length(word) - n)
+        out = F.when(test, cut) if out is None else out.when(test, cut)
+    return out.otherwise(word)
+
+
+def _is_word(c: Column) -> Column:
+    return (F.octet_length(c) >= 2) & ~c.isin(STOP_WORDS)
 
 
 def tokenize(c: Column) -> Column:
     """Tokens of a text in order, as an array."""
-    words = F.filter(F.transform(raw_parts(c), F.lower), lambda w: (F.octet_length(w) >= 2) & ~w.isin(STOP_WORDS))
+    words = F.filter(F.transform(raw_parts(c), F.lower), _is_word)
     return F.filter(F.transform(words, stem), lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
-def token_rows(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """(keep..., term), a row a token: the same tokens as tokenize(), exploded before filtering so that all of it is compiled."""
-    words = df.select(*keep, F.explode(raw_parts(text)).alias("_w")).select(*keep, F.lower("_w").alias("_w"))
-    words = words.where((F.octet_length("_w") >= 2) & ~F.col("_w").isin(STOP_WORDS)).select(*keep, stem(F.col("_w")).alias("term"))
-    return words.where((F.col("term") != "") & ~F.col("term").isin(STOP_WORDS))
+def token_rows(df: DataFrame, text: Column, *keep: str, outer: bool = False) -> DataFrame:
+    """(keep..., term), a row a token: the same tokens as tokenize(), exploded before filtering so that all of it is compiled.
+
+    With outer, what is no token has a null term, so that a text without tokens has rows too.
+    """
+    explode = F.explode_outer if outer else F.explode
+    words = df.select(*keep, explode(raw_parts(text)).alias("_w")).select(*keep, F.lower("_w").alias("_w"))
+    words = words if outer else words.where(_is_word(F.col("_w")))
+    words = words.select(*keep, (F.when(_is_word(F.col("_w")), stem(F.col("_w"))) if outer else stem(F.col("_w"))).alias("term"))
+    good = (F.col("term") != "") & ~F.col("term").isin(STOP_WORDS)
+    return words.withColumn("term", F.when(good, F.col("term"))) if outer else words.where(good)
 
 
 def tokenize_query(query: str) -> list[str]:
-    """tokenize() of a short string, on the driver."""
-    spaced = re.sub(r"[\W_]+", " ", query.translate(str.maketrans(ACCENTED, PLAIN)))
-    upper, lower = r"[^\W\d_a-zß-öø-ÿ]", r"[a-zß-öø-ÿ]"
-    for pattern in (rf"({lower})({upper})", r"([^\W\d_])(\d)", r"(\d)([^\W\d_])", rf"({upper})({upper}{lower})"):
-        spaced = re.sub(pattern, r"\1 \2", spaced)
-    out = []
-    for w in spaced.lower().split(" "):
-        if len(w.encode()) >= 2 and w not in STOP_WORDS:
-            w = re.sub(STEM, r"\1\2", w) if len(w.encode()) > 3 else w
-            if w and w not in STOP_WORDS:
-                out.append(w)
-    return out
+    """tokenize() of a short string, on the driver: letters are the categories L, digits Nd, cases Lu and Ll."""
+    kinds = [(c, unicodedata.category(c)) for c in query.translate(str.maketrans(ACCENTED, PLAIN))]
+    parts, n = [""], len(kinds)
+    for i, (c, kind) in enumerate(kinds):
+        if kind[0] != "L" and kind != "Nd":
+            parts.append("")
+            continue
+        before, after = kinds[i - 1][1] if i else "", kinds[i + 1][1] if i + 1 < n else ""
+        if (before == "Ll" and kind == "Lu") or (before[:1] == "L" and kind == "Nd") or (before == "Nd" and kind[0] == "L") or (before == kind == "Lu" and after == "Ll"):
+            parts.append("")
+        parts[-1] += c
+    words = [w for w in map(str.lower, parts) if len(w.encode()) >= 2 and w not in STOP_WORDS]
+    return [w for w in map(stem_word, words) if w and w not in STOP_WORDS]
+
+
+def stem_word(word: str) -> str:
+    """stem() of one word."""
+    size = len(word.encode())
+    fits = [x for x in SUFFIXES if size > 3 and word.endswith(x) and size - len(x) >= 2]
+    return word[: -len(max(fits, key=len))] if fits else word
 
 
 def expand_query(tokens: list[str], stem_keys: bool = False) -> list[str]:
@@ -111,7 +144,7 @@ def expand_query(tokens: list[str], stem_keys: bool = False) -> list[str]:
 def detect_language(path: Column) -> Column:
     """By extension, any case; then by the names of container and make files."""
     base = F.lower(F.element_at(F.split(path, "/"), -1))
-    table = F.create_map(*[F.lit(x) for pair in LANGUAGES for x in pair.split("=")])
+    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     known = F.try_element_at(table, F.regexp_extract(base, r"(\.[^.]*)$", 1))
     return F.coalesce(known, F.when(base.startswith("dockerfile"), "dockerfile").when(base.startswith("makefile") | (base == "gnumakefile"), "makefile").otherwise("unknown"))
 

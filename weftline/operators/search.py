@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.text import expand_query, token_rows, tokenize_query
+from weftline.functions.text import bind, expand_query, token_rows, tokenize_query
 
 K1, B, VERSION = 1.5, 0.75, 5
 MAX_TF = 65_535
@@ -59,12 +59,36 @@ def top_k(scored: DataFrame, k: int = 5, key: str = "doc_id", most: int = 20) ->
     return scored.orderBy(F.desc("score"), key).limit(min(k, most))
 
 
+def query_scores(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score): BM25 of terms over unindexed documents.
+
+    One pass over the texts: a document's tokens are counted where it is read, and
+    only its length and the counts of the query's terms are shuffled.
+    """
+    terms = sorted(set(terms))
+    if not terms:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    rows = token_rows(docs, F.col(text), key, outer=True)
+    sizes = rows.groupBy(key).agg(F.count("term").alias("num_tokens"), *[F.count_if(F.col("term") == t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("num_tokens").alias("avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
+    total = F.lit(0.0)
+    for i in range(len(terms)):
+        tf = F.least(F.col(f"_tf{i}"), F.lit(MAX_TF))
+        total = total + idf(F.col("n"), F.col(f"_df{i}")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("num_tokens") / F.col("avgdl")))
+    some = sizes.where(F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0)) > 0)
+    return some.crossJoin(F.broadcast(stats)).select(key, total.alias("score")).where(F.col("score") > 0)
+
+
 def search(docs: DataFrame, query: str, k: int = 5, expand: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of a query over unindexed documents."""
+    """(key, score) of a query over unindexed documents; a stored index is served by load() and scores()."""
     base = tokenize_query(query)
-    posted = postings(docs, key, text)
-    sizes = lengths(docs, posted, key)
-    return top_k(scores(posted, sizes, corpus_stats(sizes), expand_query(base) if expand else base, key), k, key)
+    return top_k(query_scores(docs, expand_query(base) if expand else base, key, text), k, key)
+
+
+def to_json(found: DataFrame, order: str = "score") -> DataFrame:
+    """One row, json: the results as an array, best first; [] for none."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("_o"), F.struct(*found.columns).alias("_r"))))
+    return found.agg(F.to_json(F.transform(rows, lambda x: x["_r"])).alias("json"))
 
 
 def field_weight(tokens: list[str], name: Column, kind: Column, symbols: Column, imports: Column, parent: Column) -> Column:
@@ -86,21 +110,28 @@ def _inside(xs: Column, token: str) -> Column:
 
 def snippet(text: Column, tokens: list[str], context: int = 5) -> Column:
     """The block around the line with most tokens, from a break to the next, at least about context lines."""
-    lines = F.split(text, "\n")
-    hits = F.transform(lines, lambda x: sum((F.lower(x).contains(t).cast("int") for t in tokens), F.lit(0)))
-    best = (F.array_position(hits, F.array_max(hits)) - 1).cast("int")
-    n = F.size(lines)
-    stops = lambda x: (F.trim(x) == "") | F.trim(x).startswith("#") | F.trim(x).startswith("```")
+    hits_of = lambda x: bind(F.lower(x), lambda y: sum((F.contains(y, F.lit(t)).cast("int") for t in tokens), F.lit(0)))
+    stops = lambda x: bind(F.trim(x), lambda y: (y == "") | F.startswith(y, F.lit("#")) | F.startswith(y, F.lit("```")))
     walls = lambda x: stops(x) | F.trim(x).isin("}", "{")
-    back = F.filter(F.transform(F.slice(lines, 1, best), lambda x, i: F.when(walls(x), i + 1)), lambda i: i.isNotNull())
-    start = F.coalesce(F.array_max(back), F.lit(0))
-    on = F.filter(F.transform(F.slice(lines, best + 1, n), lambda x, i: F.when(stops(x), i + 1)), lambda i: i.isNotNull())
-    end = F.coalesce(best + F.array_min(on), n)
-    extra = F.floor((context - (end - start)) / 2).cast("int")
-    small = end - start < context
-    lo, hi = F.when(small, F.greatest(F.lit(0), start - extra)).otherwise(start), F.when(small, F.least(n, end + extra)).otherwise(end)
-    found = F.slice(lines, lo + 1, hi - lo)
-    return F.regexp_replace(F.array_join(F.when(F.array_max(hits) > 0, found).otherwise(F.slice(lines, 1, context + 1)), "\n"), r"^\s+|\s+$", "")
+
+    def cut(lines: Column, most: Column, best: Column) -> Column:
+        n = F.size(lines)
+        back = F.array_max(F.filter(F.transform(F.slice(lines, 1, best), lambda x, i: F.when(walls(x), i + 1)), lambda i: i.isNotNull()))
+        on = F.array_min(F.filter(F.transform(F.slice(lines, best + 1, n), lambda x, i: F.when(stops(x), i + 1)), lambda i: i.isNotNull()))
+
+        def block(start: Column, end: Column) -> Column:
+            extra, small = F.floor((context - (end - start)) / 2).cast("int"), end - start < context
+            lo, hi = F.when(small, F.greatest(F.lit(0), start - extra)).otherwise(start), F.when(small, F.least(n, end + extra)).otherwise(end)
+            return F.slice(lines, lo + 1, hi - lo)
+
+        found = bind(F.coalesce(back, F.lit(0)), lambda start: bind(F.coalesce(best + on, n), lambda end: block(start, end)))
+        return F.array_join(F.when(most > 0, found).otherwise(F.slice(lines, 1, context + 1)), "\n")
+
+    def of(lines: Column) -> Column:
+        at = lambda hits: bind(F.array_max(hits), lambda most: cut(lines, most, (F.array_position(hits, most) - 1).cast("int")))
+        return bind(F.transform(lines, hits_of), at)
+
+    return F.regexp_replace(bind(F.split(text, "\n"), of), r"^\s+|\s+$", "")
 
 
 # Persistence and refresh

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from weftline.functions.text import ACCENTED, CUTS, PLAIN, STEM, STOP_WORDS
-
-STOPS = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+# Fixed values, written again here so that a wrong table shows: letters that lose their accents, words that are no tokens, suffixes.
+ACCENTED, PLAIN = "áéíóúÁÉÍÓÚüÜñÑ", "aeiouAEIOUuUnN"
+STOPS = """(
+'el', 'la', 'los', 'las', 'lo', 'les', 'le', 'un', 'una', 'unos', 'unas', 'de', 'del', 'a', 'en', 'por', 'para', 'con', 'sin', 'al', 'ante', 'bajo',
+'contra', 'desde', 'durante', 'hacia', 'hasta', 'mediante', 'segun', 'sobre', 'tras', 'via', 'y', 'e', 'o', 'u', 'pero', 'porque', 'que', 'pues',
+'si', 'aunque', 'como', 'cuando', 'donde', 'mientras', 'salvo', 'excepto', 'yo', 'tu', 'tú', 'ella', 'ello', 'nos', 'nosotros', 'vos', 'vosotros',
+'ustedes', 'me', 'te', 'se', 'os', 'mi', 'mis', 'tus', 'su', 'sus', 'este', 'esta', 'esto', 'ese', 'esa', 'eso', 'aquel', 'aquella', 'aquello',
+'quien', 'cual', 'cuyo', 'es', 'son', 'fue', 'fueron', 'era', 'eran', 'soy', 'eres', 'somos', 'estan', 'estaba', 'hay', 'ha', 'han', 'he', 'hemos',
+'haber', 'ser', 'estar', 'sido', 'siendo', 'muy', 'mas', 'menos', 'todo', 'toda', 'todos', 'todas', 'nada', 'algo', 'cada', 'otro', 'otra', 'otros',
+'otras', 'mismo', 'misma', 'entre', 'asi', 'tambien', 'tampoco', 'aqui', 'alli', 'alla', 'ya', 'aun', 'todavia', 'solo', 'sola', 'no', 'puede',
+'debe', 'podria', 'the', 'and', 'for', 'are', 'you', 'our', 'out', 'not', 'but', 'with', 'this', 'that'
+)"""
+SUFFIXES = "erais|asteis|isteis|abais|ando|endo|anza|anzas|ario|arios|aria|arias|ador|adora|adores|adoras|ante|antes|ente|entes|miento|mientos|menta|mento|idad|idades|ible|ibles|ismo|ismos|ista|istas|ivo|iva|ivos|ivas|aje|ajes|eza|ezas|aba|ada|ido|ar|er|ir|as|es|an|en|in|os|a|o|e|s"
+#: What stays of a word: one letter of two bytes or more, else two letters, then as few more as a suffix needs.
+STEM = rf"^(?:([^\x00-\x7F])|(..+?))(?:{SUFFIXES})$"
+#: Where an identifier is cut, one pattern after the other.
+CUTS = (r"(\p{Ll})(\p{Lu})", r"(\p{L})(\p{Nd})", r"(\p{Nd})(\p{L})", r"(\p{Lu})(\p{Lu}\p{Ll})")
 
 
 def parts(text: str) -> str:

@@ -74,7 +74,7 @@ def section_headers(spark, sf):
     return rows.select("doc_id", (F.col("i") + 1).alias("line_no"), T.section_header(F.col("line")).alias("title")).where(F.col("title").isNotNull())
 
 
-_LANGS = "MAP {" + ", ".join("'{}': '{}'".format(*x.split("=")) for x in T.LANGUAGES) + "}"
+_LANGS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.LANGUAGES.items()) + "}"
 
 
 @query(f"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') || list_extract(['', '.py', '.MD', '/Dockerfile.dev', '.tsx', '/makefile', '.unknown'], (page_id % 7 + 1)::INT) AS path FROM pages),
