@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import html
-import re
+import html.entities
+import json
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values, in the order of the tokenizer they belong to: letters that lose their accents.
@@ -206,15 +206,38 @@ def is_table_separator(line: Column) -> Column:
 
 # Pages
 
-#: Entities decoded, the ampersand last.
-ENTITIES = [("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"), ("&amp", "&")]
+#: What HTML calls characters, from the standard library's table: names with their semicolon, and the old ones that do without.
+NAMED = {k.removesuffix(";"): v for k, v in html.entities.html5.items() if k.endswith(";")}
+BARE = {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
+#: Numbers that stand for another character: those of Windows' code page, and zero.
+REMAPPED = {i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+
+
+def _table(values: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def _decoded(ref: Column) -> Column:
+    """The character of one reference, or the reference itself."""
+    body = F.regexp_replace(ref, "^&|;$", "")
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).cast("int")).when(body.startswith("#"), F.substring(body, 2, 8).cast("int"))
+    char = F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
+    gone = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    remapped = F.try_element_at(_table({str(k): v for k, v in REMAPPED.items()}), number.cast("string"))
+    numbered = F.coalesce(remapped, F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd").when(gone, "").otherwise(char))
+    # The longest name at the beginning that needs no semicolon; the rest stays.
+    lengths = sorted({len(k) for k in BARE}, reverse=True)
+    begun = [F.concat(F.try_element_at(_table(BARE), F.substring(ref, 2, n)), F.substring(ref, n + 2, 64)) for n in lengths]
+    named = F.when(ref.endswith(";"), F.try_element_at(_table(NAMED), body))
+    return F.when(body.isin("amp", "lt", "gt", "quot", "nbsp") & ref.endswith(";"), F.translate(F.left(body, F.lit(1)), "algqn", '&<>"\u00a0')).when(number.isNotNull(), numbered).otherwise(F.coalesce(named, *begun, ref))
 
 
 def unescape(c: Column) -> Column:
-    """Decodes the entities that pages use; markup that Python's html module alone knows is left as it is."""
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Decodes named and numbered character references as HTML does."""
+    gaps, refs = F.split(c, REFERENCE, -1), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+    decoded = F.array_join(F.zip_with(gaps, F.transform(refs, _decoded), lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))), "")
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def html_to_text(html: Column, min_line: int = 0) -> Column:
@@ -251,14 +274,22 @@ def unwrap_redirect(url: Column) -> Column:
     return F.when(target != "", F.url_decode(F.replace(target, F.lit("+"), F.lit("%2B")))).otherwise(url)
 
 
-def result_links(html: Column) -> Column:
-    """(url, title) of a search page's results, without adverts, help and empty titles."""
+def result_links(html: Column, most: int = 10) -> Column:
+    """(url, title) of the first `most` results of a search page, less adverts, help and empty titles among them."""
     anchor = r"""(?s)<a[^>]+href=['"]([^'"]+)['"][^>]*>(.*?)</a>"""
     urls, titles = F.regexp_extract_all(html, F.lit(anchor), F.lit(1)), F.regexp_extract_all(html, F.lit(anchor), F.lit(2))
-    pairs = F.zip_with(urls, titles, lambda u, t: F.struct(unwrap_redirect(unescape(u)).alias("url"), F.trim(F.regexp_replace(t, "<[^>]+>", "")).alias("title")))
+    pairs = F.zip_with(F.slice(urls, 1, most), F.slice(titles, 1, most), lambda u, t: F.struct(unwrap_redirect(unescape(u)).alias("url"), F.trim(F.regexp_replace(t, "<[^>]+>", "")).alias("title")))
     return F.filter(pairs, lambda p: (p["title"] != "") & (F.lower(p["title"]) != "more info") & ~p["url"].rlike("ad_provider|ad_domain|help-pages"))
 
 
+def with_pages(results: DataFrame, pages: DataFrame, by: str, order: str, first: int = 2, max_chars: int = 3000) -> DataFrame:
+    """Adds page: the text of the pages that the first results of each search name, where it is known."""
+    known = pages.select(F.col("url").alias("_u"), page_text(F.col("html"), max_chars).alias("page"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    rows = results.withColumn("_at", F.when(rank <= first, F.col("url")))
+    return rows.join(known, rows["_at"] == known["_u"], "left").drop("_at", "_u")
+
+
 # Small formats
 
 
@@ -278,6 +309,12 @@ def format_context(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("M"))).when(n >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit("K"))).otherwise(n.cast("string"))
 
 
+def format_price(prompt: Column, completion: Column) -> Column:
+    """What a million tokens each way cost, as $1.23; nothing for free or unpriced ones."""
+    total = (F.coalesce(prompt.try_cast("double"), F.lit(0.0)) + F.coalesce(completion.try_cast("double"), F.lit(0.0))) / 0.000001
+    return F.when(total > 0, F.concat(F.lit("$"), F.format_string("%.2f", total)))
+
+
 def format_cost(x: Column) -> Column:
     """Six places under a thousandth, else four; trailing zeros and point stripped."""
     shown = F.when(x < 0.001, F.format_string("%.6f", x)).otherwise(F.format_string("%.4f", x))
@@ -309,11 +346,36 @@ def fill_template(c: Column, values: dict[str, Column]) -> Column:
 
 
 def front_matter(c: Column) -> Column:
-    """(fields, body): the k: v lines between the leading --- marks and the trimmed rest."""
-    head, body = F.regexp_extract(c, r"(?s)\A---\s*\n(.*?)\n---", 1), F.regexp_replace(c, r"(?s)\A---\s*\n.*?\n---\s*", "")
-    lines = F.filter(F.split(head, "\n"), lambda x: x.contains(":"))
-    fields = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, "^[^:]*:", "")))))
-    return F.struct(fields.alias("fields"), trimmed(body).alias("body"))
+    """(fields, body): the k: v lines between the leading --- marks and the trimmed rest.
+
+    Of a key that repeats the last value holds; quotes around a value go, yes and
+    no become true and false, comments are passed over.
+    """
+    mark = r"(?s)\A---\s*\n(.*?)\n(?:---|\.\.\.)\s*(?:\n|\z)"
+    head, body = F.regexp_extract(c, mark, 1), F.regexp_replace(c, mark, "")
+    lines = F.filter(F.split(head, "\n"), lambda x: x.contains(":") & ~F.ltrim(x).startswith("#"))
+
+    def value(x: Column) -> Column:
+        plain = F.regexp_replace(F.trim(F.regexp_replace(x, "^[^:]*:", "")), "^[\"']+|[\"']+$", "")
+        return F.when(F.lower(plain).isin("true", "yes"), "true").when(F.lower(plain).isin("false", "no"), "false").otherwise(plain)
+
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), value(x).alias("v")))
+    last = bind(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"])))
+    return F.struct(F.map_from_entries(last).alias("fields"), trimmed(body).alias("body"))
+
+
+def markdown_functions(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(folder, name, description, doc): functions that markdown files with front matter define, one a folder that isn't private.
+
+    The name is that of the fields, else the folder's; the description that of
+    the fields, else the first 80 characters of the body. A file without fields
+    or body defines nothing.
+    """
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    rows = files.where(~folder.startswith("_") & (folder != "")).select(folder.alias("folder"), front_matter(F.col(text)).alias("_f"))
+    field = lambda k: F.nullif(F.try_element_at(F.col("_f.fields"), F.lit(k)), F.lit(""))
+    rows = rows.where((F.size("_f.fields") > 0) & (F.col("_f.body") != ""))
+    return rows.select("folder", F.coalesce(field("name"), F.col("folder")).alias("name"), F.coalesce(field("description"), F.substring("_f.body", 1, 80)).alias("description"), F.col("_f.body").alias("doc"))
 
 
 def filter_markers(c: Column) -> Column:

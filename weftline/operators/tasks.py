@@ -104,6 +104,13 @@ def transition(tasks: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("new_next_run", F.timestamp_seconds(F.unix_seconds(now) + F.col("delay"))).drop("_case")
 
 
+def unknown_agents(tasks: DataFrame, agents: DataFrame) -> DataFrame:
+    """(id, role, name) of the agents and reviewers that tasks name and that don't exist; a task may be added if it has none."""
+    named = F.array(F.struct(F.lit("agent").alias("role"), F.col("agent").alias("name")), F.struct(F.lit("reviewer").alias("role"), F.col("reviewer_agent").alias("name")))
+    rows = tasks.select("id", F.inline(named)).where(F.coalesce("name", F.lit("")) != "")
+    return rows.join(agents.select("name").distinct(), "name", "left_anti").select("id", "role", "name")
+
+
 def with_agent(tasks: DataFrame, agents: DataFrame) -> DataFrame:
     """Adds the agent's system prompt and known: whether the agent exists."""
     a = agents.select(F.col("name").alias("agent"), "system_prompt", F.lit(True).alias("_known"))

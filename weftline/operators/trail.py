@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def canonical_args(args: Column) -> Column:
-    """JSON objects with their keys sorted; anything else as it is."""
-    parsed = F.from_json(args, "map<string,string>")
-    return F.when(parsed.isNotNull(), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(parsed))))).otherwise(args)
+    """JSON with the keys of every object sorted and blanks gone, its types kept; anything else as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(args)), args)
 
 
 def repeat_alerts(calls: DataFrame, round_col: str = "round", seq: str = "seq", name: str = "name", args: str = "args", most: int = 10, run: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import history, trail
+from weftline.operators import catalog, history, trail
 from weftline.plans.registry import query, read
 from weftline.streaming import deltas
 
@@ -124,7 +124,8 @@ def token_budget(spark, sf):
 
 @query("SELECT user_id, bool_and(event_type <> 'purchase') AS all_blocked FROM events GROUP BY user_id")
 def all_blocked(spark, sf):
-    return read(spark, sf, "events").groupBy("user_id").agg(F.bool_and(F.col("event_type") != "purchase").alias("all_blocked"))
+    results = read(spark, sf, "events").select("user_id", F.when(F.col("event_type") != "purchase", "x BLOCKED by rule").otherwise("done").alias("text"))
+    return catalog.all_blocked(results, "user_id")
 
 
 def delta_lines(spark, sf):

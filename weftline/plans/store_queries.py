@@ -99,7 +99,7 @@ def task_agents(spark, sf):
     return tasks.with_agent(task_table(spark, sf), agents).select("id", "system_prompt", "known")
 
 
-@query("SELECT count(DISTINCT conv_id)::BIGINT AS sessions, count(*)::BIGINT AS messages, sum(len(coalesce(text, '')))::BIGINT AS chars FROM conversations")
+@query("SELECT count(DISTINCT conv_id)::BIGINT AS sessions, count(*)::BIGINT AS messages, sum(len(coalesce(text, '')))::BIGINT AS chars, (sum(strlen(coalesce(text, ''))) // 1024)::BIGINT AS kb FROM conversations")
 def session_stats(spark, sf):
     return catalog.session_stats(read(spark, sf, "conversations"))
 
@@ -145,30 +145,6 @@ def todo_checklist(spark, sf):
     return catalog.checklist(read(spark, sf, "orders").select("o_custkey", "o_orderkey", status.alias("status"), F.col("o_orderpriority").alias("content")), "o_custkey", "o_orderkey")
 
 
-def fact_table(spark, sf):
-    c = read(spark, sf, "customer").where("c_custkey <= 40")
-    line = F.when(F.col("c_custkey") % 10 == 0, "# heading").when(F.col("c_custkey") % 4 == 0, "<!-- note -->").otherwise(F.concat(F.lit("- likes "), F.col("c_custkey").cast("string")))
-    return c.select(F.when(F.col("c_custkey") > 30, "user").otherwise("memory").alias("store"), F.col("c_custkey").cast("int").alias("line_no"), line.alias("line"))
-
-
-_FACTS = "SELECT CASE WHEN c_custkey > 30 THEN 'user' ELSE 'memory' END AS store, c_custkey::INT AS line_no, CASE WHEN c_custkey % 10 = 0 THEN '# heading' WHEN c_custkey % 4 = 0 THEN '<!-- note -->' ELSE '- likes ' || c_custkey END AS line FROM customer WHERE c_custkey <= 40"
-
-
-@query(f"SELECT * FROM ({_FACTS}) WHERE contains(lower(line), 'likes 1') AND NOT starts_with(line, '<!--')")
-def fact_search(spark, sf):
-    return edits.find_facts(fact_table(spark, sf), "LIKES 1")
-
-
-@query(f"SELECT store, line_no, CASE WHEN store = 'memory' AND line_no = 1 THEN '- likes 1' ELSE line END AS line FROM ({_FACTS}) UNION ALL SELECT 'user', 41, '- is new'")
-def fact_upsert(spark, sf):
-    return edits.upsert_fact(edits.upsert_fact(fact_table(spark, sf), "memory", "likes 1"), "user", "is new")
-
-
-@query(f"SELECT * FROM ({_FACTS}) WHERE NOT (store = 'memory' AND line_no IN (7, 8))")
-def fact_delete(spark, sf):
-    return edits.remove_fact(edits.remove_fact(fact_table(spark, sf), "memory", "likes 7"), "memory", "likes 1")
-
-
 def every_fact(spark, sf):
     """All customers as facts, forty a store."""
     key = F.col("c_custkey")
@@ -180,17 +156,17 @@ _EVERY_FACT = "SELECT (c_custkey // 40)::VARCHAR AS store, (c_custkey % 40 + 1):
 
 
 @query(f"SELECT * FROM ({_EVERY_FACT}) WHERE contains(lower(line), 'likes 1') AND NOT starts_with(line, '<!--')")
-def fact_search_all(spark, sf):
+def fact_search(spark, sf):
     return edits.find_facts(every_fact(spark, sf), "LIKES 1")
 
 
 @query(f"SELECT store, line_no, CASE WHEN store = '0' AND line_no = 2 THEN '- ikes 1' ELSE line END AS line FROM ({_EVERY_FACT}) UNION ALL SELECT '1', 41, '- is new'")
-def fact_upsert_all(spark, sf):
+def fact_upsert(spark, sf):
     return edits.upsert_fact(edits.upsert_fact(every_fact(spark, sf), "0", "ikes 1"), "1", "is new")
 
 
 @query(f"SELECT * FROM ({_EVERY_FACT}) WHERE NOT (store = '1' AND line_no IN (8, 9))")
-def fact_delete_all(spark, sf):
+def fact_delete(spark, sf):
     return edits.remove_fact(edits.remove_fact(every_fact(spark, sf), "1", "likes 47"), "0", "likes 1")
 
 
@@ -205,11 +181,6 @@ def catalog_ttl(spark, sf):
     return files.fresh(read(spark, sf, "events"), F.expr("TIMESTAMP '2024-01-10 00:00:00'"), "ts").select("event_id")
 
 
-@query("SELECT event_id, event_type IN ('read', 'glob', 'grep', 'webfetch', 'websearch', 'episodic_search', 'view') AS read_only FROM events")
-def read_only_calls(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.col("event_type").isin(*catalog.READ_ONLY, "view").alias("read_only"))
-
-
 @query("SELECT o_orderkey, least(100, floor(o_totalprice / 220000 * 100))::BIGINT AS used FROM orders")
 def memory_budget(spark, sf):
-    return read(spark, sf, "orders").select("o_orderkey", F.least(F.lit(100), F.floor(F.col("o_totalprice") / 220000 * 100)).alias("used"))
+    return read(spark, sf, "orders").select("o_orderkey", catalog.memory_used(F.col("o_totalprice"), F.lit(220000)).alias("used"))

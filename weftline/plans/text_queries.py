@@ -74,6 +74,8 @@ def section_headers(spark, sf):
     return rows.select("doc_id", (F.col("i") + 1).alias("line_no"), T.section_header(F.col("line")).alias("title")).where(F.col("title").isNotNull())
 
 
+#: What the pages table has of entities, the ampersand last.
+ENTITIES = [("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", "\u00a0"), ("&amp;", "&"), ("&amp", "&")]
 _LANGS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.LANGUAGES.items()) + "}"
 
 
@@ -90,7 +92,7 @@ def _html(expr: str) -> str:
     for tag in ("script", "style", "nav", "footer", "header"):
         expr = f"regexp_replace({expr}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
     expr = f"regexp_replace({expr}, '<[^>]+>', chr(10), 'g')"
-    for name, char in T.ENTITIES:
+    for name, char in ENTITIES:
         expr = f"replace({expr}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     expr = f"string_split(regexp_replace({expr}, '[ \\t]+', ' ', 'g'), chr(10))"
     return f"list_filter(list_transform({expr}, lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
@@ -128,9 +130,9 @@ def grep_lines(spark, sf):
     return edits.grep(read(spark, sf, "documents"), "license|[0-9]{4}", "doc_id")
 
 
-@query("WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), h AS (SELECT path FROM p WHERE regexp_matches(path, '^(?:.*/)?[^/]*[0-9][^/]$')) SELECT path, (SELECT count(*) FROM h)::BIGINT AS total FROM h ORDER BY path LIMIT 200")
+@query("WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), h AS (SELECT path FROM p WHERE regexp_matches(path, '^(?:.*/)?[^/]*[0-9]$')) SELECT path, (SELECT count(*) FROM h)::BIGINT AS total FROM h ORDER BY path LIMIT 200")
 def glob_urls(spark, sf):
-    return edits.glob(read(spark, sf, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")).where(F.col("path").rlike("[0-9][^/]$")), "**/*")
+    return edits.glob(read(spark, sf, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")), "**/*[0-9]")
 
 
 @query(f"""WITH line AS ({_LINES}), s AS (SELECT doc_id, i, i || ': ' || l AS shown FROM line WHERE i >= 3 AND i < 23),
@@ -234,11 +236,6 @@ def project_files(spark, sf):
     return files.project_files(rows, rows.where("doc_id % 6 = 0"))
 
 
-@query("SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(substr(text, 1, 30))) AS uri FROM documents")
-def image_uri(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.data_uri(F.lit("x/y.PNG"), F.substring("text", 1, 30).cast("binary")).alias("uri"))
-
-
 @query("SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(text)) AS uri FROM documents")
-def image_uri_whole(spark, sf):
+def image_uri(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.data_uri(F.lit("x/y.PNG"), F.col("text").cast("binary")).alias("uri"))

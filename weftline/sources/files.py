@@ -37,8 +37,8 @@ def project_files(files: DataFrame, ignored: DataFrame) -> DataFrame:
 
 
 def text_of(content: Column) -> Column:
-    """Bytes as UTF-8 text."""
-    return F.decode(content, "UTF-8")
+    """Bytes as UTF-8 text; what isn't becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +52,47 @@ def write_tasks(tasks: DataFrame, path: str) -> None:
     tasks.agg(F.collect_list(F.struct(*tasks.columns)).alias("tasks")).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_texts(texts: DataFrame, folder: str, path: str = "path", text: str = "text") -> None:
+    """Writes each text whole under a folder named after its path, in place of what was there; read_texts() gives it back."""
+    rows = texts.select(F.url_encode(path).alias("path"), F.col(text).alias("value")).where(F.col("value").isNotNull())
+    rows.write.mode("overwrite").partitionBy("path").text(folder)
+
+
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text) of write_texts()."""
+    rows = spark.read.schema("value string, path string").text(folder, wholetext=True)
+    return rows.select(F.url_decode("path").alias("path"), F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
+def append_log(lines: DataFrame, folder: str, line: str = "line") -> None:
+    """Adds lines to a session's log."""
+    lines.select(F.col(line).alias("value")).write.mode("append").text(folder)
+
+
+def export_session(messages: DataFrame, by: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(by, markdown): each session as one text with a heading a message; for sessions that fit a row."""
+    block = F.concat(F.lit("## "), F.col(role), F.lit("\n\n"), F.coalesce(F.col(text), F.lit("")))
+    blocks = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b"))))
+    return messages.groupBy(by).agg(F.array_join(F.transform(blocks, lambda x: x["b"]), "\n\n").alias("markdown"))
+
+
+def save_presets(presets: DataFrame, folder: str, key: str = "name") -> None:
+    """Saves presets over those of the same name: each set of changes is a version of its own, and the last one of a name holds."""
+    presets.withColumn("_at", F.current_timestamp()).withColumn("_gone", F.lit(False)).write.mode("append").json(folder)
+
+
+def delete_presets(names: DataFrame, folder: str, key: str = "name") -> None:
+    names.select(key).withColumn("_at", F.current_timestamp()).withColumn("_gone", F.lit(True)).write.mode("append").json(folder)
+
+
+def read_presets(spark: SparkSession, folder: str, schema: str, key: str = "name") -> DataFrame:
+    """The presets that were saved last and not deleted since."""
+    rows = spark.read.schema(f"{schema}, _at timestamp, _gone boolean").json(folder)
+    own = [c for c in rows.columns if c not in (key, "_at", "_gone")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct("_gone", *own), "_at").alias("_x")).where(~F.col("_x._gone"))
+    return last.select(key, *[F.col(f"_x.{c}").alias(c) for c in own])
+
+
 def tail(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
     """The last n lines, in order."""
     return lines.orderBy(F.desc(order)).limit(n).orderBy(order)
