@@ -81,9 +81,9 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
 
 def _chains(text: str) -> list[list[str]]:
     """The words of each line that has any, made of letters alone; a chain ends with its line."""
-    if not text.isascii():
-        text = NUMBERS.sub(" ", text)
-    return [c for c in (WORD.findall(line) for line in text.lower().split("\n")) if c]
+    found = (WORD.findall(line) for line in text.lower().split("\n"))
+    lettered = (c if "".join(c).isalpha() else [x for w in c for x in NUMBERS.split(w) if x] for c in found if c)
+    return [c for c in lettered if c]
 
 
 def _forward_backward(score: np.ndarray, lengths: np.ndarray, trans: np.ndarray, first: np.ndarray, pairs: bool = False):
