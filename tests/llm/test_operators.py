@@ -184,10 +184,12 @@ def test_licenses_brute(spark):
         text = (r["text"] or "").lower()
         ws = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text) if w]
         want = {}
-        for line in text.split("\n"):
-            line_set = {w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", line) if w}
-            for label, t in licenses.TEMPLATES:
-                c = len(line_set & set(t.split())) / len(set(t.split()))
+        lines = [{w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", line) if w} for line in text.split("\n")]
+        for label, t in licenses.TEMPLATES:
+            n = math.ceil(1.25 * len(t.split()))
+            over = [set(ws[i : i + n]) for i in range(len(ws))] if len(lines) > 1 else []  # blocks of adjacent words, over line ends
+            for block in lines + over:
+                c = len(block & set(t.split())) / len(set(t.split()))
                 if c >= 0.8 - 1e-9:
                     want[label] = max(c, want.get(label, 0))
         assert {m["label"]: m["containment"] for m in r["matches"]} == pytest.approx(want)
@@ -196,14 +198,24 @@ def test_licenses_brute(spark):
 
 
 def test_licenses_wrapped(spark):
+    """Notices over line ends, with comment marks and changed words, against brute force over blocks of adjacent words."""
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
     mit = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files (the Software)"
-    cut_off = "x\n" + bsd.removeprefix("Redistribution and ") + "\ny"
-    other = "licensed\nunder a cloud by\n4 in cc 0"
-    rows = spark.createDataFrame(list(enumerate([bsd, mit, cut_off, other])), "doc_id long, text string")
-    got = [({m["label"]: round(m["containment"], 3) for m in r["matches"]}, round(r["score"], 3)) for r in licenses.scan(rows).orderBy("doc_id").collect()]
-    n = len(set(dict(licenses.TEMPLATES)["bsd-grant"].split()))
-    assert got == [({"bsd-grant": 1.0}, 1.0), ({"mit-grant": 1.0}, 1.0), ({"bsd-grant": round((n - 1) / n, 3)}, round((n - 1) / n, 3)), ({}, 0.0)]
+    gpl = " * This program is licensed under the GNU\n * General Public License, version 3"
+    apache = "Licensed under the Apache\nLicense, Version 2.0 (the License)"
+    changed = mit.replace("hereby granted", "hereby given").replace("any person", "each reader")
+    far = "licensed\n" + "x " * 9 + "under\ncc by " + "y " * 9 + "4 0"
+    texts = [bsd, mit, gpl, apache, "x\n" + bsd.removeprefix("Redistribution and ") + "\ny", changed, far, "licensed\nunder a cloud by\n4 in cc 0", ("the of and\n" * 3000) + mit]
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        ws, want = split(r["text"]), {}
+        for label, t in licenses.TEMPLATES:
+            own, n = set(t.split()), math.ceil(1.25 * len(t.split()))
+            best = max([len(own & set(ws[i : i + n])) for i in range(len(ws))] + [len(own & set(split(x))) for x in r["text"].split("\n")]) / len(own)
+            if best >= 0.8 - 1e-9:
+                want[label] = best
+        assert {m["label"]: m["containment"] for m in r["matches"]} == pytest.approx(want)
+        assert (r["doc_id"] in (6, 7)) == (not want)
 
 
 @pytest.mark.parametrize("run", [licenses.scan, linededup.dedup_lines, sharding.interleave, pii.scan], ids=lambda f: f.__module__)

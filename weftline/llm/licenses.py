@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEY, row_key, words
@@ -51,7 +51,9 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] | None =
     lines, rarest first. With need = ceil(threshold * template size), a match
     shares a word with the first size - need + 1 words of its template, has
     need words itself, and leaves room for need common words from the first
-    shared one on; what passes these filters is counted exactly.
+    shared one on; what passes these filters is counted exactly. Null, empty and
+    wordless texts match nothing; repeated rows share a key; an empty table gives
+    no rows.
     """
     templates = templates or TEMPLATES
     spark, sets = docs.sparkSession, [(label, sorted(set(text.split()))) for label, text in templates]
@@ -82,66 +84,65 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] | None =
     return pairs.groupBy(*KEY, "_line", "label").agg(F.max(F.col("_shared") / F.col("_of")).alias("containment"))
 
 
-def _runs(templates: list[tuple[str, str]], threshold: float) -> list[tuple[str, list[tuple[str, float]]]]:
-    """Of each template its runs of words, in order, that reach the threshold by themselves, with their containment, best first."""
-    out = []
-    for label, text in templates:
-        ws = text.split()
-        of = len(set(ws))
-        runs = {" ".join(ws[i:j]): len(set(ws[i:j])) / of for i in range(len(ws)) for j in range(i + 1, len(ws) + 1)}
-        out.append((label, sorted(((r, c) for r, c in runs.items() if c >= threshold - 1e-9), key=lambda x: (-x[1], x[0]))))
-    return out
-
-
-def _wrapped(ws: Column, text: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
-    """(label, containment) of the templates of which a run stands in the words of the whole text, over line ends too."""
-    kind, joined = "array<struct<label:string,containment:double>>", F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
-    every = _runs(templates, threshold)
-    # A word that all runs of a template share; a text without any such word has none of the runs.
-    core = sorted({max(sorted(set.intersection(*[set(r.split()) for r, _ in runs]) or [""]), key=len) for _, runs in every})
-
-    def of(j: Column) -> Column:
-        made = []
-        for label, runs in every:
-            # every run holds a shortest one, so only texts with one of those are looked at again
-            shortest = [r for r, _ in runs if not any(o != r and f" {o} " in f" {r} " for o, _ in runs)]
-            some = F.lit(False)
-            for r in shortest:
-                some = some | F.contains(j, F.lit(f" {r} "))
-            held = F.coalesce(*[F.when(F.contains(j, F.lit(f" {r} ")), c) for r, c in runs])
-            made.append(F.when(some, F.struct(F.lit(label).alias("label"), held.alias("containment"))))
-        return F.array_compact(F.array(*made))
-
-    open_ = text.contains("\n") & (F.lit("" in core) | F.arrays_overlap(ws, F.array(*map(F.lit, core))))
-    return F.when(open_, F.get(F.transform(F.array(joined), of), F.lit(0))).otherwise(F.array().cast(kind))
+def _room(text: str) -> int:
+    """Words that a notice may take where it is wrapped: a quarter more than its template."""
+    return math.ceil(1.25 * len(text.split()))
+
+
+def wrapped_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row key, label, containment): blocks of adjacent words, over line ends too, that hold at least threshold of a template's words.
+
+    A block has a quarter more words than the template, so marks, breaks and
+    changed words may stand inside. A text is only looked at for the templates
+    of which it has enough words at all; then each block that begins with a word
+    of the template is counted exactly. Texts of one line are left to
+    template_matches(); null, empty and wordless ones give none, repeated rows
+    share a key, an empty table gives none, and a long text costs a sort of the
+    places of its template words.
+    """
+    sets = [(label, text, sorted(set(text.split()))) for label, text in templates or TEMPLATES]
+    vocabulary = sorted({w for _, _, t in sets for w in t})
+    widths = [_room(text) for _, text, _ in sets]
+    whole = math.lcm(*widths)  # places are scaled, so that one frame fits every width
+    if whole > 1 << 32:
+        raise ValueError("template lengths have too large a common multiple; round them")
+    need = lambda t: max(1, math.ceil(round(threshold * len(t), 9)))
+    specs = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t)).alias("_template"), F.lit(need(t)).alias("_need"), F.lit(whole // n).cast("long").alias("_scale")) for (label, _, t), n in zip(sets, widths, strict=True)])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.where(text.contains("\n")).select(*row_key(id_col, text_col), words(F.col(text_col)).alias("_words"))
+    rows = rows.withColumn("_set", F.array_intersect("_words", F.array(*map(F.lit, vocabulary)))).where(F.size("_set") >= min(need(t) for _, _, t in sets))
+    rows = rows.select(*KEY, "_words", F.inline(F.filter(specs, lambda x: F.size(F.array_intersect("_set", x["_template"])) >= x["_need"])))
+    rows = rows.select(*KEY, "label", "_template", "_need", "_scale", F.posexplode("_words").alias("_at", "_tok")).where(F.array_contains("_template", F.col("_tok")))
+    block = Window.partitionBy(*KEY, "label").orderBy(F.col("_at") * F.col("_scale")).rangeBetween(0, whole - 1)
+    rows = rows.withColumn("_shared", F.size(F.collect_set("_tok").over(block))).where(F.col("_shared") >= F.col("_need"))
+    return rows.groupBy(*KEY, "label").agg(F.max(F.col("_shared") / F.size("_template")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, phrases: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns docs plus n_words, starts (of all phrase places, ascending), base_labels, matches and score.
 
     base_labels are the sorted labels of phrases that occur; matches are sorted
-    (label, containment) of the templates that some line contains at the
-    threshold, or of which a run of words that reaches it stands in the text,
-    wrapped over lines or not; score is the best containment, and 1 where a phrase stands.
-    Null or empty texts have no words, no labels and score 0. Rows alike in id
-    and text get the same result; columns named like the new ones give way.
+    (label, containment) of the templates that some line, or some block of
+    adjacent words over line ends, contains at the threshold; score is the best
+    containment, and 1 where a phrase stands. Null or empty texts have no words,
+    no labels and score 0. Rows alike in id and text get the same result;
+    columns named like the new ones give way. Of several blocks the best counts,
+    so ties don't matter; long texts take linear time and a sort of their
+    template words; an empty table stays empty.
     """
     new = ["n_words", "starts", "base_labels", "matches", "score"]
     phrases = phrases or PHRASES
     own = [c for c in docs.columns if c not in new]
     kind = "array<struct<label:string,at:int>>"
-    rows = docs.select(*own, *row_key(id_col, text_col), words(F.col(text_col)).alias("_w_words"), F.col(text_col).alias("_w_text"))
+    rows = docs.select(*own, *row_key(id_col, text_col), words(F.col(text_col)).alias("_w_words"))
     found = F.concat(*[_labelled(_starts(F.col("_w_words"), p), x) for p, x in phrases.items()])
     probe = F.arrays_overlap("_w_words", F.array(*[F.lit(w) for w in sorted({max(p.split(), key=len) for p in phrases})]))
-    over = _wrapped(F.col("_w_words"), F.coalesce(F.col("_w_text"), F.lit("")), templates or TEMPLATES, threshold)
-    rows = rows.select(*own, *KEY, F.size("_w_words").cast("long").alias("n_words"), F.when(probe, found).otherwise(F.array().cast(kind)).alias("_w_found"), over.alias("_w_over"))
+    rows = rows.select(*own, *KEY, F.size("_w_words").cast("long").alias("n_words"), F.when(probe, found).otherwise(F.array().cast(kind)).alias("_w_found"))
 
-    best = template_matches(docs, templates, threshold, id_col, text_col).groupBy(*KEY, "label").agg(F.max("containment").alias("containment"))
+    best = template_matches(docs, templates, threshold, id_col, text_col).select(*KEY, "label", "containment")
+    best = best.unionByName(wrapped_matches(docs, templates, threshold, id_col, text_col)).groupBy(*KEY, "label").agg(F.max("containment").alias("containment"))
     best = best.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("label", "containment"))).alias("matches"))
     out = rows.join(best, KEY, "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<label:string,containment:double>>")))
-    both = F.array_sort(F.concat("matches", "_w_over"))  # of a label the last has the greatest containment
-    both = F.filter(both, lambda x, i: F.coalesce(F.get(both, i + 1)["label"] != x["label"], F.lit(True)))
-    out = out.withColumn("matches", F.when(F.size("_w_over") > 0, both).otherwise(F.col("matches")))
     return out.select(
         *own,
         "n_words",
