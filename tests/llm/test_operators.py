@@ -215,7 +215,7 @@ def test_licenses_wrapped(spark):
             if best >= 0.8 - 1e-9:
                 want[label] = best
         assert {m["label"]: m["containment"] for m in r["matches"]} == pytest.approx(want)
-        assert (r["doc_id"] in (6, 7)) == (not want)
+        assert (r["doc_id"] == 6) == (not want)
 
 
 @pytest.mark.parametrize("run", [licenses.scan, linededup.dedup_lines, sharding.interleave, pii.scan], ids=lambda f: f.__module__)
@@ -247,6 +247,10 @@ def test_sharding(spark, docs):
     assert (rows.text_crc32 == [zlib.crc32(docs.text[d].encode()) for d in rows.doc_id]).all()
     again = sharding.interleave(spark.read.parquet(f"{SF}/documents.parquet").repartition(5), 7).toPandas()
     assert set(zip(rows.doc_id, rows.shard, rows.slot, strict=True)) == set(zip(again.doc_id, again.shard, again.slot, strict=True))
+    # equal texts of several sources share a shard, but for the few groups that a cut parts
+    groups = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 400).cast("string")).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    spread = sharding.interleave(groups, 4).toPandas()
+    assert (spread.groupby("text_crc32").shard.nunique() == 1).mean() >= 0.95 and spread.groupby("shard").size().tolist() == [1000] * 4
     alike = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("src").alias("source"))
     assert sorted(sharding.interleave(alike, 7).groupBy("shard").count().toPandas()["count"]) == [71] * 4 + [72] * 3
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Buckets of the distributed rank: 16**3 ranges of a shuffle key or of the fractional rank.
-HEX_DIGITS = 3
-BUCKETS = 16**HEX_DIGITS
+#: Of the shuffle key, the first digits come from the text and the next ones from the row: together they name a range whose rows are ranked in one task.
+TEXT_DIGITS, ROW_DIGITS = 3, 2
+#: Ranges of the fractional rank.
+BUCKETS = 4096
 
 
 def _offsets(counts: DataFrame, by: list[str], bucket: str, total: str) -> DataFrame:
-    """Rows before each bucket and in all, within by; counts has at most BUCKETS rows a group."""
+    """Rows before each bucket and in all, within by; counts has at most 16 ** (TEXT_DIGITS + ROW_DIGITS) rows a group."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     return counts.withColumn("_w_before", F.coalesce(F.sum("_w_n").over(w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(total, F.sum("_w_n").over(w))
 
@@ -21,10 +22,13 @@ def _offsets(counts: DataFrame, by: list[str], bucket: str, total: str) -> DataF
 def interleave(docs: DataFrame, shards: int = 16, seed: str = "weftline", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Returns the columns of docs (without text) plus size, text_crc32, shard and slot.
 
-    Rows of a source are shuffled by md5(seed, id, crc32 of the text), ranked,
-    and given the fractional rank (rank + 1/2) / rows of the source. All rows are put in the
-    order of that fraction and cut into shards whose counts differ by one at
-    most. Ranks come from counts of hash ranges plus a rank within a range, so
+    Rows of a source are shuffled by the first digits of md5(seed, crc32 of the
+    text), then by md5(seed, id, crc32), ranked, and given the fractional rank
+    (rank + 1/2) / rows of the source. All rows are put in the order of that
+    fraction and cut into shards whose counts differ by one at most. Equal texts
+    thus have nearly the same fraction in every source and share a shard, unless
+    a cut falls among them or they are more than a shard holds; counts go first.
+    Ranks come from counts of hash ranges plus a rank within a range, so
     a source with most of the rows never meets in one task. Texts are read once
     and the rest is written first. A null source is a source of its own; null
     text has size 1 and the crc32 of the empty text; a row with a null id
@@ -42,7 +46,8 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "weftline", id_col
         F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.monotonically_increasing_id())).alias("_w_name"),
     )
     key = F.md5(F.concat_ws(":", F.lit(seed), "_w_name", "text_crc32").cast("binary"))
-    rows = cut(rows.withColumn("_w_md5", key).drop("_w_name")).withColumn("_w_bucket", F.substring("_w_md5", 1, HEX_DIGITS))
+    group = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "text_crc32").cast("binary")), 1, TEXT_DIGITS)
+    rows = cut(rows.withColumn("_w_md5", F.concat(group, key)).drop("_w_name")).withColumn("_w_bucket", F.substring("_w_md5", 1, TEXT_DIGITS + ROW_DIGITS))
     ties = ["_w_md5", "text_crc32", "size"]
 
     counts = rows.groupBy("_w_source", "_w_bucket").agg(F.count("*").alias("_w_n"))
