@@ -109,3 +109,18 @@ def test_index_from_files_end_to_end(spark, tmp_path):
     assert found[0]["path"] == "d.go" and {r["path"] for r in found} == {"b.md", "c.txt", "d.go", "bad.txt", "z.cfg"}  # the name weighs
     assert build.search_index(spark, str(tmp_path / "index"), "get user data").collect()[0]["name"] == "getUserData"
     assert search.to_json(build.search_index(spark, str(tmp_path / "index"), "nosuchword")).first()["json"] == "[]"
+
+
+def test_match_grammar(spark):
+    import pytest
+
+    from weftline.operators import match
+
+    said = {1: "The quick brown fox", 2: "quick fox, brown dog", 3: "Árbol and foxes", 4: None, 5: "dog dog dog", 6: ""}
+    rows = spark.createDataFrame(list(said.items()), "id int, text string")
+    for query, want in {"quick brown": {1, 2}, '"quick brown"': {1}, "fox*": {1, 2, 3}, "quick NOT dog": {1}, "dog OR arbol": {2, 3, 5}, "(dog OR fox) AND brown": {1, 2}, '"quick bro" *': {1}, "quick AND NOTHING": set(), "dog NOT quick OR arbol": {3, 5}, "ÁRBOL": {3}}.items():
+        assert {r["id"] for r in match.match(rows, query).collect()} == want, query
+    assert [r["id"] for r in match.match(rows, "dog").collect()] == [5, 2]
+    for bad in ("", "AND x", "(x", "x )", '"', "NOT x", "x OR"):
+        with pytest.raises(ValueError):
+            match.parse(bad)

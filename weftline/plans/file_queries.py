@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import batch, build, catalog, code, edits, search, tasks, trail
+from weftline.operators import batch, build, catalog, code, edits, match, search, tasks, trail
 from weftline.plans.registry import query, read
 from weftline.plans.sqltext import bm25, tokens
 from weftline.plans.store_queries import _TASKS, task_table
@@ -305,6 +305,20 @@ def stored_search(spark, sf):
     return search.top_k(search.scores(posted, sizes, stats, ["reinheon", "thanoned", "atoust"]), 5).select("doc_id", F.round("score", 6).alias("score"))
 
 
+_MATCH = """WITH m AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM conversations),
+f AS (SELECT id, len(w) AS n, len(list_filter(w, lambda x: x = 'that')) AS a, len(list_filter(w, lambda x: x = 'with')) AS b, len(list_filter(w, lambda x: starts_with(x, 'fro'))) AS c, len(list_filter(range(1, len(w)), lambda i: w[i] = 'in' AND w[i + 1] = 'that')) AS d FROM m),
+s AS (SELECT count(*) AS n, avg(n) AS av, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db, count(*) FILTER (WHERE c > 0) AS dc FROM f),
+x AS (SELECT id, greatest(ln((s.n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * f.n / av)) + greatest(ln((s.n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * f.n / av)) + greatest(ln((s.n - dc + 0.5) / (dc + 0.5)), 1e-6) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * f.n / av)) AS score
+  FROM f, s WHERE a > 0 AND (b > 0 OR c > 0) AND NOT d > 0)
+SELECT id, round(score, 6) AS score FROM x ORDER BY x.score DESC, id LIMIT 10"""
+
+
+@query(_MATCH)
+def match_grammar(spark, sf):
+    m = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return match.match(m, 'That (with OR fro*) NOT "in that"').select("id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT CASE WHEN k % 2 = 0 THEN '[{\"name\":\"' || n || '\",\"score\":1.0}]' ELSE '[]' END AS json, k FROM (SELECT n_nationkey AS k, n_name AS n FROM nation WHERE n_nationkey IN (6, 7))")
 def result_json(spark, sf):
     n = read(spark, sf, "nation")
