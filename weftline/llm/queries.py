@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, decontaminate, langid, licenses, linededup, neardup, ngramlm, packing, pii, sharding
+from . import align, ann, collocations, decontaminate, langid, licenses, linededup, neardup, ngramlm, packing, pii, sharding
 from .common import fold_of
 from .sql import ORACLES
 
@@ -87,6 +87,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_scoring, op2_license_scan, op3_sharding, op4_language_id, op5_nearest_neighbours, op6_line_dedup, op7_pii, op8_near_dedup, op9_packing, op10_decontamination, op12_token_alignment, pipeline)
+    own = (op1_lm_scoring, op2_license_scan, op3_sharding, op4_language_id, op5_nearest_neighbours, op6_line_dedup, op7_pii, op8_near_dedup, op9_packing, op10_decontamination, op11_collocations, op12_token_alignment, pipeline)
     return {f.__name__: f for f in own}
 
 

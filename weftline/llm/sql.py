@@ -76,4 +76,23 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(word.c, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op2_license_scan": OP2, "op6_line_dedup": OP6, "op8_near_dedup": OP8, "op10_decontamination": OP10}
+OP11 = r"""
+WITH piece AS (SELECT doc_id, lang, generate_subscripts(ps, 1) AS p, unnest(ps) AS t FROM (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents)),
+w AS (SELECT lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+place AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM place GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS c FROM cand),
+lr AS (SELECT cut.lang, cut.phrase, cut.a, c, x.a AS l, y.a AS r, (2000000::HUGEINT * cut.a // (x.a::HUGEINT + y.a))::BIGINT AS score FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:c], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[c + 1:cut.k], ' ')),
+low AS (SELECT lang, phrase, a, unnest(min({'score': score, 'c': c, 'l': l, 'r': r})) FROM lr GROUP BY lang, phrase, a),
+inside AS (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda s: list_transform(range(1, k - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))))) AS phrase FROM cand WHERE k > 2),
+around AS (SELECT lang, phrase, max(a) AS longest FROM inside GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN around USING (lang, phrase) WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op2_license_scan": OP2, "op6_line_dedup": OP6, "op8_near_dedup": OP8, "op10_decontamination": OP10, "op11_collocations": OP11}
