@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, collocations, decontaminate, langid, licenses, linededup, neardup, ngramlm, packing, pii, sharding
+from . import align, ann, collocations, decontaminate, langid, licenses, linededup, neardup, ngramlm, packing, pii, sharding, triejoin
 from .common import fold_of
 from .sql import ORACLES
 
@@ -100,6 +100,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.with_counts(found.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256"), names)
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triejoin.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_scoring, op2_license_scan, op3_sharding, op4_language_id, op5_nearest_neighbours, op6_line_dedup, op7_pii, op8_near_dedup, op9_packing, op10_decontamination, op11_collocations, op12_token_alignment, pipeline)
+    own = (op1_lm_scoring, op2_license_scan, op3_sharding, op4_language_id, op5_nearest_neighbours, op6_line_dedup, op7_pii, op8_near_dedup, op9_packing, op10_decontamination, op11_collocations, op12_token_alignment, op13_jaccard_join, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -95,4 +95,18 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
 
-ORACLES = {"op2_license_scan": OP2, "op6_line_dedup": OP6, "op8_near_dedup": OP8, "op10_decontamination": OP10, "op11_collocations": OP11}
+OP13 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, hash(x) AS h FROM (SELECT doc_id, s, unnest(s) AS x FROM s)),
+often AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id
+          WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT a, b FROM often WHERE 100 * c >= 90 * (an + bn - c)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a),
+least_of AS (SELECT d AS doc_id, min(r) AS component_id FROM reach GROUP BY d)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN least_of USING (doc_id)
+"""
+
+ORACLES = {"op2_license_scan": OP2, "op6_line_dedup": OP6, "op8_near_dedup": OP8, "op10_decontamination": OP10, "op11_collocations": OP11, "op13_jaccard_join": OP13}
