@@ -115,3 +115,39 @@ def with_agent(tasks: DataFrame, agents: DataFrame) -> DataFrame:
     """Adds the agent's system prompt and known: whether the agent exists."""
     a = agents.select(F.col("name").alias("agent"), "system_prompt", F.lit(True).alias("_known"))
     return tasks.join(a, "agent", "left").withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+#: What an edit may change; a field that is null stays.
+EDITABLE = ("prompt", "interval_secs", "max_retries", "agent", "status", "tags", "evaluation_criteria", "reviewer_agent", "review_prompt")
+
+
+def checked_edits(edits: DataFrame, tasks: DataFrame, agents: DataFrame, key: str = "id") -> DataFrame:
+    """edits with changed, the names of the fields they change, and error: null, or why the whole edit is refused.
+
+    Refused are, in this order, edits of a task that isn't there, of an agent
+    that isn't, to a status that isn't one, of a reviewer that isn't there, and
+    those that change nothing. An empty name takes the agent or reviewer away.
+    """
+    names = agents.select("name").where(F.col("name").isNotNull()).distinct()
+    known = lambda c: names.select(F.col("name").alias(c), F.lit(True).alias(f"_has_{c}"))
+    there = tasks.select(F.col(key), F.lit(True).alias("_there")).distinct()
+    rows = edits.join(there, key, "left").join(known("agent"), "agent", "left").join(known("reviewer_agent"), "reviewer_agent", "left")
+    missing = lambda c: (F.coalesce(c, F.lit("")) != "") & F.col(f"_has_{c}").isNull()
+    given = [f for f in EDITABLE if f in edits.columns]
+    changed = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), f) for f in given])).cast("array<string>")
+    error = (
+        F.when(F.col("_there").isNull(), "no such task")
+        .when(missing("agent"), "no such agent")
+        .when(F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES), "no such status")
+        .when(missing("reviewer_agent"), "no such reviewer")
+        .when(F.size(changed) == 0, "nothing to change")
+    )
+    return rows.select(*edits.columns, changed.alias("changed"), error.alias("error"))
+
+
+def edited(tasks: DataFrame, accepted: DataFrame, key: str = "id") -> DataFrame:
+    """The tasks that accepted edits touch, with their new values."""
+    given = [f for f in EDITABLE if f in accepted.columns]
+    new = accepted.select(key, *[F.col(f).alias(f"_new_{f}") for f in given])
+    rows = tasks.join(new, key)
+    return rows.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in given else F.col(c) for c in tasks.columns])
