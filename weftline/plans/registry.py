@@ -28,7 +28,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from weftline.plans import event_queries, file_queries, live_queries, project_queries, search_queries, store_queries, text_queries, versioned_queries  # noqa: F401
+    from weftline.plans import event_queries, file_queries, live_queries, markup_queries, project_queries, search_queries, store_queries, text_queries, versioned_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
