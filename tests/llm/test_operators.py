@@ -420,6 +420,24 @@ def test_neighbours_clusters(spark):
     assert hits / len(got) >= 0.9 and len(got) == 2000
 
 
+def test_neighbours_many_small_clusters(spark):
+    """Healthy queries of small clusters are not compared with the whole table, and a lonely one is probed further for."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(400, 64))
+    x = np.repeat(centres, 50, axis=0) + 0.2 * rng.normal(size=(20_000, 64))
+    x[[0, 20]] = rng.normal(size=(2, 64))  # two that belong to no cluster
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got, x, hits = ann.search(df, costs=True).toPandas(), x.astype(float), 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+    assert len(got) == 20_000 and hits / len(got) >= 0.9
+    met = got.groupby("query_id").met.max()
+    assert met.mean() < 0.05 * 20_000 and (met < 0.05 * 20_000).mean() > 0.99
+
+
 def test_probe_order_and_places():
     rng = np.random.default_rng(4)
     index = ann.CrossPolytope(tables=2, axes=2)

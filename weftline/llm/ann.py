@@ -14,8 +14,8 @@ from .common import cut
 
 #: Queries that fit the number of probes, at most; each is scanned for exactly, against every point.
 SAMPLE = 256
-#: A query that met fewer than so many times k points a table on average is scanned for exactly.
-SHALLOW = 4
+#: On tables of up to so many times k points every query is compared with all of them.
+SMALL = 16
 #: Elements of one step's array of bucket costs.
 ROOM = 8_000_000
 
@@ -262,14 +262,16 @@ def fitted(index: CrossPolytope, points: DataFrame, queries: DataFrame, k: int,
     return replace(index, probes=int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]))
 
 
-def search(vectors: DataFrame, index: CrossPolytope | None = None, k: int = 20, every: int = 20, block: int = 8192, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, index: CrossPolytope | None = None, k: int = 20, every: int = 20, block: int = 8192, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", costs: bool = False) -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by every, its k nearest by inner product.
 
     Without an index of the caller's, tables get an axis more whenever a bucket
     would hold over block points on average, and probes are fitted to a sample
     (see fitted()) to find the given share of its true neighbours. A query that
-    got fewer than k, or met fewer than SHALLOW * k points a table, is scanned
-    for exactly, in blocks, against every point, so it gets k or all there are.
+    got fewer than k asks again with four times the probes, until it has k or
+    its probes are all buckets there are; then it is compared with every point,
+    as all queries are on a table of SMALL * k points or fewer. With costs, met
+    is how many points a query was compared with, once a table.
 
     Vectors that are null, zero or hold null or non-finite components, and rows
     with a null id, take no part; vectors of one table have one length, that of
@@ -323,8 +325,6 @@ def search(vectors: DataFrame, index: CrossPolytope | None = None, k: int = 20,
     schema = f"_table int, _group long, _buckets array<{'int' if n_buckets < 2**31 else 'long'}>, _id long, _v array<{kind}>"
     narrow = lambda run: (lambda batches: (b.cast(pa.schema([("_table", pa.int32()), ("_group", pa.int64()), ("_buckets", pa.list_(pa.int32() if n_buckets < 2**31 else pa.int64())), ("_id", pa.int64()), ("_v", b.schema.field("_v").type)])) for b in run(batches)))
     p = points.select(F.col("_rep").alias("_id"), "_v").mapInArrow(narrow(hashed(1)), schema)
-    q = queries.select("_id", "_v").mapInArrow(narrow(hashed(min(index.probes, n_buckets))), schema)
-    near = _ranked(_meet(p, q, block, k + 1), k + 1)
 
     def told(near: DataFrame) -> DataFrame:
         """The k nearest ids of each query, from its k + 1 nearest points."""
@@ -333,16 +333,32 @@ def search(vectors: DataFrame, index: CrossPolytope | None = None, k: int = 20,
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "_id")
         return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    near = cut(told(near))
-    counts = near.groupBy("query_id").agg(F.count("*").alias("_k"), F.max("_n").alias("_n"))
-    asked = queries.join(counts, queries["_id"] == counts["query_id"], "left")
-    enough = (F.col("_k") >= k) & (F.col("_n") >= SHALLOW * k * index.tables)
-    short = cut(asked.where(~F.coalesce(enough, F.lit(False))).select("_id", "_v"))
-    if not short.isEmpty():
+    def probed(asked: DataFrame, probes: int) -> DataFrame:
+        q = asked.select("_id", "_v").mapInArrow(narrow(hashed(min(probes, n_buckets))), schema)
+        return told(_ranked(_meet(p, q, block, k + 1), k + 1))
+
+    def scanned(asked: DataFrame) -> DataFrame:
         place = lambda group: (F.lit(0).alias("_table"), group.alias("_group"), F.array(F.lit(0)).alias("_buckets"), "_id", "_v")
         deal: Column = F.pmod(F.xxhash64("_id"), F.lit(groups))
-        p = points.select(F.col("_rep").alias("_id"), "_v").select(*place(deal))
-        q = short.select(*place(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))))
-        whole = told(_ranked(_meet(p, q, block, k + 1), k + 1))
-        near = near.join(short.select(F.col("_id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
-    return near.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id").alias(id_col), "score")
+        every_point = points.select(F.col("_rep").alias("_id"), "_v").select(*place(deal))
+        q = asked.select(*place(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))))
+        return told(_ranked(_meet(every_point, q, block, k + 1), k + 1))
+
+    if n_points <= SMALL * k:
+        near = scanned(queries)
+    else:
+        probes = index.probes
+        near = cut(probed(queries, probes))
+        while True:
+            counts = near.groupBy("query_id").agg(F.count("*").alias("_k"))
+            short = queries.join(counts, queries["_id"] == counts["query_id"], "left").where(F.coalesce("_k", F.lit(0)) < k)
+            short = cut(short.select("_id", "_v"))
+            if short.isEmpty():
+                break
+            probes *= 4
+            more = probed(short, probes) if probes < n_buckets else scanned(short)
+            near = cut(near.join(short.select(F.col("_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more))
+            if probes >= n_buckets:
+                break
+    met = [F.col("_n").alias("met")] if costs else []
+    return near.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id").alias(id_col), "score", *met)
