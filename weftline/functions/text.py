@@ -274,9 +274,13 @@ def unwrap_redirect(url: Column) -> Column:
     return F.when(target != "", F.url_decode(F.replace(target, F.lit("+"), F.lit("%2B")))).otherwise(url)
 
 
-def result_links(html: Column, most: int = 10) -> Column:
-    """(url, title) of the first `most` results of a search page, less adverts, help and empty titles among them."""
-    anchor = r"""(?s)<a[^>]+href=['"]([^'"]+)['"][^>]*>(.*?)</a>"""
+def result_links(html: Column, most: int = 10, kind: str | None = None) -> Column:
+    """(url, title) of the first `most` results of a search page, less adverts, help and empty titles among them.
+
+    With kind, only anchors of that class are results; the class stands after the address.
+    """
+    of_kind = rf"""[^>]+class=['"]?{kind}['"][^>]*""" if kind else "[^>]*"
+    anchor = rf"""(?s)<a[^>]+href=['"]([^'"]+)['"]{of_kind}>(.*?)</a>"""
     urls, titles = F.regexp_extract_all(html, F.lit(anchor), F.lit(1)), F.regexp_extract_all(html, F.lit(anchor), F.lit(2))
     pairs = F.zip_with(F.slice(urls, 1, most), F.slice(titles, 1, most), lambda u, t: F.struct(unwrap_redirect(unescape(u)).alias("url"), F.trim(F.regexp_replace(t, "<[^>]+>", "")).alias("title")))
     return F.filter(pairs, lambda p: (p["title"] != "") & (F.lower(p["title"]) != "more info") & ~p["url"].rlike("ad_provider|ad_domain|help-pages"))

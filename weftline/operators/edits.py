@@ -99,16 +99,25 @@ def remove_fact(facts: DataFrame, store: str, needle: str) -> DataFrame:
     return rows.where(~F.coalesce(gone, F.lit(False))).select("store", "line_no", "line")
 
 
-def grep(df: DataFrame, pattern: str, key: str, text: str = "text", most: int = 500, width: int = 200, include: str | None = None) -> DataFrame:
-    """(key, line_no, line) of matching lines, cut to width; at most `most`, in order. With include, only of keys whose last part fits that glob."""
+def matches(df: DataFrame, pattern: str, key: str, text: str = "text", width: int = 200, include: str | None = None) -> DataFrame:
+    """(key, line_no, line) of all matching lines, in no order, cut to width. With include, only of keys whose last part fits that glob."""
     df = df.where(F.substring_index(F.col(key).cast("string"), "/", -1).rlike(glob_pattern(include))) if include else df
     rows = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("_i", "line")).where(F.col("line").rlike(pattern))
-    return rows.select(key, (F.col("_i") + 1).alias("line_no"), F.substring("line", 1, width).alias("line")).orderBy(key, "line_no").limit(most)
+    return rows.select(key, (F.col("_i") + 1).alias("line_no"), F.substring("line", 1, width).alias("line"))
+
+
+def grep(df: DataFrame, pattern: str, key: str, text: str = "text", most: int = 500, width: int = 200, include: str | None = None) -> DataFrame:
+    """(key, line_no, line) of matching lines, cut to width; at most `most`, in order. With include, only of keys whose last part fits that glob."""
+    return matches(df, pattern, key, text, width, include).orderBy(key, "line_no").limit(most)
 
 
 def grep_lines(df: DataFrame, pattern: str, path: str = "path", text: str = "text", most: int = 500, width: int = 200, include: str | None = None) -> DataFrame:
-    """(at, shown): path:line:text of the first `most` matches in order, then one row that says how many more there are."""
-    found = grep(df, pattern, path, text, 2**31 - 1, width, include)
+    """(at, shown): path:line:text of the first `most` matches in order, then one row that says how many more there are.
+
+    The matches are counted where they are found, and of each task only the
+    first `most` go on, so no task gets them all.
+    """
+    found = matches(df, pattern, path, text, width, include)
     shown = found.orderBy(path, "line_no").limit(most).select(F.struct(F.col(path).cast("string"), "line_no").alias("at"), F.concat_ws(":", path, "line_no", "line").alias("shown"))
     more = found.agg(F.count("*").alias("_n")).where(F.col("_n") > most)
     rest = more.select(F.lit(None).cast(shown.schema["at"].dataType).alias("at"), F.concat(F.lit("... ("), (F.col("_n") - most).cast("string"), F.lit(" more matches)")).alias("shown"))

@@ -85,10 +85,11 @@ def search(docs: DataFrame, query: str, k: int = 5, expand: bool = True, key: st
     return top_k(query_scores(docs, expand_query(base) if expand else base, key, text), k, key)
 
 
-def to_json(found: DataFrame, order: str = "score") -> DataFrame:
-    """One row, json: the results as an array, best first; [] for none."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("_o"), F.struct(*found.columns).alias("_r"))))
-    return found.agg(F.to_json(F.transform(rows, lambda x: x["_r"])).alias("json"))
+def to_json(found: DataFrame, order: str = "score", by: str | None = None) -> DataFrame:
+    """One row, json: the results as an array, best first; [] for none. With by, a row and an array for each of its values, without that column."""
+    own = [c for c in found.columns if c != by]
+    rows = F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("_o"), F.struct(*own).alias("_r"))))
+    return found.groupBy(*([by] if by else [])).agg(F.to_json(F.transform(rows, lambda x: x["_r"])).alias("json"))
 
 
 def field_weight(tokens: list[str], name: Column, kind: Column, symbols: Column, imports: Column, parent: Column) -> Column:

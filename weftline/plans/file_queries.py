@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -17,8 +18,12 @@ from weftline.streaming import deltas, index, limits
 
 
 def scratch(spark) -> str:
-    """A folder of its own below the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder of its own below the shared one; on a cluster that must be named, since a default would lie on the driver's disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
     return f"{base}/scratch-{uuid.uuid4().hex}"
 
 
@@ -162,16 +167,16 @@ def markdown_functions(spark, sf):
     return T.markdown_functions(read(spark, sf, "nation").select(F.concat(F.lit("skills/"), folder, F.lit("/SKILL.md")).alias("path"), F.concat(head, body).alias("text")))
 
 
-@query("SELECT 'nations' AS listing, (n_nationkey // 4)::INT AS page, (n_nationkey % 4)::INT AS pos, '{\"name\": \"' || n_name || '\"}' AS item FROM nation UNION ALL SELECT 'regions', r_regionkey::INT, 0, '{\"name\": \"' || r_name || '\"}' FROM region")
+@query("""SELECT 'n' || c_nationkey AS listing, (n // 4)::INT AS page, (n % 4)::INT AS pos, '{"id": ' || c_custkey || ', "name": "' || c_name || '"}' AS item
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer)""")
 def paged_listings(spark, sf):
-    held = {"nations": [r["n_name"] for r in read(spark, sf, "nation").orderBy("n_nationkey").collect()], "regions": [r["r_name"] for r in read(spark, sf, "region").orderBy("r_regionkey").collect()]}  # 25 and 5 rows
-
-    def fetch(listing, cursor):
-        at, step = int(cursor or 0), 4 if listing == "nations" else 1
-        more = {"nextCursor": str(at + step)} if at + step < len(held[listing]) else {}
-        return {listing: [{"name": x} for x in held[listing][at : at + step]]} | more
-
-    return paged.read_listings(spark, ["nations", "regions"], fetch)
+    """Customers as listings by nation, in page files of four that tasks write and follow by their cursors."""
+    folder = scratch(spark)
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    item = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    paged.write_pages(read(spark, sf, "customer").select(F.concat(F.lit("n"), text("c_nationkey")).alias("listing"), place.alias("pos"), item.alias("item")), folder, 4)
+    names = [f"n{r[0]}" for r in read(spark, sf, "customer").select("c_nationkey").distinct().collect()]
+    return paged.read_listings(spark, names, paged.stored_pages(folder))
 
 
 @query("""WITH u AS (SELECT page_id, list_slice(regexp_extract_all(html, '(?s)<a[^>]+href=[''"]([^''"]+)[''"][^>]*>(.*?)</a>', 1), 1, 2) AS us, list_slice(regexp_extract_all(html, '(?s)<a[^>]+href=[''"]([^''"]+)[''"][^>]*>(.*?)</a>', 2), 1, 2) AS ts FROM pages),
@@ -319,11 +324,15 @@ def match_grammar(spark, sf):
     return match.match(m, 'That (with OR fro*) NOT "in that"').select("id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT CASE WHEN k % 2 = 0 THEN '[{\"name\":\"' || n || '\",\"score\":1.0}]' ELSE '[]' END AS json, k FROM (SELECT n_nationkey AS k, n_name AS n FROM nation WHERE n_nationkey IN (6, 7))")
+@query("""WITH g AS (SELECT r_regionkey AS k FROM region UNION ALL SELECT r_regionkey + 5 FROM region),
+j AS (SELECT n_regionkey AS k, '[' || string_agg('{"name":"' || n_name || '","score":' || (n_nationkey + 0.5)::DOUBLE || '}', ',' ORDER BY n_nationkey DESC) || ']' AS json FROM nation GROUP BY 1)
+SELECT k, coalesce(json, '[]') AS json FROM g LEFT JOIN j USING (k)""")
 def result_json(spark, sf):
-    n = read(spark, sf, "nation")
-    one = lambda k: search.to_json(n.where((F.col("n_nationkey") == k) & (F.col("n_nationkey") % 2 == 0)).select(F.col("n_name").alias("name"), F.lit(1.0).alias("score"))).withColumn("k", F.lit(k).cast("long"))
-    return one(6).unionByName(one(7))
+    """Every region's nations as results, and as many groups without any."""
+    n, r = read(spark, sf, "nation"), read(spark, sf, "region")
+    found = search.to_json(n.select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name"), (F.col("n_nationkey") + 0.5).cast("double").alias("score")), by="k")
+    groups = r.select(F.explode(F.array("r_regionkey", F.col("r_regionkey") + 5)).alias("k"))
+    return groups.join(found, "k", "left").select("k", F.coalesce("json", F.lit("[]")).alias("json"))
 
 
 @query("SELECT 'src/' || n_nationkey || '.md' AS path, 'section' AS type, n_name AS name FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'src/' || n_nationkey || '.py', 'function', 'f' || n_nationkey FROM nation WHERE n_nationkey % 3 = 1 UNION ALL SELECT 'src/' || n_nationkey || '.txt', 'paragraph', '' FROM nation WHERE n_nationkey % 3 = 2")

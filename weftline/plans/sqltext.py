@@ -47,3 +47,11 @@ stat AS (SELECT count(*) AS n, avg(num) AS avgdl FROM size),
 dfs AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
 scored AS (SELECT {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * num / avgdl))) AS score
   FROM posting JOIN dfs USING (term) JOIN size USING ({key}), stat WHERE term IN ({names}) GROUP BY {key})"""
+
+
+# Fixed values, written again as well: file extensions and their languages.
+EXTENSIONS = [pair.split(":") for pair in """
+go:go py:python js:javascript ts:typescript jsx:jsx tsx:tsx rs:rust java:java rb:ruby php:php c:c h:c cpp:cpp hpp:cpp cs:csharp swift:swift kt:kotlin scala:scala
+r:r lua:lua sh:bash bash:bash zsh:bash fish:bash ps1:powershell pl:perl pm:perl tex:latex md:markdown rst:rst txt:text json:json yaml:yaml yml:yaml xml:xml
+html:html htm:html css:css scss:scss sass:sass less:less sql:sql toml:toml ini:ini cfg:ini env:env dockerfile:dockerfile
+""".split()]

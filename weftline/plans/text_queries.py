@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators import chunking, edits, history
 from weftline.plans.registry import query, read
+from weftline.plans.sqltext import EXTENSIONS
 from weftline.sources import files
 
 _LINES = "SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
@@ -76,7 +77,7 @@ def section_headers(spark, sf):
 
 #: What the pages table has of entities, the ampersand last.
 ENTITIES = [("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", "\u00a0"), ("&amp;", "&"), ("&amp", "&")]
-_LANGS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.LANGUAGES.items()) + "}"
+_LANGS = "MAP {" + ", ".join(f"'.{e}': '{name}'" for e, name in EXTENSIONS) + "}"
 
 
 @query(f"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*', '') || list_extract(['', '.py', '.MD', '/Dockerfile.dev', '.tsx', '/makefile', '.unknown'], (page_id % 7 + 1)::INT) AS path FROM pages),
@@ -117,6 +118,34 @@ def extract_links(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.inline(T.result_links(F.col("html"))))
 
 
+_RESULT = """list_extract(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i', 'j', 'k', 'l', 'm', 'n'], j)"""
+
+
+@query(f"""WITH l AS (SELECT page_id, {_html('html')} AS ls FROM pages), m AS (SELECT page_id, ls, list_filter(ls, lambda x: len(x) > 40) AS big FROM l),
+t AS (SELECT page_id, array_to_string(CASE WHEN len(big) > 0 THEN big ELSE ls END, chr(10)) AS t FROM m),
+x AS (SELECT page_id, CASE WHEN len(t) > 3000 THEN substr(t, 1, 3000) || chr(10) || '... (truncated)' WHEN len(t) > 100 THEN t END AS page FROM t),
+u AS (SELECT p.page_id, q.url, q.page_id AS other, row_number() OVER (PARTITION BY q.url ORDER BY q.page_id) AS n FROM pages p JOIN pages q ON q.page_id = (p.page_id + 1) % (SELECT count(*) FROM pages)),
+r AS (SELECT page_id, unnest([1, 2, 5, 10, 11]) AS j, url FROM u)
+SELECT r.page_id, (row_number() OVER (PARTITION BY r.page_id ORDER BY j) - 1)::INT AS pos, CASE j WHEN 1 THEN r.url WHEN 2 THEN 'https://site.example/p+' || r.page_id ELSE 'https:' || '//r.example/' || j || '?x=1&y=2' END AS url, 'Title ' || {_RESULT} AS title,
+CASE WHEN j = 1 THEN x.page END AS page FROM r JOIN u ON u.page_id = r.page_id LEFT JOIN x ON x.page_id = u.other""")
+def web_results(spark, sf):
+    """Result pages with fourteen anchors, not all of them results, redirected, adverts or without a title; the first two results' pages are read."""
+    p, i = read(spark, sf, "pages"), F.col("page_id").cast("string")
+    n = p.agg(F.count("*").alias("_n"))
+    following = p.select(F.col("page_id").alias("_next"), F.col("url").alias("_url"))
+    rows = p.select("page_id").crossJoin(F.broadcast(n)).withColumn("_next", (F.col("page_id") + 1) % F.col("_n")).join(following, "_next")
+
+    def anchor(j):
+        title = "" if j == 4 else "more Info" if j == 8 else f"Title <b>{'abcdefghijklmn'[j - 1]}</b>"
+        url = F.col("_url") if j == 1 else F.concat(F.lit("//s.example/l/?uddg=https%3A%2F%2Fsite.example%2Fp%2B"), i, F.lit("&amp;rut=1")) if j == 2 else F.lit(f"//r.example/{j}?x=1&amp;y=2" + ("&ad_provider=q" if j == 7 else ""))
+        return F.concat(F.lit('<tr><td><a rel="nofollow" href="'), url, F.lit("\"" + ("" if j % 3 == 0 else " class='result-link'") + f">{title}</a></td></tr>\n"))
+
+    html = F.concat(*[anchor(j) for j in range(1, 15)])
+    found = rows.select("page_id", F.posexplode(T.result_links(html, 8, "result-link")).alias("pos", "_r"))
+    found = found.select("page_id", "pos", "_r.url", "_r.title")
+    return T.with_pages(found, p, "page_id", "pos", 2, 3000).select("page_id", "pos", "url", "title", "page")
+
+
 @query("""WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '//s.example/l/?x=1&uddg=https%3A%2F%2Fa.example%2Fp%2B' || page_id WHEN 1 THEN '//b.example/' || page_id ELSE url END AS u FROM pages)
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://a.example/p+' || page_id WHEN 1 THEN 'https:' || u ELSE u END AS target FROM u""")
 def unwrap_redirect(spark, sf):

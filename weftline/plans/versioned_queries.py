@@ -12,6 +12,7 @@ from weftline.plans.registry import query, read
 from weftline.plans.sqltext import bm25
 from weftline.plans.store_queries import _TASKS, task_table
 from weftline.sources import store
+from weftline.streaming import poll
 
 _TERMS = ["reinheon", "thanoned", "atoust"]
 
@@ -112,3 +113,28 @@ def edited_task_store(spark, sf):
     good = tasks.checked_edits(edit_table(spark, sf), t, agent_table(spark, sf)).where(F.col("error").isNull())
     store.merge(spark, folder, tasks.edited(t, good), read_at=1)
     return store.read(spark, folder).select("id", "prompt", "interval_secs", "agent", "status", "reviewer_agent", F.array_join("tags", ",").alias("tags"))
+
+
+def _tick_sql(before: str, after: str, at: str) -> str:
+    """CTEs of one tick: d are the tasks it takes, x what becomes of them, and `after` all tasks afterwards."""
+    return f"""{after}_d AS (SELECT *, CASE WHEN status = 'pending' THEN 0 ELSE 1 END AS rank FROM {before} WHERE status IN ('pending', 'review') AND next_run <= {at} ORDER BY rank, pos LIMIT 40),
+{after}_c AS (SELECT *, CASE WHEN status = 'pending' AND ok THEN CASE WHEN reviewer_agent IS NOT NULL THEN 'v' WHEN type = 'idle' THEN 'i' ELSE 'c' END WHEN status = 'review' AND (reviewer_agent IS NULL OR ok) THEN 'c'
+  WHEN retries + 1 >= max_retries THEN CASE WHEN status = 'pending' AND type = 'idle' THEN 'b' ELSE 'f' END ELSE 'r' END AS k FROM {after}_d),
+{after}_x AS (SELECT id, CASE k WHEN 'v' THEN 'review' WHEN 'c' THEN 'completed' WHEN 'f' THEN 'failed' ELSE 'pending' END AS s, CASE WHEN k IN ('i', 'b') THEN 0 WHEN k IN ('f', 'r') THEN retries + 1 ELSE retries END::INT AS r,
+  {at} + to_seconds(CASE k WHEN 'v' THEN 0 WHEN 'i' THEN interval_secs WHEN 'b' THEN least(interval_secs * 4, 86400) WHEN 'r' THEN greatest(60, interval_secs) // 2 END) AS n FROM {after}_c),
+{after} AS (SELECT b.* REPLACE (coalesce(x.s, b.status) AS status, coalesce(x.r, b.retries) AS retries, coalesce(x.n, b.next_run) AS next_run) FROM {before} b LEFT JOIN {after}_x x USING (id))"""
+
+
+_TICKS = [f"TIMESTAMP '1997-01-0{d} 00:0{m}:00'" for d, m in ((1, 0), (1, 3), (2, 0))]
+
+
+@query(f"""WITH t0 AS ({_TASKS}), {", ".join(_tick_sql(f"t{i}", f"t{i + 1}", at) for i, at in enumerate(_TICKS))}
+SELECT id, status, retries, epoch(next_run)::BIGINT AS next_run FROM t3""")
+def poll_ticks(spark, sf):
+    """Three ticks of the poll loop over a store of all tasks, each on what the ones before it have written."""
+    folder = scratch(spark)
+    t = task_table(spark, sf).withColumn("next_run", F.col("next_run").cast("timestamp"))
+    store.merge(spark, folder, t)
+    for at in _TICKS:
+        poll.tick(spark, folder, lambda taken: taken, F.expr(at), most=40)
+    return store.read(spark, folder).select("id", "status", "retries", F.unix_seconds("next_run").alias("next_run"))
