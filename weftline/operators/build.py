@@ -22,18 +22,12 @@ def chunk_files(files: DataFrame, path: str = "path", text: str = "text") -> Dat
     rows = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where(F.col("path").isNotNull() & F.col("text").isNotNull())
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     marked, plain = rows.where(ext.isin(*MARKDOWN)), rows.where(ext.isin(*PLAIN))
-    own = chunking.sections(marked, key="path")
-    rest = marked.join(own.select("path").distinct(), "path", "left_anti")
-    parts = chunking.paragraphs(rest, key="path").withColumn("name", F.lit(""))
-    left = rest.join(parts.select("path").distinct(), "path", "left_anti")
-    windows = chunking.linear(left, 100, 50, "text", "path").withColumn("name", F.lit(""))
-    kinds = [(own, "section", "markdown"), (parts, "paragraph", "markdown"), (windows, "code_block", "markdown")]
     out = chunk_code(rows.where(~ext.isin(*MARKDOWN, *PLAIN)))
     none = F.array().cast("array<string>")
-    shaped = lambda part, kind, lang: part.select("path", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), kind.alias("type"), "name", F.lit("").alias("parent"), none.alias("imports"), none.alias("symbols"), F.lit(lang).alias("lang"), F.col("chunk").alias("text"))
-    for part, kind, lang in kinds:
-        out = out.unionByName(shaped(part, F.lit(kind), lang))
-    return out.unionByName(shaped(chunking.chunk_texts(plain, key="path"), F.col("type"), "text"))
+    for part, cut, lang in ((marked, chunking.markdown_array, "markdown"), (plain, chunking.text_array, "text")):
+        parts = part.select("path", "text", chunking.lines_of(F.col("text")).alias("_lines")).select("path", F.inline(cut(F.col("_lines"), F.col("text"))))
+        out = out.unionByName(parts.select("path", "start", "end", "type", "name", F.lit("").alias("parent"), none.alias("imports"), none.alias("symbols"), F.lit(lang).alias("lang"), F.col("chunk").alias("text")))
+    return out
 
 
 def build_index(spark: SparkSession, root: str, folder: str) -> DataFrame:

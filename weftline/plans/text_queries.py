@@ -41,23 +41,6 @@ def chunk_text_paragraphs(spark, sf):
     return chunking.text_paragraphs(docs).select("doc_id", "start", "end", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
-@query()
-def chunk_paragraph(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text"))
-    return chunking.paragraphs(docs).select("doc_id", "start", "end", F.md5(F.col("chunk").cast("binary")).alias("digest"))
-
-
-@query()
-def chunk_sections(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"(?m)^(\w+\.)$", "# $1").alias("text"))
-    return chunking.sections(docs).select("doc_id", "start", "end", "name", F.md5(F.col("chunk").cast("binary")).alias("digest"))
-
-
-@query()
-def chunk_texts(spark, sf):
-    return chunking.chunk_texts(read(spark, sf, "documents")).select("doc_id", "start", "end", "type", F.md5(F.col("chunk").cast("binary")).alias("digest"))
-
-
 @query("""WITH w AS (SELECT doc_id, ls, k * 20 + 1 AS s, least(k * 20 + 20, len(ls)) AS e FROM (SELECT doc_id, ls, unnest(range(0, ceil(len(ls) / 20)::BIGINT)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
 p AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS prev, count(*) OVER (PARTITION BY doc_id) AS c FROM w)
 SELECT doc_id, s::INT AS start, md5(array_to_string(CASE WHEN c > 1 THEN ls[greatest(s - 50, 1, coalesce(prev, 1)):e] ELSE ls[s:e] END, chr(10))) AS digest FROM p""")
