@@ -97,12 +97,15 @@ def tokenize(c: Column) -> Column:
 def token_rows(df: DataFrame, text: Column, *keep: str, outer: bool = False) -> DataFrame:
     """(keep..., term), a row a token: the same tokens as tokenize(), exploded before filtering so that all of it is compiled.
 
-    With outer, what is no token has a null term, so that a text without tokens has rows too.
+    With outer, what is no token has a null term, so that a text without tokens
+    has rows too. A word's lower case and its stem are each made by a generator,
+    so that what asks for them several times doesn't compute them again.
     """
     explode = F.explode_outer if outer else F.explode
-    words = df.select(*keep, explode(raw_parts(text)).alias("_w")).select(*keep, F.lower("_w").alias("_w"))
+    words = df.select(*keep, explode(F.transform(raw_parts(text), F.lower)).alias("_w"))
     words = words if outer else words.where(_is_word(F.col("_w")))
-    words = words.select(*keep, (F.when(_is_word(F.col("_w")), stem(F.col("_w"))) if outer else stem(F.col("_w"))).alias("term"))
+    stems = F.array(F.when(_is_word(F.col("_w")), stem(F.col("_w"))) if outer else stem(F.col("_w")))
+    words = words.select(*keep, F.explode(stems).alias("term"))
     good = (F.col("term") != "") & ~F.col("term").isin(STOP_WORDS)
     return words.withColumn("term", F.when(good, F.col("term"))) if outer else words.where(good)
 

@@ -27,6 +27,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that costs much a row: dealt over all cores if it comes in fewer pieces than there are; larger ones are read as they lie."""
+    rows = read(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _load() -> None:
     from weftline.plans import chunk_queries, event_queries, file_queries, live_queries, markup_queries, project_queries, search_queries, store_queries, text_queries, versioned_queries  # noqa: F401
 

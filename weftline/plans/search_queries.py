@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import catalog, search
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, read, wide
 from weftline.plans.sqltext import bm25, tokens
 
 QUERY = "the reinheon thanoned atoust"
@@ -19,45 +19,45 @@ FULL = ["find", "busc", "encontr", "localiz", "error", "err", "fall", "exception
 @query(f"WITH {tokens()} SELECT d.doc_id, count(term)::BIGINT AS n_tokens, coalesce(md5(string_agg(term, ' ' ORDER BY pos)), md5('')) AS digest FROM documents d LEFT JOIN token USING (doc_id) GROUP BY d.doc_id")
 def tokenize(spark, sf):
     t = T.tokenize(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+    return wide(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
 @query(f"WITH {tokens()} SELECT doc_id, term, count(*)::BIGINT AS tf FROM token GROUP BY ALL")
 def term_freq(spark, sf):
-    return search.postings(read(spark, sf, "documents")).select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+    return search.postings(wide(spark, sf, "documents")).select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
 @query(f"WITH {tokens()}, dfs AS (SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM token GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, (SELECT count(*) AS n FROM documents)")
 def doc_freq_idf(spark, sf):
-    docs = read(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     posted = search.postings(docs)
     return search.term_stats(posted, docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {tokens()}, size AS (SELECT d.doc_id, count(term) AS c FROM documents d LEFT JOIN token USING (doc_id) GROUP BY d.doc_id) SELECT count(*)::BIGINT AS n, sum(c)::BIGINT AS total, round(avg(c), 6) AS avgdl FROM size")
 def corpus_stats(spark, sf):
-    docs = read(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     return search.corpus_stats(search.lengths(docs, search.postings(docs))).select("n", "total", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {bm25(BASE)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 5")
 def bm25_topk(spark, sf):
-    return search.search(read(spark, sf, "documents"), QUERY, 5, expand=False).select("doc_id", F.round("score", 6).alias("score"))
+    return search.search(wide(spark, sf, "documents"), QUERY, 5, expand=False).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {bm25(FULL)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 20")
 def bm25_expanded(spark, sf):
-    return search.search(read(spark, sf, "documents"), EXPANDED, 20).select("doc_id", F.round("score", 6).alias("score"))
+    return search.search(wide(spark, sf, "documents"), EXPANDED, 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {tokens()} SELECT term, count(*)::BIGINT AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM (SELECT DISTINCT term, doc_id FROM token) GROUP BY term")
 def inverted_lists(spark, sf):
-    return search.inverted_lists(search.postings(read(spark, sf, "documents"))).select("term", "df", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return search.inverted_lists(search.postings(wide(spark, sf, "documents"))).select("term", "df", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(f"WITH {tokens()} SELECT (SELECT count(*) FROM documents)::BIGINT AS chunks, (SELECT count(DISTINCT source) FROM documents)::BIGINT AS files, (SELECT count(DISTINCT term) FROM token)::BIGINT AS terms, 5 AS version")
 def index_status(spark, sf):
-    docs = read(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     terms = search.postings(docs).agg(F.countDistinct("term").alias("terms"))
     return docs.agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("files")).crossJoin(F.broadcast(terms)).withColumn("version", F.lit(search.VERSION))
 
@@ -67,7 +67,7 @@ def index_status(spark, sf):
   + CASE WHEN contains(lower(source || '/st'), '{t}') THEN 1 ELSE 0 END""" for t in BASE + ['src1', 'st'])}) AS w FROM scored JOIN documents USING (doc_id))
 SELECT doc_id, round(w, 6) AS score FROM best ORDER BY best.w DESC, doc_id LIMIT 10""")
 def field_weighted_search(spark, sf):
-    docs = read(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     words = F.slice(F.split("text", " "), 1, 3)
     rows = search.query_scores(docs, BASE).join(docs, "doc_id")
     weight = search.field_weight([*BASE, "src1", "st"], F.col("source"), F.col("lang"), words, F.array("source", "lang"), F.concat("source", F.lit("/st")))
@@ -77,7 +77,7 @@ def field_weighted_search(spark, sf):
 
 @query(f"WITH {bm25(BASE)} SELECT source, round(max(score), 6) AS score FROM scored JOIN documents USING (doc_id) GROUP BY source")
 def max_score_per_source(spark, sf):
-    docs = read(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     best = catalog.best_per_group(search.query_scores(docs, BASE), docs, "source")
     return best.select("source", F.round("score", 6).alias("score"))
 
@@ -93,12 +93,12 @@ edge AS (SELECT *, coalesce((SELECT max(i) FROM unnest(range(1, b)) r(i) WHERE t
   coalesce((SELECT min(i) FROM unnest(range(b, len(ls) + 1)) r(i) WHERE trim(ls[i]) = '' OR starts_with(trim(ls[i]), '#')), len(ls)) AS e FROM doc)
 SELECT doc_id, md5(trim(array_to_string(CASE WHEN m = 0 THEN ls[1:6] WHEN e - s < 5 THEN ls[greatest(0, s - (5 - e + s) // 2) + 1:least(len(ls), e + (5 - e + s) // 2)] ELSE ls[s + 1:e] END, chr(10)), ' ' || chr(9) || chr(10))) AS digest FROM edge""")
 def snippet(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.md5(search.snippet(F.col("text"), ["reou", "hent"]).cast("binary")).alias("digest"))
+    return wide(spark, sf, "documents").select("doc_id", F.md5(search.snippet(F.col("text"), ["reou", "hent"]).cast("binary")).alias("digest"))
 
 
 @query(f"WITH {bm25(BASE)} SELECT doc_id, printf('%.2f', score) || ' ' || substr(text, 1, 1500) AS card FROM scored JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 3")
 def result_cards(spark, sf):
-    docs = read(spark, sf, "documents")
+    docs = wide(spark, sf, "documents")
     top = search.search(docs, QUERY, 3, expand=False)
     return top.join(docs, "doc_id").select("doc_id", F.concat(F.format_string("%.2f", "score"), F.lit(" "), F.substring("text", 1, 1500)).alias("card"))
 
@@ -107,14 +107,14 @@ def result_cards(spark, sf):
 FROM (SELECT 'f' || doc_id AS p, n_chars AS t FROM documents WHERE doc_id % 7 <> 0) c
 FULL JOIN (SELECT 'f' || doc_id AS p, n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS t FROM documents WHERE doc_id % 11 <> 0) o ON c.p = o.p""")
 def manifest_diff(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("mtime"))
+    docs = wide(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("mtime"))
     now, old = docs.where("doc_id % 7 <> 0"), docs.where("doc_id % 11 <> 0").withColumn("mtime", F.col("mtime") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0))
     return search.manifest_diff(now, old)
 
 
 @query("SELECT 'f' || doc_id AS path, (doc_id % 5 = 0 OR doc_id % 11 = 0) AS fresh FROM documents WHERE doc_id % 7 <> 0")
 def index_refresh(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("mtime"))
+    docs = wide(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("mtime"))
     now, old = docs.where("doc_id % 7 <> 0"), docs.where("doc_id % 11 <> 0").withColumn("mtime", F.col("mtime") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0))
     chunk = lambda rows, fresh: rows.select("path", F.lit(fresh).alias("fresh"))
     return search.refresh(chunk(now, True), chunk(old, False), search.manifest_diff(now, old))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import chunking, edits, history
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, read, wide
 from weftline.plans.sqltext import EXTENSIONS
 from weftline.sources import files
 
@@ -84,14 +84,14 @@ def _html(expr: str) -> str:
 
 @query(f"SELECT page_id, array_to_string({_html('html')}, chr(10)) AS text FROM pages")
 def html_to_text(spark, sf):
-    return read(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return wide(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 @query(f"""WITH l AS (SELECT page_id, {_html('html')} AS ls FROM pages), m AS (SELECT page_id, ls, list_filter(ls, lambda x: len(x) > 40) AS big FROM l),
 t AS (SELECT page_id, array_to_string(CASE WHEN len(big) > 0 THEN big ELSE ls END, chr(10)) AS t FROM m)
 SELECT page_id, CASE WHEN len(t) <= 100 THEN NULL WHEN len(t) > 4000 THEN substr(t, 1, 4000) || chr(10) || '... (truncated)' ELSE t END AS text FROM t""")
 def page_text(spark, sf):
-    return read(spark, sf, "pages").select("page_id", T.page_text(F.col("html")).alias("text"))
+    return wide(spark, sf, "pages").select("page_id", T.page_text(F.col("html")).alias("text"))
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a[^>]+href=[''"]([^''"]+)[''"][^>]*>(.*?)</a>', 1) AS us, regexp_extract_all(html, '(?s)<a[^>]+href=[''"]([^''"]+)[''"][^>]*>(.*?)</a>', 2) AS ts FROM pages),
