@@ -204,7 +204,19 @@ def table_cells(line: Column) -> Column:
 
 
 def is_table_separator(line: Column) -> Column:
-    return F.forall(table_cells(line), lambda c: c.rlike("^:?-+:?$"))
+    """Whether all cells that aren't empty are three dashes or more, with or without colons."""
+    return F.forall(table_cells(line), lambda c: (c == "") | c.rlike("^:?-{3,}:?$"))
+
+
+def table_rows(lines: Column) -> Column:
+    """(separator, cells) of a table's lines, all with as many cells as the longest."""
+    rows = F.transform(lines, lambda x: F.struct(is_table_separator(x).alias("separator"), table_cells(x).alias("cells")))
+
+    def padded(rs: Column) -> Column:
+        most = F.array_max(F.transform(rs, lambda r: F.size(r["cells"])))
+        return F.transform(rs, lambda r: F.struct(r["separator"].alias("separator"), F.concat(r["cells"], F.array_repeat(F.lit(""), most - F.size(r["cells"]))).alias("cells")))
+
+    return bind(rows, padded)
 
 
 # Pages
@@ -421,6 +433,19 @@ def raw_url(c: Column) -> Column:
     return F.regexp_replace(c, r"^https://github\.com/([^/]+)/([^/]+)/(?:blob|tree)/(.+)$", "https://raw.githubusercontent.com/$1/$2/$3")
 
 
+def install_source(url: Column) -> Column:
+    """(kind, url) of where a function file comes from: `git`, a repository to be cloned, or `raw`, the file itself."""
+    url = F.trim(url)
+    url = F.when(url.startswith("gh:"), F.concat(F.lit("https://github.com/"), F.substring(url, 4, 10_000), F.lit(".git"))).otherwise(url)
+    tree = r"^https://github\.com/([^/]+)/([^/]+)/tree/([^/]+)/(.+)"
+    file = url.contains("SKILL.md")
+    git = url.endswith(".git") | (~file & url.contains("github.com")) | url.startswith("git@")
+    raw = F.regexp_replace(url, tree + "$", "https://raw.githubusercontent.com/$1/$2/$3/$4/SKILL.md")
+    kind = F.when(url.rlike(tree), "raw").when(git, "git").otherwise("raw")
+    target = F.when(url.rlike(tree), raw).when(git | file, url).otherwise(F.concat(F.regexp_replace(url, "/+$", ""), F.lit("/SKILL.md")))
+    return F.struct(kind.alias("kind"), target.alias("url"))
+
+
 def data_uri(path: Column, content: Column) -> Column:
     """A picture of up to 20 MB as a data URI, by its extension; else null."""
     kinds = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}

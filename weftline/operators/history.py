@@ -20,6 +20,41 @@ def trim_oldest(messages: DataFrame, max_chars: int, by: str = "conv_id", order:
     return rows.where((F.col("_chars") <= max_chars) | (F.col("_turn") == F.col("_last"))).drop("_turn", "_chars", "_last")
 
 
+def trim_eagerly(messages: DataFrame, max_chars: int, by: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Takes units away, oldest first, until a conversation has at most max_chars or one message that isn't the system's.
+
+    A unit is a user message with all assistant and tool messages right after it,
+    or an assistant message that follows none. System messages stay, and so do
+    tool messages that no user message leads to.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    kind = F.col(role)
+    answers = kind.isin("assistant", "tool")
+    run = F.sum((~answers).cast("int")).over(w)  # a run begins with what isn't an answer
+    rows = messages.withColumn("_run", run).withColumn("_led", F.coalesce(F.max((kind == "user").cast("int")).over(Window.partitionBy(by, "_run")), F.lit(0)) == 1)
+    begins = (kind == "user") | ((kind == "assistant") & ~F.col("_led"))
+    rows = rows.withColumn("_unit", F.sum(begins.cast("int")).over(w)).withColumn("_in", F.col("_led") | (kind == "assistant"))
+    chars, whole = F.length(F.coalesce(F.col(text), F.lit(""))), Window.partitionBy(by)
+    before = Window.partitionBy(by).orderBy("_unit").rangeBetween(Window.unboundedPreceding, -1)
+    left = lambda value, of: F.sum(value).over(whole) - F.coalesce(F.sum(F.when(F.col("_in"), value)).over(of), F.lit(0))
+    rows = rows.withColumn("_chars", left(chars, before)).withColumn("_count", left((kind != "system").cast("int"), before))
+    goes = F.col("_in") & (F.col("_chars") > max_chars) & (F.col("_count") > 1)
+    return rows.where(~F.coalesce(goes, F.lit(False))).drop("_run", "_led", "_unit", "_in", "_chars", "_count")
+
+
+def history_text(messages: DataFrame, by: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", call_id: str = "tool_call_id", calls: str = "tool_calls") -> DataFrame:
+    """(by, history): a conversation as the text that is summarised: contents cut to 500, arguments of calls to 200, no system messages.
+
+    calls are arrays of (name, arguments); for conversations that fit a row.
+    """
+    said = F.substring(F.coalesce(F.col(text), F.lit("")), 1, 500)
+    tool = F.concat(F.lit("Tool (id="), F.coalesce(F.col(call_id), F.lit("unknown")), F.lit("): "), said, F.lit("\n\n"))
+    shown = F.transform(F.coalesce(F.col(calls), F.array().cast("array<struct<name:string,arguments:string>>")), lambda c: F.concat(F.lit("  [tool_call: "), c["name"], F.lit(" args="), F.substring(F.coalesce(c["arguments"], F.lit("")), 1, 200), F.lit("]\n\n")))
+    other = F.concat(F.initcap(role), F.lit(": "), said, F.lit("\n\n"), F.array_join(shown, ""))
+    rows = messages.where(F.col(role) != "system").select(by, F.struct(F.col(order).alias("o"), F.when(F.col(role) == "tool", tool).otherwise(other).alias("x")).alias("_x"))
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["x"]), "").alias("history"))
+
+
 def compact_tail(messages: DataFrame, keep: int = 6, by: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """System messages and the last `keep` others; where more are dropped, a marker row says how many, just before the tail."""
     w = Window.partitionBy(by, (F.col(role) == "system").alias("_sys"))

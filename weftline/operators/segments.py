@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftline.operators import search
 from weftline.operators.build import chunk_files
 from weftline.sources import store
-from weftline.sources.files import scan, text_of
+from weftline.sources.files import listed, sized, text_of, with_content
 
 #: Each segment has these tables; chunks have the columns of chunk_code() and an id.
 TABLES = ("chunks", "postings", "sizes", "terms", "dropped")
@@ -19,16 +19,13 @@ TABLES = ("chunks", "postings", "sizes", "terms", "dropped")
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime) of the files below root that are indexed; their bytes aren't read."""
-    return scan(spark, root).select("path", "mtime")
+    return sized(listed(spark, root)).select("path", "mtime")
 
 
 def contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """(path, mtime, text) of the wanted files below root; only their bytes are read."""
-    there = [r.path for r in wanted.select("path").limit(10_001).collect()]
-    rows = scan(spark, root)
-    if len(there) <= 10_000:  # few enough to name: the others are left out before they are opened
-        rows = rows.where(F.col("path").isin(there)) if there else rows.limit(0)
-    return rows.join(wanted.select("path"), "path", "left_semi").select("path", "mtime", text_of(F.col("content")).alias("text"))
+    files = sized(listed(spark, root)).join(wanted.select("path"), "path", "left_semi")
+    return with_content(files, root).select("path", "mtime", text_of(F.col("content")).alias("text"))
 
 
 def _tables(spark: SparkSession, folder: str, name: str, segments: list[str]) -> DataFrame:

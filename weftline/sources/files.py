@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.places import entries, get, put
+
 #: Folders that a scan never enters.
 SKIPPED = [".git", ".svn", ".hg", "node_modules", "vendor", ".venv", "venv", "__pycache__", ".opencode", ".terraform", "dist", "build", ".next", ".nuxt", ".cache", ".ruff_cache"]
 MAX_FILE, MAX_PROJECT_FILE = 500 * 1024, 3_000_000
@@ -20,14 +25,68 @@ def in_skipped_folder(path: Column) -> Column:
     return F.exists(folders, lambda d: d.isin(SKIPPED) | (d.startswith(".") & (d != ".")))
 
 
+def is_skipped(name: str) -> bool:
+    """in_skipped_folder() for the name of one folder."""
+    return name in SKIPPED or (name.startswith(".") and name != ".")
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, length) of the files below root that no skipped or hidden folder holds.
+
+    Spark's own listing leaves out names that begin with a dot or an underscore,
+    `__init__.py` among them, so tasks list the folders themselves, level by
+    level; the driver holds the names of the folders. The root is a folder that
+    driver and executors have mounted, or lies in a store that pyarrow opens.
+    """
+    root = root.rstrip("/")
+    cores = spark.sparkContext.defaultParallelism
+
+    def each(what: Callable[[str], Iterator[tuple]], names: list[str]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for folder in batch.column(0).to_pylist():
+                    rows = list(what(folder))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(len(names))], names=names)
+
+        return run
+
+    inside = lambda folder, name: f"{folder}/{name}" if folder else name
+    folders_in = lambda folder: ((inside(folder, d),) for d in entries(f"{root}/{folder}")[1] if not is_skipped(d))
+    files_in = lambda folder: ((inside(folder, n), t, size) for n, t, size in entries(f"{root}/{folder}")[0])
+    found, level = [""], [""]
+    while level:
+        dealt = spark.createDataFrame([(x,) for x in level], "folder string").repartition(min(cores, len(level)))
+        level = [r[0] for r in dealt.mapInArrow(each(folders_in, ["folder"]), "folder string").collect()]
+        found += level
+    dealt = spark.createDataFrame([(x,) for x in found], "folder string").repartition(min(4 * cores, len(found)))
+    return dealt.mapInArrow(each(files_in, ["path", "mtime", "length"]), "path string, mtime long, length long")
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """Adds content to (path, mtime, length) of files below root, each read by the task that has its row; a file that has gone since is left out."""
+    root = root.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 32):
+                part, data = batch.slice(lo, 32), []
+                for path in part.column(0).to_pylist():
+                    try:
+                        data.append(get(f"{root}/{path}"))
+                    except FileNotFoundError:
+                        data.append(None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=["path", "mtime", "length", "content"])
+
+    return files.select("path", "mtime", "length").mapInArrow(run, "path string, mtime long, length long, content binary").where(F.col("content").isNotNull())
+
+
 def scan(spark: SparkSession, root: str, max_bytes: int = MAX_FILE) -> DataFrame:
     """(path, mtime, length, content) of the files below root, without empty, large and skipped ones; sizes are filtered before bytes are read."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    files = files.where((F.col("length") > 0) & (F.col("length") <= max_bytes))
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + "/" + base.split(":", 1)[-1].strip("/").replace(".", r"\.") + "/", "")
-    rows = files.select(rel.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), "length", "content")
-    return rows.where(~in_skipped_folder(F.col("path")))
+    return with_content(sized(listed(spark, root), max_bytes), root)
+
+
+def sized(files: DataFrame, max_bytes: int = MAX_FILE) -> DataFrame:
+    return files.where((F.col("length") > 0) & (F.col("length") <= max_bytes))
 
 
 def project_files(files: DataFrame, ignored: DataFrame) -> DataFrame:
@@ -52,16 +111,31 @@ def write_tasks(tasks: DataFrame, path: str) -> None:
     tasks.agg(F.collect_list(F.struct(*tasks.columns)).alias("tasks")).coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_texts(texts: DataFrame, folder: str, path: str = "path", text: str = "text") -> None:
-    """Writes each text whole under a folder named after its path, in place of what was there; read_texts() gives it back."""
-    rows = texts.select(F.url_encode(path).alias("path"), F.col(text).alias("value")).where(F.col("value").isNotNull())
-    rows.write.mode("overwrite").partitionBy("path").text(folder)
+def write_texts(texts: DataFrame, folder: str, path: str = "path", text: str = "text") -> int:
+    """Writes each text whole to its path below folder, in place of what was there; gives how many. Null texts are left out.
+
+    Tasks write the files, each under a name of its own first, so that a task may
+    run twice and a reader sees a file whole. Two texts of one path are refused,
+    and so is a path that is empty or leaves the folder. The folder is one that
+    driver and executors have mounted, or a store that pyarrow opens.
+    """
+    rows = texts.select(F.col(path).alias("p"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    bad = F.col("p").isNull() | F.col("p").rlike(r"^/|^$|(^|/)\.\.(/|$)|/$")
+    if rows.where(bad).limit(1).count() or rows.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count():
+        raise ValueError("a path is empty, leaves the folder, or stands more than once")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                put(f"{folder}/{p}", t.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text) of write_texts()."""
-    rows = spark.read.schema("value string, path string").text(folder, wholetext=True)
-    return rows.select(F.url_decode("path").alias("path"), F.regexp_replace("value", r"\n\z", "").alias("text"))
+    """(path, text) of all files below folder that no skipped or hidden folder holds."""
+    return with_content(listed(spark, folder), folder).select("path", text_of(F.col("content")).alias("text"))
 
 
 def append_log(lines: DataFrame, folder: str, line: str = "line") -> None:

@@ -3,30 +3,16 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-Fetch = Callable[[str, str | None], dict]
-
+from weftline.sources.places import get, put
 
-def _opened(path: str, mode: str):
-    """A file of a mounted folder, or of a store that pyarrow opens."""
-    mounted = re.match(r"(?:file:)?/+(.*)", path)
-    if mounted:
-        place = Path("/" + mounted[1])
-        if mode == "wb":
-            place.parent.mkdir(parents=True, exist_ok=True)
-        return place.open(mode)
-    from pyarrow import fs  # starts threads, which workers are not to fork with
-
-    store, place = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
-    return store.open_output_stream(place) if mode == "wb" else store.open_input_stream(place)
+Fetch = Callable[[str, str | None], dict]
 
 
 def _page_file(folder: str, listing: str, cursor: str | None) -> str:
@@ -37,8 +23,7 @@ def stored_pages(folder: str) -> Fetch:
     """Fetches from files: <listing>.json first, then <listing>.<cursor>.json."""
 
     def fetch(listing: str, cursor: str | None) -> dict:
-        with _opened(_page_file(folder, listing, cursor), "rb") as f:
-            return json.loads(f.read().decode())
+        return json.loads(get(_page_file(folder, listing, cursor)).decode())
 
     return fetch
 
@@ -54,8 +39,7 @@ def write_pages(items: DataFrame, folder: str, size: int, listing: str = "listin
         for batch in batches:
             for r in batch.to_pylist():
                 body = {r["l"]: [json.loads(x["i"]) for x in r["x"]]} | ({"nextCursor": str(r["p"] + 1)} if r["p"] < r["z"] else {})
-                with _opened(_page_file(folder, r["l"], str(r["p"]) if r["p"] else None), "wb") as f:
-                    f.write(json.dumps(body).encode())
+                put(_page_file(folder, r["l"], str(r["p"]) if r["p"] else None), json.dumps(body).encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
 
     return docs.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -23,14 +24,29 @@ def admitted(times: list[float], recent: list[float], seconds: float = 54, limit
     return out, recent[-limit:]
 
 
-def admit(requests: DataFrame, by: str = "user_id", seconds: float = 54, limit: int = 3, pause: float = 60) -> DataFrame:
-    """(by, event_id, at, admitted) for a stream of (by, event_id, at seconds)."""
+def admit(requests: DataFrame, by: str = "user_id", seconds: float = 54, limit: int = 3, pause: float = 60, lateness: str | None = None) -> DataFrame:
+    """(by, event_id, at, admitted) for a stream of (by, event_id, at seconds).
+
+    With lateness, a stream of any length keeps state only of users whose
+    admissions still count: `at` is then seconds since 1970, requests that come
+    later than that behind the newest are left out, and what is known of a user
+    goes once the watermark has passed all that it could hold up.
+    """
+    schema, state_schema = f"{by} long, event_id long, at double, admitted double", "recent array<double>"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         recent = list(state.get[0]) if state.exists else []
         got, recent = admitted(rows["at"].tolist(), recent, seconds, limit, pause)
         state.update((recent,))
+        if lateness is not None:
+            state.setTimeoutTimestamp(max(int((recent[-1] + max(seconds, pause)) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({by: key[0], "event_id": rows["event_id"].to_numpy(), "at": rows["at"].to_numpy(), "admitted": got})
 
-    return requests.groupBy(by).applyInPandasWithState(step, f"{by} long, event_id long, at double, admitted double", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    if lateness is None:
+        return requests.groupBy(by).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withColumn("_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("_time", lateness)
+    return timed.groupBy(by).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
