@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import bind, expand_query, token_rows, tokenize_query
 
 K1, B, VERSION = 1.5, 0.75, 5
 MAX_TF = 65_535
+#: Parts that a term's ids are numbered in.
+PARTS = 16
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,6 +43,46 @@ def inverted_lists(posted: DataFrame, key: str = "doc_id") -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(key)).alias("ids"))
 
 
+def inverted_blocks(posted: DataFrame, size: int = 1024, key: str = "doc_id") -> DataFrame:
+    """(term, block, df, ids): a term's ids in order, size of them a row, so that no list grows with the corpus.
+
+    A term with many ids is numbered in parts of its ids' hash range, each part
+    by itself; the parts' blocks follow one another.
+    """
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    rows = posted.select("term", key).withColumn("_p", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    own = Window.partitionBy("term", "_p").orderBy(key)
+    rows = rows.withColumn("_b", F.floor((F.row_number().over(own) - 1) / size))
+    blocks = rows.groupBy("term", "_p", "_b").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    blocks = blocks.withColumn("block", (F.row_number().over(Window.partitionBy("term").orderBy("_p", "_b")) - 1).cast("int"))
+    return blocks.join(df, "term").select("term", "block", "df", "ids")
+
+
+def export_json(posted: DataFrame, path: str, size: int = 1024, key: str = "doc_id") -> None:
+    """Writes an index's inverted blocks as JSON lines that a person can read."""
+    inverted_blocks(posted, size, key).write.mode("overwrite").json(path)
+
+
+# What stands around a card's snippet, and around its text where it has none.
+CARD_SNIPPET = ("  ── contexto ──", "  ─────────────", 1500)
+CARD_TEXT = ("  ── texto ──", "  ───────────", 2000)
+CARD_CUT = "\n... [truncated]"
+
+
+def result_card(rank: Column, path: Column, start: Column, end: Column, score: Column, name: Column, lang: Column, shown: Column, text: Column) -> Column:
+    """A result as text: where it stands, its score with two places, name and language if any, and its snippet, else its text, both cut."""
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    head = F.concat(F.lit("[Resultado "), rank.cast("string"), F.lit("] "), path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(" | score="), F.format_string("%.2f", score))
+    head = F.concat(head, F.when(has(name), F.concat(F.lit(" | «"), name, F.lit("»"))).otherwise(""), F.when(has(lang), F.concat(F.lit(" ("), lang, F.lit(")"))).otherwise(""))
+
+    def block(c: Column, around: tuple[str, str, int]) -> Column:
+        before, after, most = around
+        cut = F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(CARD_CUT))).otherwise(c)
+        return F.concat(F.lit(f"\n{before}\n"), cut, F.lit(f"\n{after}"))
+
+    return F.concat(head, F.when(has(shown), block(shown, CARD_SNIPPET)).when(has(text), block(text, CARD_TEXT)).otherwise(""))
+
+
 def scores(posted: DataFrame, sizes: DataFrame, stats: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
     """(key, score): BM25 over the documents that hold a term.
 

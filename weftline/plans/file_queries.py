@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import batch, build, catalog, code, edits, match, search, tasks, trail
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, read, scratch
 from weftline.plans.sqltext import bm25, tokens
 from weftline.plans.store_queries import _TASKS, task_table
 from weftline.sources import files, paged
 from weftline.streaming import deltas, index, limits
 
 
-def scratch(spark) -> str:
-    """A folder of its own below the shared one; on a cluster that must be named, since a default would lie on the driver's disk."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.gettempdir()
-    return f"{base}/scratch-{uuid.uuid4().hex}"
-
-
 def text(c: str):
     return F.col(c).cast("string")
 

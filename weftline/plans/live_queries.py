@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.event_queries import delta_lines
-from weftline.plans.file_queries import scratch
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, read, scratch
 from weftline.streaming import exchange, live
 
 #: The days on which a new lot of files arrives.

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import history
-from weftline.plans.file_queries import scratch
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, read, scratch
 from weftline.sources import files
 from weftline.streaming import limits
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.plans.file_queries import scratch
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, read, scratch
 from weftline.sources import cached, ignore, store
 
 #: Ignore files by their path; the SQL below states what they mean case by case.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import catalog, search
-from weftline.plans.registry import query, read, wide
+from weftline.plans.registry import query, read, scratch, wide
 from weftline.plans.sqltext import bm25, tokens
 
 QUERY = "the reinheon thanoned atoust"
@@ -124,3 +125,30 @@ def index_refresh(spark, sf):
 def session_search(spark, sf):
     m = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat_ws(" ", "role", "text").alias("body"))
     return search.search(m, "assistant thanoned", 10, expand=False, key="id", text="body").select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {tokens()}, posting AS (SELECT DISTINCT term, doc_id FROM token), d AS (SELECT term, count(*) AS df FROM posting GROUP BY term)
+SELECT p.term, d.df::BIGINT AS df, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS total, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest, true AS bounded FROM posting p JOIN d USING (term) GROUP BY ALL""")
+def index_as_json(spark, sf):
+    """The index's inverted blocks, written as JSON and read again: of every term its frequency and all ids, of which no block has more than eight."""
+    folder = scratch(spark)
+    search.export_json(search.postings(wide(spark, sf, "documents")), folder, 8)
+    back = spark.read.schema("term string, block int, df long, ids array<long>").json(folder)
+    ids = F.array_sort(F.flatten(F.collect_list("ids")))
+    rows = back.groupBy("term", "df").agg(ids.alias("ids"), (F.max(F.size("ids")) <= 8).alias("bounded"), (F.count_distinct("block") == F.count("*")).alias("_one"))
+    digest = F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary"))
+    return rows.select("term", "df", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), digest.alias("digest"), (F.col("bounded") & F.col("_one")).alias("bounded"))
+
+
+@query(f"""WITH {bm25(BASE)}, r AS (SELECT d.*, score, row_number() OVER (PARTITION BY lang ORDER BY scored.score DESC, d.doc_id) AS n FROM scored JOIN documents d USING (doc_id))
+SELECT doc_id, md5('[Resultado ' || n || '] d/' || doc_id || ':1-' || len(string_split(text, chr(10))) || ' | score=' || printf('%.2f', score) || CASE WHEN doc_id % 2 = 0 THEN ' | «' || source || '»' ELSE '' END || ' (' || lang || ')' ||
+  CASE WHEN doc_id % 3 > 0 THEN chr(10) || '  ── contexto ──' || chr(10) || substr(text, 1, 1500) || CASE WHEN length(text) > 1500 THEN chr(10) || '... [truncated]' ELSE '' END || chr(10) || '  ─────────────'
+  ELSE chr(10) || '  ── texto ──' || chr(10) || substr(text, 1, 2000) || CASE WHEN length(text) > 2000 THEN chr(10) || '... [truncated]' ELSE '' END || chr(10) || '  ───────────' END) AS digest FROM r""")
+def result_texts(spark, sf):
+    """A card of every document that is found, ranked in its language; a third of them without a snippet."""
+    docs, k = wide(spark, sf, "documents"), F.col("doc_id")
+    found = search.query_scores(docs, BASE).join(docs, "doc_id")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id"))
+    found = found.withColumn("_n", rank)
+    card = search.result_card(F.col("_n"), F.concat(F.lit("d/"), k.cast("string")), F.lit(1), F.size(F.split("text", "\n")), F.col("score"), F.when(k % 2 == 0, F.col("source")), F.col("lang"), F.when(k % 3 > 0, F.col("text")), F.col("text"))
+    return found.select("doc_id", F.md5(card.cast("binary")).alias("digest"))

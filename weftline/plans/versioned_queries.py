@@ -7,8 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 
 from weftline.operators import segments, tasks
-from weftline.plans.file_queries import scratch
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, read, scratch
 from weftline.plans.sqltext import bm25
 from weftline.plans.store_queries import _TASKS, task_table
 from weftline.sources import store
