@@ -105,7 +105,7 @@ def preset_store(spark, sf):
     files.save_presets(c, folder)
     files.save_presets(c.where("name % 3 = 0").withColumn("model", F.lit("new")), folder)
     files.delete_presets(c.where("name % 5 = 0"), folder)
-    return files.read_presets(spark, folder, "name long, model string")
+    return files.read_presets(spark, folder)
 
 
 @query("""SELECT c_custkey::VARCHAR AS name, CASE WHEN c_custkey % 7 = 4 THEN 'moved' ELSE c_mktsegment END AS url, c_acctbal > 0 AS enabled, CASE c_custkey % 7 WHEN 1 THEN 'duplicate' WHEN 4 THEN 'modified' ELSE 'kept' END AS outcome FROM customer WHERE c_custkey % 7 <> 3

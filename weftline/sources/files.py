@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources import store
 from weftline.sources.places import entries, get, put
 
 #: Folders that a scan never enters.
@@ -107,8 +108,20 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tasks(tasks: DataFrame, path: str) -> None:
-    """One {"tasks": [...]} document; the table of a scheduler, so it fits a row."""
-    tasks.agg(F.collect_list(F.struct(*tasks.columns)).alias("tasks")).coalesce(1).write.mode("overwrite").json(path)
+    """One {"tasks": [...]} document in the folder, in place of the one before, which a reader sees until this one is whole.
+
+    It is the form that a scheduler's table is handed over in, so it fits a row;
+    tables that several write to are kept in a store, see store.merge().
+    """
+    whole = tasks.agg(F.to_json(F.struct(F.collect_list(F.struct(*tasks.columns)).alias("tasks")), {"ignoreNullFields": "false"}).alias("j"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                put(f"{path}/tasks.json", text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    whole.mapInArrow(write, "n long").collect()
 
 
 def write_texts(texts: DataFrame, folder: str, path: str = "path", text: str = "text") -> int:
@@ -150,21 +163,19 @@ def export_session(messages: DataFrame, by: str = "conv_id", order: str = "turn"
     return messages.groupBy(by).agg(F.array_join(F.transform(blocks, lambda x: x["b"]), "\n\n").alias("markdown"))
 
 
-def save_presets(presets: DataFrame, folder: str, key: str = "name") -> None:
-    """Saves presets over those of the same name: each set of changes is a version of its own, and the last one of a name holds."""
-    presets.withColumn("_at", F.current_timestamp()).withColumn("_gone", F.lit(False)).write.mode("append").json(folder)
+def save_presets(presets: DataFrame, folder: str, key: str = "name") -> int:
+    """Saves presets over those of the same name, as one new version of the store; gives its number."""
+    return store.merge(presets.sparkSession, folder, presets, key)
 
 
-def delete_presets(names: DataFrame, folder: str, key: str = "name") -> None:
-    names.select(key).withColumn("_at", F.current_timestamp()).withColumn("_gone", F.lit(True)).write.mode("append").json(folder)
+def delete_presets(names: DataFrame, folder: str, key: str = "name") -> int:
+    spark = names.sparkSession
+    return store.merge(spark, folder, store.read(spark, folder).limit(0), key, gone=names)
 
 
-def read_presets(spark: SparkSession, folder: str, schema: str, key: str = "name") -> DataFrame:
-    """The presets that were saved last and not deleted since."""
-    rows = spark.read.schema(f"{schema}, _at timestamp, _gone boolean").json(folder)
-    own = [c for c in rows.columns if c not in (key, "_at", "_gone")]
-    last = rows.groupBy(key).agg(F.max_by(F.struct("_gone", *own), "_at").alias("_x")).where(~F.col("_x._gone"))
-    return last.select(key, *[F.col(f"_x.{c}").alias(c) for c in own])
+def read_presets(spark: SparkSession, folder: str) -> DataFrame:
+    """The presets that were saved last and not deleted since; of two that saved at once the one with the later version."""
+    return store.read(spark, folder)
 
 
 def tail(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
