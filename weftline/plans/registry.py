@@ -47,7 +47,7 @@ def scratch(spark) -> str:
 
 
 def _load() -> None:
-    from weftline.plans import chunk_queries, event_queries, file_queries, live_queries, markup_queries, more_queries, project_queries, search_queries, store_queries, text_queries, versioned_queries  # noqa: F401
+    from weftline.plans import chunk_queries, event_queries, file_queries, live_queries, markup_queries, more_queries, project_queries, search_queries, source_queries, store_queries, text_queries, versioned_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
