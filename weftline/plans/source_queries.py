@@ -25,7 +25,22 @@ RUST = [
 ]
 
 
-def _files(spark, sf, items: list[str], call: str, repeat, ending: str):
+GO = [
+    "func f{j}(a int) int {\n{call}}\n",
+    "type S{j} struct {\n\tA int\n\tB string\n}\n",
+    "type (\n\tI{j} interface {\n\t\tM()\n\t}\n\tK{j} int\n)\n",
+    "func (s *S{j}) m(x int) {\n\treturn\n}\n",
+    "var (\n\tx{j} = 1\n\ty{j} = \"}\"\n)\nconst c{j} = 2\n",
+]
+SCRIPT = [
+    "function f{j}(a) {\n{call}}\n",
+    "class C{j} {\n  async function m(a) {\n    1;\n    2;\n  }\n}\n",
+    "const x = 1;\n",
+    "function* h{j}(a) { return {\n  a: 1,\n  b: 2,\n}; }\n",
+]
+
+
+def _files(spark, sf, items: list[str], call: str, repeat, ending: str, head: str = "# head\n"):
     """A file for each part: up to six items, whose kinds follow its key, and an item of the first kind at the end."""
     k = F.col("p_partkey")
 
@@ -35,7 +50,7 @@ def _files(spark, sf, items: list[str], call: str, repeat, ending: str):
         return F.replace(text, F.lit("{j}"), j.cast("string"))
 
     text = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("p_size") % 6).cast("int")), item), "")
-    return read(spark, sf, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(ending)).alias("path"), F.concat(F.when(k % 2 == 1, "# head\n").otherwise(""), text).alias("text"))
+    return read(spark, sf, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(ending)).alias("path"), F.concat(F.when(k % 2 == 1, head).otherwise(""), text).alias("text"))
 
 
 def _items_sql(sizes: list[str]) -> str:
@@ -68,3 +83,29 @@ def varied_rust(spark, sf):
     """Functions, structs, impls with methods, traits, enums and modules in changing order; those under four lines go."""
     rows = code.chunk_code(_files(spark, sf, RUST, "    a;\n", (F.col("p_partkey") % 4).cast("int"), ".rs"))
     return rows.where(F.col("type") != "code_block").select("path", "start", "end", "type", "name")
+
+
+@query(f"""WITH {_items_sql(["k % 3 + 2", "4", "6", "3", "5"])}, c AS (
+SELECT k, s + 1 AS a, s + k % 3 + 2 AS b, 'function' AS type, 'f' || j AS name, '' AS parent, 'f' || j AS symbols FROM item WHERE kind = 0
+UNION ALL SELECT k, s + 1, s + 4, 'struct', 'S' || j, '', 'A,B' FROM item WHERE kind = 1
+UNION ALL SELECT k, s + 2, s + 4, 'interface', 'I' || j, '', 'M' FROM item WHERE kind = 2 UNION ALL SELECT k, s + 5, s + 5, 'type', 'K' || j, '', '' FROM item WHERE kind = 2
+UNION ALL SELECT k, s + 1, s + 3, 'method', 'm', 'S' || j, 'm' FROM item WHERE kind = 3
+UNION ALL SELECT k, s + i, s + i, 'var', list_extract(['', 'x', 'y', '', 'c'], i) || j, '', '' FROM item, (VALUES (2), (3), (5)) v(i) WHERE kind = 4)
+SELECT 'src/p' || k || '.go' AS path, (a + 6)::INT AS start, (b + 6)::INT AS "end", type, name, parent, symbols, 'fmt,os' AS imports FROM (SELECT * REPLACE (a - k % 2 AS a, b - k % 2 AS b) FROM c)
+UNION ALL SELECT 'src/p' || p_partkey || '.go', 1, 1, 'module', 'main', '', '', 'fmt,os' FROM part""")
+def varied_go(spark, sf):
+    """Functions, methods, structs, grouped types and variables, constants, brackets in literals, in changing order."""
+    rows = _files(spark, sf, GO, "\tg(a)\n", (F.col("p_partkey") % 3).cast("int"), ".go", "")
+    rows = rows.withColumn("text", F.concat(F.lit('package main\n\nimport (\n\t"fmt"\n\t"os"\n)\n'), "text"))
+    return code.chunk_code(rows).select("path", "start", "end", "type", "name", "parent", F.array_join("symbols", ",").alias("symbols"), F.array_join("imports", ",").alias("imports"))
+
+
+@query(f"""WITH {_items_sql(["k % 4 + 2", "6", "1", "4"])}, c AS (
+SELECT k, s + 1 AS a, s + k % 4 + 2 AS b, 'function' AS type, 'f' || j AS name, '' AS parent FROM item WHERE kind = 0 AND k % 4 >= 2
+UNION ALL SELECT k, s + 1, s + 6, 'class', 'C' || j, '' FROM item WHERE kind = 1 UNION ALL SELECT k, s + 2, s + 5, 'method', 'm', 'C' || j FROM item WHERE kind = 1
+UNION ALL SELECT k, s + 1, s + 4, 'function', 'h' || j, '' FROM item WHERE kind = 3)
+SELECT 'src/p' || k || '.ts' AS path, a::INT AS start, b::INT AS "end", type, name, parent FROM c""")
+def varied_script(spark, sf):
+    """Functions, generators, classes with methods in changing order; those under four lines go."""
+    rows = code.chunk_code(_files(spark, sf, SCRIPT, "  g(a);\n", (F.col("p_partkey") % 4).cast("int"), ".ts", "// head\n"))
+    return rows.where(F.col("type") != "code_block").select("path", "start", "end", "type", "name", "parent")
