@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Keys that a merge sends to every task; joins with more are dealt out, however small they look when compressed.
+FEW_KEYS = 100_000
+
+
 class Conflict(RuntimeError):
     """Another writer was faster, or has changed a row since it was read."""
 
@@ -109,8 +113,11 @@ def merge(spark: SparkSession, folder: str, changes: DataFrame, key: str = "id",
     """
     gone = (changes.select(key).limit(0) if gone is None else gone.select(key)).distinct()
     touched = changes.select(key).unionAll(gone).groupBy(key).agg(F.count("*").alias("_n"))
-    if touched.where((F.col("_n") > 1) | F.col(key).isNull()).limit(1).count():
+    many, bad = touched.agg(F.count("*"), F.count_if((F.col("_n") > 1) | F.col(key).isNull())).first()
+    if bad:
         raise ValueError(f"a {key} is null or stands more than once")
+    sized = F.broadcast if many <= FEW_KEYS else lambda rows: rows.hint("merge")
+    gone, touched = sized(gone), sized(touched.select(key))
     for _ in range(tries):
         base, found = _manifest(spark, folder, None)
         if not found:
@@ -121,7 +128,7 @@ def merge(spark: SparkSession, folder: str, changes: DataFrame, key: str = "id",
                 before = read(spark, folder, read_at).select(old.columns)
                 if old.exceptAll(before).unionAll(before.exceptAll(old)).join(touched, key, "left_semi").limit(1).count():
                     raise Conflict(f"a row has been changed since version {read_at}")
-            merged = old.join(touched.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
+            merged = old.join(touched, key, "left_anti").unionByName(changes, allowMissingColumns=True)
         try:
             return commit(spark, folder, merged, base)
         except Conflict:
