@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from conftest import same_rows
+from weftline.functions import text as T
 from weftline.operators import tasks
+from weftline.plans.registry import oracle_sql, queries
 from weftline.sources import store
 
 
@@ -34,3 +37,14 @@ def test_a_merge_of_many_keys_deals_them_out(spark, tmp_path, monkeypatch):
     assert "Broadcast" not in seen[1] and "BroadcastHashJoin" in seen[2]
     got = {r.id: r.v for r in store.read(spark, str(tmp_path)).collect()}
     assert got == {i: 2 if i < 5 else int(i < 50) for i in range(90)}
+
+
+def test_contexts_of_a_million(spark):
+    row = spark.range(1).select(T.format_context(F.lit(1_234_567)).alias("m"), T.format_context(F.lit(1_234_567), millions=False).alias("k")).first()
+    assert tuple(row) == ("1M", "1234K")
+
+
+def test_price_format_beyond_a_million_parts(spark, duck, tmp_path):
+    spark.range(999_998, 1_000_003).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    parts = f"(SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet'))"
+    same_rows(queries()["price_format"](spark, str(tmp_path)), duck.sql(oracle_sql()["price_format"].replace("FROM part", f"FROM {parts}")))

@@ -323,9 +323,10 @@ def strip_ansi(c: Column) -> Column:
     return c
 
 
-def format_context(n: Column) -> Column:
-    """1234 as 1K, millions as 1M."""
-    return F.when(n >= 1_000_000, F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("M"))).when(n >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit("K"))).otherwise(n.cast("string"))
+def format_context(n: Column, millions: bool = True) -> Column:
+    """1234 as 1K, millions as 1M, or, without millions, as 1000K."""
+    thousands = F.when(n >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit("K"))).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("M"))).otherwise(thousands) if millions else thousands
 
 
 def format_price(prompt: Column, completion: Column) -> Column:
