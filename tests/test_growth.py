@@ -48,3 +48,19 @@ def test_price_format_beyond_a_million_parts(spark, duck, tmp_path):
     spark.range(999_998, 1_000_003).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
     parts = f"(SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet'))"
     same_rows(queries()["price_format"](spark, str(tmp_path)), duck.sql(oracle_sql()["price_format"].replace("FROM part", f"FROM {parts}")))
+
+
+def test_pages_of_one_address_stay_apart(spark, duck, tmp_path):
+    html = F.concat(F.lit("<p>"), F.repeat(F.concat(F.lit("page "), F.col("id").cast("string"), F.lit(" ")), 20), F.lit("</p>"))
+    spark.range(9).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.example/"), (F.col("id") % 4).cast("string")).alias("url"), html.alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    pages = f"(SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet'))"
+    found = queries()["web_results"](spark, str(tmp_path))
+    assert found.count() == 45
+    same_rows(found, duck.sql(f"WITH pages AS {pages}, {oracle_sql()['web_results'].removeprefix('WITH ')}"))
+
+
+def test_results_stay_single_where_pages_are_known_twice(spark):
+    found = spark.createDataFrame([(1, 0, "u"), (1, 1, "v"), (2, 0, "u")], "s long, pos int, url string")
+    pages = spark.createDataFrame([("u", "<p>" + "b" * 120 + "</p>"), ("u", "<p>" + "a" * 120 + "</p>")], "url string, html string")
+    got = [(r.s, r.pos, r.page and r.page[0]) for r in T.with_pages(found, pages, "s", "pos").orderBy("s", "pos").collect()]
+    assert got == [(1, 0, "a"), (1, 1, None), (2, 0, "a")]

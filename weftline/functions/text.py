@@ -302,11 +302,20 @@ def result_links(html: Column, most: int = 10, kind: str | None = None) -> Colum
 
 
 def with_pages(results: DataFrame, pages: DataFrame, by: str, order: str, first: int = 2, max_chars: int = 3000) -> DataFrame:
-    """Adds page: the text of the pages that the first results of each search name, where it is known."""
-    known = pages.select(F.col("url").alias("_u"), page_text(F.col("html"), max_chars).alias("page"))
+    """Adds page: the text of the pages that the first results of each search name, where it is known.
+
+    pages with the column `by` are those that each search has fetched, so two
+    searches may know an address with different texts; without it they are known
+    to all. Of an address that stands more than once the page with the smallest
+    text is taken: a result stays one row.
+    """
+    own = [by] if by in pages.columns else []
+    known = pages.select(*[F.col(c).alias("_by") for c in own], F.col("url").alias("_u"), page_text(F.col("html"), max_chars).alias("page"))
+    known = known.groupBy(*["_by" for _ in own], "_u").agg(F.min("page").alias("page"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
     rows = results.withColumn("_at", F.when(rank <= first, F.col("url")))
-    return rows.join(known, rows["_at"] == known["_u"], "left").drop("_at", "_u")
+    same = rows["_at"] == known["_u"]
+    return rows.join(known, same & (rows[by] == known["_by"]) if own else same, "left").drop("_at", "_u", "_by")
 
 
 # Small formats
