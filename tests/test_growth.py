@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import random
+
 from conftest import same_rows
 from weftline.functions import text as T
 from weftline.operators import tasks
 from weftline.plans.registry import oracle_sql, queries
 from weftline.sources import store
+from weftline.sources.places import dealt
 
 
 def plan(df) -> str:
@@ -64,3 +67,19 @@ def test_results_stay_single_where_pages_are_known_twice(spark):
     pages = spark.createDataFrame([("u", "<p>" + "b" * 120 + "</p>"), ("u", "<p>" + "a" * 120 + "</p>")], "url string, html string")
     got = [(r.s, r.pos, r.page and r.page[0]) for r in T.with_pages(found, pages, "s", "pos").orderBy("s", "pos").collect()]
     assert got == [(1, 0, "a"), (1, 1, None), (2, 0, "a")]
+
+
+def test_tables_are_dealt_out_by_their_bytes(spark, tmp_path):
+    spark.range(1000).withColumn("t", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(f"{tmp_path}/a b")
+    rows = spark.read.parquet(f"{tmp_path}/a b")
+    assert dealt(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    few = dealt(rows, 2000)
+    assert few.rdd.getNumPartitions() > 20 and few.exceptAll(rows).count() == 0 and few.count() == 1000
+
+
+def test_words_are_cut_where_they_were(spark):
+    before = r"[^\p{L}\p{Nd}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+    pick = random.Random(5)
+    texts = ["".join(pick.choice("aaBBbC1٣ǅʰ中é漢ß ́-_Σσ𝐀𝐚𝟙İ") for _ in range(pick.randint(0, 14))) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert not rows.where(F.split("t", T.BREAK) != F.split("t", before)).count()

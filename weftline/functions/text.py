@@ -56,8 +56,8 @@ LANGUAGES = {
     ".css": "css", ".scss": "scss", ".sass": "sass", ".less": "less", ".sql": "sql", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".env": "env",
     ".dockerfile": "dockerfile",
 }
-#: Between words, and inside identifiers at case and digit boundaries.
-BREAK = r"[^\p{L}\p{Nd}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+#: Between words, and inside identifiers at case and digit boundaries; before a small ASCII letter only a digit makes one.
+BREAK = r"[^\p{L}\p{Nd}]+|(?<=\p{Nd})(?=\p{L})|(?![a-z])(?:(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{Nd})|(?<=\p{Lu})(?=\p{Lu}\p{Ll}))"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -12,6 +12,7 @@ from weftline.operators import search
 from weftline.operators.build import chunk_files
 from weftline.sources import store
 from weftline.sources.files import listed, sized, text_of, with_content
+from weftline.sources.places import dealt
 
 #: Each segment has these tables; chunks have the columns of chunk_code() and an id.
 TABLES = ("chunks", "postings", "sizes", "terms", "dropped")
@@ -44,7 +45,7 @@ def _write_segment(chunks: DataFrame, folder: str, segment: str, removed: DataFr
     at = lambda name: f"{folder}/{name}/segment={segment}"
     chunks.write.parquet(at("chunks"))
     chunks = spark.read.schema(chunks.schema).parquet(at("chunks"))
-    posted = search.postings(chunks, "id")
+    posted = search.postings(dealt(chunks.select("id", "text")), "id")
     posted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(at("postings"))
     posted = spark.read.schema(posted.schema).parquet(at("postings"))
     sizes = search.lengths(chunks, posted, "id")

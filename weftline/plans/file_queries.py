@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import batch, build, catalog, code, edits, match, search, tasks, trail
-from weftline.plans.registry import query, read, scratch
+from weftline.plans.registry import query, read, scratch, wide
 from weftline.plans.sqltext import bm25, tokens
 from weftline.plans.store_queries import _TASKS, task_table
 from weftline.sources import files, paged
@@ -292,7 +292,7 @@ def table_widths(spark, sf):
 @query(f"WITH {bm25(['reinheon', 'thanoned', 'atoust'])} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 5")
 def stored_search(spark, sf):
     folder = scratch(spark)
-    search.save(read(spark, sf, "documents"), folder)
+    search.save(wide(spark, sf, "documents"), folder)
     posted, sizes, stats = search.load(spark, folder)
     return search.top_k(search.scores(posted, sizes, stats, ["reinheon", "thanoned", "atoust"]), 5).select("doc_id", F.round("score", 6).alias("score"))
 

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.sources.places import dealt
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
@@ -30,10 +32,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for work that costs much a row: dealt over all cores if it comes in fewer pieces than there are; larger ones are read as they lie."""
-    rows = read(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """A table for work that costs much a row, dealt out as dealt() does."""
+    return dealt(read(spark, sf_dir, name))
 
 
 def scratch(spark) -> str:

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 
 from weftline.operators import segments, tasks
-from weftline.plans.registry import query, read, scratch
+from weftline.plans.registry import query, scratch, wide
 from weftline.plans.sqltext import bm25
 from weftline.plans.store_queries import _TASKS, task_table
 from weftline.sources import store
@@ -27,7 +27,7 @@ def whole_texts(files):
 SELECT state, 'd/' || doc_id || '.txt' AS path, round(score, 6) AS score FROM scored, (VALUES ('segments'), ('merged')) s(state)""")
 def refreshed_index(spark, sf):
     """Documents as files: two thirds are indexed, then some are edited, deleted or added, then some again, then all is merged."""
-    folder, d = scratch(spark), read(spark, sf, "documents")
+    folder, d = scratch(spark), wide(spark, sf, "documents")
     k, path = F.col("doc_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     first = d.where(k % 5 != 2).select(path.alias("path"), F.lit(1).cast("long").alias("mtime"), "text")
     # Every third text is edited and every seventh goes; the rest of the documents is new, and is edited at once afterwards.

@@ -7,6 +7,12 @@ import re
 import uuid
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bytes of files that one task works on, where a row makes many.
+SHARE = 16 << 20
+
 
 def _place(path: str):
     """(None, a mounted path), or (store, a path in it)."""
@@ -53,3 +59,17 @@ def entries(folder: str) -> tuple[list[tuple[str, int, int]], list[str]]:
     there = store.get_file_info(fs.FileSelector(place))
     files = [(e.base_name, int(e.mtime.timestamp()) if e.mtime else 0, e.size) for e in there if e.type == fs.FileType.File]
     return files, [e.base_name for e in there if e.type == fs.FileType.Directory]
+
+
+def dealt(rows: DataFrame, share: int = SHARE) -> DataFrame:
+    """Rows read from files, over all cores and no more than about `share` bytes a task; small enough pieces stay as they lie.
+
+    What a task makes of its rows, their words or lines, is many times as large
+    and is held in its memory, so tasks must not grow with the table.
+    """
+    spark, size = rows.sparkSession, 0
+    for name in rows.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    n = max(spark.sparkContext.defaultParallelism, -(-size // share))
+    return rows.repartition(n, F.xxhash64(*rows.columns)) if rows.rdd.getNumPartitions() < n else rows
