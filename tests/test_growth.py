@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import json
 import random
 
 from conftest import same_rows
 from weftline.functions import text as T
 from weftline.operators import tasks
 from weftline.plans.registry import oracle_sql, queries
-from weftline.sources import store
+from weftline.sources import files, store
 from weftline.sources.places import dealt
 
 
@@ -83,3 +84,19 @@ def test_words_are_cut_where_they_were(spark):
     texts = ["".join(pick.choice("aaBBbC1٣ǅʰ中é漢ß ́-_Σσ𝐀𝐚𝟙İ") for _ in range(pick.randint(0, 14))) for _ in range(3000)]
     rows = spark.createDataFrame([(x,) for x in texts], "t string")
     assert not rows.where(F.split("t", T.BREAK) != F.split("t", before)).count()
+
+
+def test_large_task_tables_are_written_in_parts(spark, tmp_path):
+    folder, t = str(tmp_path / "t"), spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("agent"))
+    read = lambda: sorted(int(r.id) for r in files.read_tasks(spark, folder).collect())
+    parts = lambda: sorted((tmp_path / "t" / ".parts").iterdir())
+    for n in (1000, 900, 800):
+        files.write_tasks(t.where(F.col("id").cast("int") < n), folder, most=50)
+        assert read() == list(range(n))
+    assert len(parts()) == 2  # the last and the one it replaced
+    assert all(len(json.loads(f.read_text())["tasks"]) <= 50 for p in parts() for f in p.glob("*.json"))
+    files.write_tasks(t.where(F.col("id").cast("int") < 10), folder, most=50)
+    assert read() == list(range(10)) and len(parts()) == 1
+    assert json.loads((tmp_path / "t" / "tasks.json").read_text())["tasks"][0] == {"id": "0", "agent": None}
+    files.write_tasks(t.limit(0), folder, most=50)
+    assert read() == []

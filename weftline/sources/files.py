@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,27 +103,61 @@ def text_of(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def _documents(spark: SparkSession, *paths: str) -> DataFrame:
+    fields = ", ".join(f.strip().replace(" ", ":", 1) for f in TASK.replace(chr(10), " ").split(", "))
+    return spark.read.schema(f"tasks array<struct<{fields}>>, parts string").option("multiLine", True).option("mode", "PERMISSIVE").json(list(paths))
+
+
+def _parts(documents: DataFrame) -> list[str]:
+    return [r[0] for r in documents.select("parts").where(F.col("parts").isNotNull()).collect()]
+
+
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks of {"tasks": [...]} files; a corrupt file gives none."""
-    raw = spark.read.schema(f"tasks array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in TASK.replace(chr(10), ' ').split(', '))}>>").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """Tasks of {"tasks": [...]} files, and of the documents in the folder that one names as its parts; a corrupt file gives none."""
+    raw = _documents(spark, path)
+    if parts := _parts(raw):
+        raw = raw.unionByName(_documents(spark, *[f"{path}/{x}" for x in parts]))
     return raw.where(F.col("tasks").isNotNull()).select(F.inline("tasks"))
 
 
-def write_tasks(tasks: DataFrame, path: str) -> None:
+def write_tasks(tasks: DataFrame, path: str, most: int = 10_000) -> None:
     """One {"tasks": [...]} document in the folder, in place of the one before, which a reader sees until this one is whole.
 
-    It is the form that a scheduler's table is handed over in, so it fits a row;
-    tables that several write to are kept in a store, see store.merge().
+    It is the form that a scheduler's table is handed over in. Of a table of more
+    than `most` tasks the document names a hidden folder of parts, documents of
+    at most so many, so that no row, task or file holds all of it. Older parts go,
+    but for those just replaced, which may still be read. Tables that several
+    write to are kept in a store, see store.merge().
     """
-    whole = tasks.agg(F.to_json(F.struct(F.collect_list(F.struct(*tasks.columns)).alias("tasks")), {"ignoreNullFields": "false"}).alias("j"))
+    spark = tasks.sparkSession
+    own = f".parts/{uuid.uuid4().hex}" if tasks.limit(most + 1).count() > most else None
+    fs, parent = store._fs(spark, f"{path}/.parts")
+    known = [s.getPath() for s in fs.listStatus(parent)] if fs.exists(parent) else []
+    before = {x.rsplit("/", 1)[-1] for x in _parts(_documents(spark, f"{path}/tasks.json"))} if known else set()
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                put(f"{path}/tasks.json", text.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+    def write(name: Callable[[int], str]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = 0
+            for batch in batches:
+                for lo in range(0, batch.num_rows, most):
+                    put(f"{path}/{name(n)}", ('{"tasks":[' + ",".join(batch.column(0).slice(lo, most).to_pylist()) + "]" + closing + "}").encode())
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+        return run
 
-    whole.mapInArrow(write, "n long").collect()
+    closing = ""
+    rows = tasks.select(F.to_json(F.struct(*tasks.columns), {"ignoreNullFields": "false"}).alias("j"))
+    if own:
+        # A task that runs twice writes the same names.
+        rows.mapInArrow(write(lambda n: f"{own}/{TaskContext.get().partitionId()}-{n}.json"), "n long").agg(F.sum("n")).collect()
+        rows, closing = spark.createDataFrame([("",)], "j string"), f',"parts":"{own}"'
+    else:
+        rows = rows.agg(F.array_join(F.collect_list("j"), ",").alias("j"))
+    rows.mapInArrow(write(lambda _: "tasks.json"), "n long").collect()
+    for old in known:
+        if old.getName() not in before:
+            fs.delete(old, True)
 
 
 def write_texts(texts: DataFrame, folder: str, path: str = "path", text: str = "text") -> int:
