@@ -49,13 +49,13 @@ def inverted_blocks(posted: DataFrame, size: int = 1024, key: str = "doc_id") ->
     A term with many ids is numbered in parts of its ids' hash range, each part
     by itself; the parts' blocks follow one another.
     """
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
     rows = posted.select("term", key).withColumn("_p", F.pmod(F.xxhash64(key), F.lit(PARTS)))
     own = Window.partitionBy("term", "_p").orderBy(key)
     rows = rows.withColumn("_b", F.floor((F.row_number().over(own) - 1) / size))
     blocks = rows.groupBy("term", "_p", "_b").agg(F.array_sort(F.collect_list(key)).alias("ids"))
-    blocks = blocks.withColumn("block", (F.row_number().over(Window.partitionBy("term").orderBy("_p", "_b")) - 1).cast("int"))
-    return blocks.join(df, "term").select("term", "block", "df", "ids")
+    block = (F.row_number().over(Window.partitionBy("term").orderBy("_p", "_b")) - 1).cast("int")
+    df = F.sum(F.size("ids")).over(Window.partitionBy("term"))  # of the blocks, so that postings are made and dealt out once
+    return blocks.select("term", block.alias("block"), df.alias("df"), "ids")
 
 
 def export_json(posted: DataFrame, path: str, size: int = 1024, key: str = "doc_id") -> None:
