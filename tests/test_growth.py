@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 import json
 import random
 
-from conftest import same_rows
+import pyarrow as pa
+from conftest import SF, same_rows
+from weftline.functions import inline
 from weftline.functions import text as T
 from weftline.operators import tasks
 from weftline.plans.registry import oracle_sql, queries
@@ -100,3 +102,13 @@ def test_large_task_tables_are_written_in_parts(spark, tmp_path):
     assert json.loads((tmp_path / "t" / "tasks.json").read_text())["tasks"][0] == {"id": "0", "agent": None}
     files.write_tasks(t.limit(0), folder, most=50)
     assert read() == []
+
+
+def test_files_of_code_go_to_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert all(queries()[name](spark, SF).rdd.getNumPartitions() >= cores for name in ("varied_python", "varied_go"))
+
+
+def test_spans_are_columns_of_numbers():
+    spans = inline._spans(pa.array(["a **b**", None, ""]))
+    assert isinstance(spans, pa.ListArray) and spans.to_pylist() == [[{"start": 4, "end": 5, "kind": "bold"}], None, []]

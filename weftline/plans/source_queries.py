@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import code
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, wide
 
 #: Items of a Python file by kind: {j} is its place, {call} a line that is repeated by the file's key.
 PYTHON = [
@@ -50,7 +50,7 @@ def _files(spark, sf, items: list[str], call: str, repeat, ending: str, head: st
         return F.replace(text, F.lit("{j}"), j.cast("string"))
 
     text = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("p_size") % 6).cast("int")), item), "")
-    return read(spark, sf, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(ending)).alias("path"), F.concat(F.when(k % 2 == 1, head).otherwise(""), text).alias("text"))
+    return wide(spark, sf, "part").select(F.concat(F.lit("src/p"), k.cast("string"), F.lit(ending)).alias("path"), F.concat(F.when(k % 2 == 1, head).otherwise(""), text).alias("text"))
 
 
 def _items_sql(sizes: list[str]) -> str:
