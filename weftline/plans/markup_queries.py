@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions.frontmatter import front_matter
 from weftline.functions.inline import inline_spans
 from weftline.operators import tools
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, read, wide
 
 
 def matter(key):
@@ -89,7 +89,7 @@ SELECT id, start::INT AS start, (start + length(w))::INT AS "end", kind FROM p W
 def inline_marks(spark, sf):
     """Every word of every message in marks of some kind, by its place."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"), lambda x: x != "")
-    rows = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("w"))
+    rows = wide(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("w"))
     side = lambda n: lambda i: F.get(F.array(*[F.lit(m[n]) for m in _MARKS]), ((F.col("id") + i + 1) % 12).cast("int"))
     text = F.array_join(F.transform("w", lambda x, i: F.concat(side(0)(i), x, side(1)(i))), " ")
     return rows.select("id", F.inline(inline_spans(text))).select("id", "start", "end", "kind")
