@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import chunking
-from weftline.plans.registry import query, read
+from weftline.plans.registry import query, read, wide
 
 _TRIM = "regexp_replace({}, '^[ \\t\\n\\x0b\\f\\r\\x{{85}}\\x{{a0}}]+|[ \\t\\n\\x0b\\f\\r\\x{{85}}\\x{{a0}}]+$', '', 'g')"
 _CHAPTER = "(regexp_matches({0}, '(?i)^(chapter|capítulo|lección|lesson|unit|unidad|parte)\\s+\\d+') OR (strlen({0}) > 10 AND regexp_matches({0}, '^[A-ZÁÉÍÓÚÜÑ\\s]{{4,}}$')))"
@@ -55,7 +55,7 @@ _APART = "replace(text, '.' || chr(10), '.' || chr(10) || chr(10))"
 
 
 def _spaced(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text"))
+    return wide(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text"))
 
 
 def _digest(rows, *columns):
