@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from weftline.streaming import buckets
 
 
 def admitted(times: list[float], recent: list[float], seconds: float = 54, limit: int = 3, pause: float = 60) -> tuple[list[float], list[float]]:
@@ -32,21 +30,13 @@ def admit(requests: DataFrame, by: str = "user_id", seconds: float = 54, limit:
     later than that behind the newest are left out, and what is known of a user
     goes once the watermark has passed all that it could hold up.
     """
-    schema, state_schema = f"{by} long, event_id long, at double, admitted double", "recent array<double>"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        recent = list(state.get[0]) if state.exists else []
-        got, recent = admitted(rows["at"].tolist(), recent, seconds, limit, pause)
-        state.update((recent,))
-        if lateness is not None:
-            state.setTimeoutTimestamp(max(int((recent[-1] + max(seconds, pause)) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({by: key[0], "event_id": rows["event_id"].to_numpy(), "at": rows["at"].to_numpy(), "admitted": got})
-
-    if lateness is None:
-        return requests.groupBy(by).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    timed = requests.withColumn("_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("_time", lateness)
-    return timed.groupBy(by).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def update(user: object, rows: list, recent: list[float] | None, out: list) -> tuple[list[float], int | None]:
+        got, recent = admitted([r.at for r in rows], recent or [], seconds, limit, pause)
+        out.extend((user, r.event_id, r.at, t) for r, t in zip(rows, got, strict=True))
+        return recent, None if lateness is None else int((recent[-1] + max(seconds, pause)) * 1000) + 1
+
+    rows = requests.select(by, "event_id", "at")
+    if lateness is not None:
+        rows = rows.withColumn("_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("_time", lateness)
+    return buckets.fold(rows, by, ["at", "event_id"], "event_id long, at double, admitted double", update, lambda *_: None, None if lateness is None else "event")
