@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.streaming import buckets
 from weftline.streaming.deltas import DELTA
 
 CALLS = "array<struct<index:int,id:string,name:string,arguments:string>>"
-STATE = "open string"
 
 
 @dataclass
@@ -51,12 +48,11 @@ class Message:
         completion = self.completion_tokens or len(self.content)
         return (key, self.first, self.last, "".join(self.content), "".join(self.reasoning) or None, json.dumps(calls), self.prompt_tokens, completion, self.total_tokens, self.cost, interrupted)
 
-    def dump(self) -> str:
-        return json.dumps(asdict(self))
+    def dump(self) -> dict:
+        return vars(self)
 
     @staticmethod
-    def load(text: str) -> Message:
-        x = json.loads(text)
+    def load(x: dict) -> Message:
         return Message(**{**x, "calls": {int(k): v for k, v in x["calls"].items()}})
 
 
@@ -100,44 +96,33 @@ def fold_stream(lines: DataFrame, by: str = "stream_id", order: str = "seq", lin
     event = clock == "event"
     if clock not in ("event", "processing"):
         raise ValueError("clock is event or processing")
-    key_type = lines.schema[by].dataType.simpleString()
     rows = parsed(lines.withWatermark(at, lateness) if event else lines, by, order, line, at)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        message = Message.load(state.get[0]) if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            out.append(message.out(key[0], True))
-            message = None
-        else:
-            for row in pd.concat(list(batches)).sort_values("line_order").itertuples():
-                now = row.line_micros / 1e6 if event else None
-                if message and event and now - message.at > seconds:
-                    out.append(message.out(key[0], True))
+    def update(key: object, rows: list, kept: dict | None, out: list) -> tuple[dict, int] | None:
+        message = Message.load(kept) if kept else None
+        for row in rows:
+            now = row.line_micros / 1e6 if event else None
+            if message and event and now - message.at > seconds:
+                out.append(message.out(key, True))
+                message = None
+            if row.is_data:
+                message = message or Message(int(row.line_order))
+                message.last = int(row.line_order)
+                if row.done:
+                    out.append(message.out(key, False))
                     message = None
-                if row.is_data:
-                    message = message or Message(int(row.line_order))
-                    message.last = int(row.line_order)
-                    if row.done:
-                        out.append(message.out(key[0], False))
-                        message = None
-                    else:
-                        message.add(row)
-                if message:
-                    message.at = now
+                else:
+                    message.add(row)
+            if message:
+                message.at = now
         if message:
-            state.update((message.dump(),))
-            if event:
-                state.setTimeoutTimestamp(max(int((message.at + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-            else:
-                state.setTimeoutDuration(max(1, int(seconds * 1000)))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[by, *OUT])
-
-    schema = f"`{by}` {key_type}, " + ", ".join(f"{k} {v}" for k, v in OUT.items())
-    timeout = GroupStateTimeout.EventTimeTimeout if event else GroupStateTimeout.ProcessingTimeTimeout
-    folded = rows.groupBy(by).applyInPandasWithState(step, schema, STATE, "append", timeout)
+            return message.dump(), int((message.at + seconds) * 1000) + 1 if event else int(seconds * 1000)
+        return None
+
+    def expire(key: object, kept: dict, out: list) -> None:
+        out.append(Message.load(kept).out(key, True))
+
+    folded = buckets.fold(rows, by, ["line_order"], ", ".join(f"{k} {v}" for k, v in OUT.items()), update, expire, clock)
     return folded.withColumn("calls", F.from_json("calls", CALLS))
 
 
