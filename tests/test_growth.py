@@ -11,7 +11,7 @@ import pyarrow as pa
 from conftest import SF, same_rows
 from weftline.functions import inline
 from weftline.functions import text as T
-from weftline.operators import tasks
+from weftline.operators import search, tasks
 from weftline.plans.registry import oracle_sql, queries
 from weftline.sources import files, store
 from weftline.sources.places import dealt
@@ -112,3 +112,32 @@ def test_files_of_code_go_to_all_cores(spark):
 def test_spans_are_columns_of_numbers():
     spans = inline._spans(pa.array(["a **b**", None, ""]))
     assert isinstance(spans, pa.ListArray) and spans.to_pylist() == [[{"start": 4, "end": 5, "kind": "bold"}], None, []]
+
+
+def test_terms_are_counted_as_they_are_cut(spark):
+    pick = random.Random(7)
+    texts = ["".join(pick.choice("aaesñéBBÑ1٣ǅʰ中漢ß ́-_ΣσİŁ½\n\U0001df00") for _ in range(pick.randint(0, 30))) for _ in range(3000)] + [None, "", "los las"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = rows.unionByName(spark.sql("SELECT -1L AS doc_id, cast(X'6162E163FF646566' AS string) AS text"))
+    counts = search.counted(rows)
+    assert "Exchange" not in plan(search.counted(spark.range(9).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))))
+    got = {r.doc_id: (r.num_tokens, dict(zip(r.terms.split(" ") if r.terms else [], r.tfs))) for r in counts.collect()}
+    want = {r.doc_id: r.t or [] for r in rows.select("doc_id", T.tokenize(F.col("text")).alias("t")).collect()}
+    assert got == {k: (len(v), {x: v.count(x) for x in v}) for k, v in want.items()}
+    # Beyond 16 bits Spark's expressions may cut within a letter; here they are whole, as in a query and in the SQL.
+    assert T.count_terms(pa.array(["ñ𝐀 a𝟙 𝐚𝐀𝐚 x"]))[1].to_pylist() == [T.tokenize_query("ñ𝐀 a𝟙 𝐚𝐀𝐚 x")] == [["𝐀", "𝟙", "𝐚", "𝐀𝐚"]]
+
+
+def test_a_saved_index_has_blocks_and_keeps_all_documents(spark, tmp_path):
+    """A term has a row a part and not a row a document; ids that stand several times or are missing count as in postings()."""
+    said = [(1, "alpha beta"), (2, "beta"), (2, "beta gamma"), (None, "beta"), (None, "delta"), (3, ""), (4, None)] + [(i, "beta omega") for i in range(10, 60)]
+    docs = spark.createDataFrame(said, "doc_id long, text string").coalesce(1)
+    for rows, name in ((docs, "a"), (docs.where("doc_id > 2"), "b"), (docs.limit(0), "c")):
+        path = f"{tmp_path}/{name}"
+        search.save(rows, path)
+        posted, sizes, _ = search.load(spark, path)
+        old = search.postings(rows)
+        order = lambda df: sorted(map(str, df.collect()))
+        assert order(posted) == order(old.select("term", "doc_id", "tf")) and order(sizes) == order(search.lengths(rows, old))
+    assert spark.read.parquet(f"{tmp_path}/b/postings").groupBy("term").count().where("count > 1").isEmpty()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,beta)]" in plan(search.load(spark, f"{tmp_path}/b")[0].where("term = 'beta'"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import html.entities
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,11 +130,69 @@ def tokenize_query(query: str) -> list[str]:
     return [w for w in map(stem_word, words) if w and w not in STOP_WORDS]
 
 
+_ENDS = [(n, frozenset(x for x in SUFFIXES if len(x) == n)) for n in sorted({len(x) for x in SUFFIXES}, reverse=True)]
+
+_LAST = {x[-1] for x in SUFFIXES}
+
+
 def stem_word(word: str) -> str:
     """stem() of one word."""
     size = len(word.encode())
-    fits = [x for x in SUFFIXES if size > 3 and word.endswith(x) and size - len(x) >= 2]
-    return word[: -len(max(fits, key=len))] if fits else word
+    if size > 3 and word[-1] in _LAST:
+        for n, ends in _ENDS:
+            if size - n >= 2 and word[-n:] in ends:
+                return word[:-n]
+    return word
+
+
+def countable(c: Column) -> Column:
+    """A text for count_terms(): what isn't ASCII and no letter or digit to Spark is a space, so that both know the same letters."""
+    c = F.make_valid_utf8(c)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.regexp_replace(c, r"[^\x00-\x7f\p{L}\p{Nd}]+", " "))
+
+
+class _Terms(dict):
+    """The tokens of runs of letters and digits, each run cut and stemmed when it is first seen; emptied when it is full."""
+
+    most, stops = 300_000, frozenset(STOP_WORDS)
+    #: Runs that have no place to be cut at: small letters, perhaps after a capital, or capitals.
+    plain = re.compile("[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+")
+    folded = str.maketrans(ACCENTED, PLAIN)
+
+    def __missing__(self, run: str) -> tuple[str, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        if self.plain.fullmatch(run):
+            word = (run if run.isascii() else run.translate(self.folded)).lower()
+            term = stem_word(word) if len(word.encode()) >= 2 and word not in self.stops else ""
+            terms = (term,) if term and term not in self.stops else ()
+        else:
+            terms = tuple(tokenize_query(run))
+        self[run] = terms
+        return terms
+
+
+_TERMS = _Terms()
+
+
+def count_terms(texts: pa.Array) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+    """(tokens, terms, tfs) of countable() texts: each one's number of tokens, its distinct ones and how often it has each; tokens are those of tokenize()."""
+    n = len(texts)
+    runs = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[\x00-/:-@\[-`{-\x7f]+")
+    seen = runs.flatten().dictionary_encode()
+    found = [_TERMS[x] for x in seen.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    words = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
+    numbers = words.indices.to_numpy()
+    # A run has no token, one or several, which stand together in numbers.
+    many = np.array([len(x) for x in found], "int64")
+    codes = seen.indices.to_numpy()
+    times, first = many[codes], (np.cumsum(many) - many)[codes]
+    place = np.arange(times.sum()) + np.repeat(first - np.cumsum(times) + times, times)
+    docs = np.repeat(np.repeat(np.arange(n), np.diff(runs.offsets.to_numpy())), times)
+    pairs, tfs = np.unique(docs * len(words.dictionary) + numbers[place], return_counts=True)
+    doc, word = np.divmod(pairs, max(1, len(words.dictionary)))
+    ends = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype("int32"))
+    return np.bincount(docs, minlength=n), pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(word))), pa.ListArray.from_arrays(ends, pa.array(tfs.astype("int32")))
 
 
 def expand_query(tokens: list[str], stem_keys: bool = False) -> list[str]:

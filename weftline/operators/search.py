@@ -2,15 +2,125 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
-from weftline.functions.text import bind, expand_query, token_rows, tokenize_query
+from weftline.functions.text import bind, count_terms, countable, expand_query, token_rows, tokenize_query
+from weftline.sources import store
 
 K1, B, VERSION = 1.5, 0.75, 5
+#: What a saved index's notes say of its tables' form, beside its version.
+FORM = [VERSION, "blocks"]
 MAX_TF = 65_535
 #: Parts that a term's ids are numbered in.
 PARTS = 16
+#: Documents that are counted at a time, and postings that are put in order at a time, in a task.
+COUNTED, INVERTED = 2_000, 1_000_000
+
+
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, num_tokens, terms, tfs): a row a document, with its distinct terms, joined by spaces, and how often it has each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, COUNTED):
+                part = batch.slice(lo, COUNTED)
+                sizes, terms, tfs = count_terms(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pc.binary_join(terms, " "), tfs], names=names)
+
+    names = [key, "num_tokens", "terms", "tfs"]
+    kinds = [docs.schema[key].dataType, t.LongType(), t.StringType(), t.ArrayType(t.IntegerType())]
+    return docs.select(key, countable(F.col(text)).alias("_text")).mapInArrow(run, t.StructType([t.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+
+
+def write_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes counted() of documents and gives it as read again.
+
+    Where several documents have one key, each has the tokens of all of them as
+    its number and no terms, and a row without a number has the terms.
+    """
+    spark, raw = docs.sparkSession, f"{path}-raw"
+    counted(docs, key, text).write.mode("overwrite").parquet(raw)
+    counts = spark.read.parquet(raw)
+    fs, old = store._fs(spark, raw)
+    several = counts.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), F.sum("num_tokens").alias("_sum")).where((F.col("_n") > 1) | F.col("_k").isNull())
+    if several.isEmpty():
+        new = store._fs(spark, path)[1]
+        fs.delete(new, True)
+        fs.rename(old, new)
+    else:
+        same = F.col(key).eqNullSafe(F.col("_k"))
+        rows = counts.join(several, same, "left")
+        alone = F.col("_n").isNull()
+        own = [F.when(alone, F.col("terms")).otherwise("").alias("terms"), F.when(alone, F.col("tfs")).otherwise(F.array().cast("array<int>")).alias("tfs")]
+        number = F.when(alone, F.col("num_tokens")).otherwise(F.when(F.col(key).isNull(), 0).otherwise(F.col("_sum")))
+        terms = counts.join(several, same, "left_semi").select(key, F.inline(F.arrays_zip(terms_of().alias("terms"), "tfs")).alias("term", "tf")).where(F.col("term") != "").groupBy(key, "term").agg(F.sum("tf").cast("int").alias("tf"))
+        pairs = terms.groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("p"))
+        joined = pairs.select(key, F.lit(None).cast("long").alias("num_tokens"), F.array_join("p.term", " ").alias("terms"), F.col("p.tf").alias("tfs"))
+        rows.select(key, number.alias("num_tokens"), *own).unionByName(joined).write.mode("overwrite").parquet(path)
+        fs.delete(old, True)
+    return spark.read.schema(counts.schema).parquet(path)
+
+
+def terms_of() -> Column:
+    """The terms of a row of write_counts()."""
+    return F.split("terms", " ")
+
+
+def sizes_of(counts: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., num_tokens) of every document of write_counts()."""
+    return counts.where(F.col("num_tokens").isNotNull()).select(*keep, "num_tokens")
+
+
+def inverted(counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(term, ids, tfs): counted() turned round, a term in as many rows as parts of the table have it; see flat()."""
+
+    def turned(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks().to_batches()
+        for batch in table:
+            ids, terms, tfs = batch.columns
+            terms = pc.split_pattern(terms, " ")
+            words = terms.flatten().dictionary_encode()
+            codes = words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(words.dictionary)))]).astype("int32")
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (ids.take(pa.array(rows[order])), tfs.flatten().take(pa.array(order)))]
+            out = pa.RecordBatch.from_arrays([words.dictionary, *lists], names=["term", "ids", "tfs"])
+            for lo in range(0, out.num_rows, 10_000):
+                yield out.slice(lo, 10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, COUNTED):
+                parts.append(batch.slice(lo, COUNTED))
+                n += len(parts[-1].column(2).flatten())
+                if n >= INVERTED:
+                    yield from turned(parts)
+                    parts, n = [], 0
+        if n:
+            yield from turned(parts)
+
+    schema = t.StructType([t.StructField("term", t.StringType()), t.StructField("ids", t.ArrayType(counts.schema[key].dataType)), t.StructField("tfs", t.ArrayType(t.IntegerType()))])
+    return counts.select(key, "terms", "tfs").where(F.col("terms") != "").mapInArrow(run, schema)
+
+
+def write_inverted(counts: DataFrame, path: str, key: str = "doc_id") -> None:
+    """Writes inverted() ranged by term, so that a search reads few row groups."""
+    inverted(counts, key).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def flat(blocks: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
+    """(term, keep..., key, tf) of inverted(), a row a posting; a filter on terms reaches the blocks' scan."""
+    rows = blocks.select("term", *keep, F.inline(F.arrays_zip("ids", "tfs")).alias(key, "tf"))
+    return rows.withColumn("tf", F.col("tf").cast("long"))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,20 +291,19 @@ def snippet(text: Column, tokens: list[str], context: int = 5) -> Column:
 
 
 def save(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Writes postings, sizes and stats; postings are ranged by term, so a search reads few row groups."""
-    posted = postings(docs, key, text)
-    posted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    sizes = lengths(docs, docs.sparkSession.read.parquet(f"{path}/postings"), key)
-    sizes.write.mode("overwrite").parquet(f"{path}/sizes")
-    corpus_stats(docs.sparkSession.read.parquet(f"{path}/sizes")).write.mode("overwrite").parquet(f"{path}/stats")
+    """Writes sizes with each document's terms, postings in blocks, and stats."""
+    counts = write_counts(docs, f"{path}/sizes", key, text)
+    write_inverted(counts, f"{path}/postings", key)
+    corpus_stats(sizes_of(counts)).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, sizes, stats) of a saved index; refuses another version."""
-    stats = spark.read.parquet(f"{path}/stats")
-    if stats.first()["version"] != VERSION:
+    stats, blocks = spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/postings")
+    if stats.first()["version"] != VERSION or "ids" not in blocks.columns:
         raise ValueError("the index has another version; build it again")
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/sizes"), stats
+    counts = spark.read.parquet(f"{path}/sizes")
+    return flat(blocks, counts.columns[0]), sizes_of(counts, counts.columns[0]), stats
 
 
 def manifest_diff(current: DataFrame, old: DataFrame, path: str = "path", mtime: str = "mtime") -> DataFrame:
