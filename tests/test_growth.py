@@ -11,7 +11,7 @@ import pyarrow as pa
 from conftest import SF, same_rows
 from weftline.functions import inline
 from weftline.functions import text as T
-from weftline.operators import search, tasks
+from weftline.operators import search, segments, tasks
 from weftline.plans.registry import oracle_sql, queries
 from weftline.sources import files, store
 from weftline.sources.places import dealt
@@ -141,3 +141,21 @@ def test_a_saved_index_has_blocks_and_keeps_all_documents(spark, tmp_path):
         assert order(posted) == order(old.select("term", "doc_id", "tf")) and order(sizes) == order(search.lengths(rows, old))
     assert spark.read.parquet(f"{tmp_path}/b/postings").groupBy("term").count().where("count > 1").isEmpty()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,beta)]" in plan(search.load(spark, f"{tmp_path}/b")[0].where("term = 'beta'"))
+
+
+def test_what_a_refresh_takes_out_is_counted_by_chunks(spark, tmp_path, monkeypatch):
+    """No refresh and no merge reads or joins the old segments' postings; the merged index has the counts of a full one."""
+    read, seen = segments._tables, []
+    monkeypatch.setattr(segments, "_tables", lambda s, folder, name, parts: (seen.append(name), read(s, folder, name, parts))[1])
+    whole = lambda f: f.select("path", F.lit(1).alias("start"), F.lit(1).alias("end"), F.lit("t").alias("type"), F.lit("").alias("name"), "text")
+    folder = f"{tmp_path}/i"
+    for at in (1, 2):
+        files = spark.range(30).select(F.concat(F.lit("f"), "id").alias("path"), F.when(F.col("id") % 3 == 0, at).otherwise(1).cast("long").alias("mtime"), F.concat(F.lit("common w"), "id", F.lit("x"), F.when(F.col("id") % 3 == 0, f" round{at}").otherwise("")).alias("text")).where(f"id < 30 - {at}")
+        segments.refresh(spark, folder, files.select("path", "mtime"), lambda w, f=files: f.join(w, "path", "left_semi"), whole)
+    df = lambda: {r.term: r.df for r in read(spark, folder, "terms", segments.store.notes(spark, folder)["segments"]).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").collect()}
+    want = {r.term: r.df for r in search.postings(files, "path").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    before = df()
+    name = segments.compact(spark, folder)
+    assert before == df() == want and "postings" not in seen
+    posted = search.flat(read(spark, folder, "postings", [name]), "id")
+    assert {r.term: r.n for r in posted.groupBy("term").agg(F.count("*").alias("n")).collect()} == want

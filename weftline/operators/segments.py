@@ -14,7 +14,7 @@ from weftline.sources import store
 from weftline.sources.files import listed, sized, text_of, with_content
 from weftline.sources.places import dealt
 
-#: Each segment has these tables; chunks have the columns of chunk_code() and an id.
+#: Each segment has these tables; chunks have the columns of chunk_code() and an id, sizes a chunk's terms too, so that what goes is counted by chunks.
 TABLES = ("chunks", "postings", "sizes", "terms", "dropped")
 
 
@@ -39,20 +39,22 @@ def live_files(spark: SparkSession, folder: str) -> DataFrame:
     return store.read(spark, folder)
 
 
+def _numbers(sizes: DataFrame) -> tuple[int, int]:
+    """Numbers of chunks and tokens."""
+    return tuple(search.sizes_of(sizes).agg(F.count("*"), F.coalesce(F.sum("num_tokens"), F.lit(0))).first())
+
+
 def _write_segment(chunks: DataFrame, folder: str, segment: str, removed: DataFrame | None) -> tuple[int, int]:
     """Writes a segment of chunks that also takes removed (id, segment) out of the others; gives what it adds to chunk and token numbers."""
     spark = chunks.sparkSession
     at = lambda name: f"{folder}/{name}/segment={segment}"
     chunks.write.parquet(at("chunks"))
     chunks = spark.read.schema(chunks.schema).parquet(at("chunks"))
-    posted = search.postings(dealt(chunks.select("id", "text")), "id")
-    posted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(at("postings"))
-    posted = spark.read.schema(posted.schema).parquet(at("postings"))
-    sizes = search.lengths(chunks, posted, "id")
-    sizes.write.parquet(at("sizes"))
-    sizes = spark.read.schema(sizes.schema).parquet(at("sizes"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    counts = sizes.agg(F.count("*"), F.coalesce(F.sum("num_tokens"), F.lit(0))).first()
+    sizes = search.write_counts(dealt(chunks.select("id", "text")), at("sizes"), "id")
+    search.write_inverted(sizes, at("postings"), "id")
+    posted = spark.read.schema("term string, ids array<long>").parquet(at("postings"))
+    df = posted.select("term", F.size("ids").cast("long").alias("df"))
+    counts = _numbers(sizes)
     n, total = counts[0], counts[1]
     if removed is None:
         removed = spark.createDataFrame([], "id long, in_segment string")
@@ -60,13 +62,13 @@ def _write_segment(chunks: DataFrame, folder: str, segment: str, removed: DataFr
     removed = spark.read.schema("id long, in_segment string").parquet(at("dropped"))
     old = [r[0] for r in removed.select("in_segment").distinct().collect()]
     if old:
-        # What goes is counted off: the old segments' postings and sizes of the removed chunks, nothing else of them.
+        # What goes is counted off: the terms and sizes of the removed chunks, nothing else of the old segments.
         gone = removed.withColumnRenamed("in_segment", "segment")
-        lost = _tables(spark, folder, "postings", old).join(gone, ["id", "segment"], "left_semi")
-        df = df.unionByName(lost.groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
-        counts = _tables(spark, folder, "sizes", old).join(gone, ["id", "segment"], "left_semi").agg(F.count("*"), F.coalesce(F.sum("num_tokens"), F.lit(0))).first()
+        lost = _tables(spark, folder, "sizes", old).join(gone, ["id", "segment"], "left_semi")
+        df = df.unionByName(lost.where(F.col("terms") != "").select(F.explode(search.terms_of()).alias("term"), F.lit(-1).cast("long").alias("df")))
+        counts = _numbers(lost)
         n, total = n - counts[0], total - counts[1]
-    df.where(F.col("df") != 0).repartitionByRange("term").sortWithinPartitions("term").write.parquet(at("terms"))
+    df.groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") != 0).repartitionByRange("term").sortWithinPartitions("term").write.parquet(at("terms"))
     return n, total
 
 
@@ -87,7 +89,7 @@ def refresh(spark: SparkSession, folder: str, current: DataFrame, fetch: Callabl
     """
     base = (store.versions(spark, folder) or [0])[-1]
     known = store.notes(spark, folder, base) if base else {}
-    if known and known["version"] != search.VERSION:
+    if known and known["version"] != search.FORM:
         raise ValueError("the index has another version; build it again")
     old = store.read(spark, folder, base) if base else spark.createDataFrame([], "path string, mtime long, segment string")
     segment = uuid.uuid4().hex
@@ -107,7 +109,7 @@ def refresh(spark: SparkSession, folder: str, current: DataFrame, fetch: Callabl
     n, total = _write_segment(chunks, folder, segment, removed)
     fresh = current.join(diff.where(F.col("state").isin("new", "changed")), "path", "left_semi").select("path", F.col("mtime").cast("long").alias("mtime"), F.lit(segment).alias("segment"))
     kept = old.join(diff.where(F.col("state") == "unchanged"), "path", "left_semi")
-    notes = {"version": search.VERSION, "segments": [*known.get("segments", []), segment], "n": known.get("n", 0) + n, "total": known.get("total", 0) + total}
+    notes = {"version": search.FORM, "segments": [*known.get("segments", []), segment], "n": known.get("n", 0) + n, "total": known.get("total", 0) + total}
     store.commit(spark, folder, kept.unionByName(fresh), base, notes)
     return out
 
@@ -124,9 +126,10 @@ def found(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:
     terms, segments = sorted(set(terms)), notes["segments"]
     of = lambda df: df.where(F.col("term").isin(terms)) if terms else df.limit(0)
     dropped = _tables(spark, folder, "dropped", segments).select("id", F.col("in_segment").alias("segment"))
-    posted = of(_tables(spark, folder, "postings", segments)).join(dropped, ["id", "segment"], "left_anti")
+    posted = of(search.flat(_tables(spark, folder, "postings", segments), "id", "segment")).join(dropped, ["id", "segment"], "left_anti")
     df = of(_tables(spark, folder, "terms", segments)).groupBy("term").agg(F.sum("df").alias("df"))
-    rows = posted.join(F.broadcast(df), "term").join(_tables(spark, folder, "sizes", segments), ["id", "segment"])
+    sizes = search.sizes_of(_tables(spark, folder, "sizes", segments), "id", "segment")
+    rows = posted.join(F.broadcast(df), "term").join(sizes, ["id", "segment"])
     tf = F.least(F.col("tf"), F.lit(search.MAX_TF))
     avgdl = notes["total"] / max(1, notes["n"])
     part = search.idf(F.lit(notes["n"]), F.col("df")) * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * F.col("num_tokens") / F.lit(float(avgdl))))
@@ -150,7 +153,7 @@ def compact(spark: SparkSession, folder: str) -> str:
     at = lambda name: f"{folder}/{name}/segment={segment}"
     live(spark, folder, "chunks", segments).drop("segment").write.parquet(at("chunks"))
     live(spark, folder, "sizes", segments).drop("segment").write.parquet(at("sizes"))
-    live(spark, folder, "postings", segments).drop("segment").repartitionByRange("term").sortWithinPartitions("term").write.parquet(at("postings"))
+    search.write_inverted(spark.read.parquet(at("sizes")), at("postings"), "id")
     df = _tables(spark, folder, "terms", segments).groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") != 0)
     df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(at("terms"))
     spark.createDataFrame([], "id long, in_segment string").write.parquet(at("dropped"))
