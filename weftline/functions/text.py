@@ -219,8 +219,8 @@ def detect_language(path: Column) -> Column:
 SPACE = r"[ \t\n\x0b\f\r\x{85}\x{a0}]"
 
 
-def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+def trimmed(c: Column, space: str = SPACE) -> Column:
+    return F.regexp_replace(c, rf"^{space}+|{space}+\z", "")
 
 
 CHAPTER = r"(?i)^(chapter|capítulo|lección|lesson|unit|unidad|parte)\s+\d+"
@@ -310,23 +310,31 @@ def _decoded(ref: Column) -> Column:
     return F.when(body.isin("amp", "lt", "gt", "quot", "nbsp") & ref.endswith(";"), F.translate(F.left(body, F.lit(1)), "algqn", '&<>"\u00a0')).when(number.isNotNull(), numbered).otherwise(F.coalesce(named, *begun, ref))
 
 
-def unescape(c: Column) -> Column:
-    """Decodes named and numbered character references as HTML does."""
+def unescape(c: Column, only: list[tuple[str, str]] | None = None) -> Column:
+    """Decodes named and numbered character references as HTML does.
+
+    With only, nothing but these is decoded, one after the other.
+    """
+    if only is not None:
+        for ref, char in only:
+            c = F.replace(c, F.lit(ref), F.lit(char))
+        return c
     gaps, refs = F.split(c, REFERENCE, -1), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
     decoded = F.array_join(F.zip_with(gaps, F.transform(refs, _decoded), lambda g, d: F.concat(g, F.coalesce(d, F.lit("")))), "")
     return F.when(c.contains("&"), decoded).otherwise(c)
 
 
-def html_to_text(html: Column, min_line: int = 0) -> Column:
+def html_to_text(html: Column, min_line: int = 0, only: list[tuple[str, str]] | None = None, space: str = SPACE) -> Column:
     """Lines of text without scripts, styles, navigation, footers, headers and tags.
 
-    With min_line only longer lines stay, or all if none is longer.
+    With min_line only longer lines stay, or all if none is longer; only is that of unescape(), and lines lose `space` at both ends.
     """
     c = html
-    for tag in ("script", "style", "nav", "footer", "header"):
+    # Without regard to case, as Unicode has it: the long s is one, too.
+    for tag in ("[s\u017f]cript", "[s\u017f]tyle", "nav", "footer", "header"):
         c = F.regexp_replace(c, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
-    c = F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]+>", "\n")), r"[ \t]+", " ")
-    lines = F.filter(F.transform(F.split(c, "\n"), trimmed), lambda x: x != "")
+    c = F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]+>", "\n"), only), r"[ \t]+", " ")
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: trimmed(x, space)), lambda x: x != "")
     if min_line:
         long = F.filter(lines, lambda x: F.length(x) > min_line)
         lines = F.when(F.size(long) > 0, long).otherwise(lines)
