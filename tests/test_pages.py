@@ -18,9 +18,9 @@ SAID = [f"<p>{a}{r}{b}</p>" for r, a, b in itertools.product(REFERENCES, AROUND,
 
 @pytest.fixture(scope="module")
 def pages(spark, tmp_path_factory):
-    """The folder of a table in which every text stands alone and in a page of long lines."""
+    """The folder of a table in which every text stands alone and at the end of long lines."""
     folder = str(tmp_path_factory.mktemp("pages"))
-    long = [f"<nav>n</nav>{s}<p>{'many words ' * 9}</p>{s}{'x' * n}<p>{s}</p>" for n, s in zip(itertools.cycle((30, 41, 90, 2900, 3001, 3900, 4001)), SAID) if s]
+    long = [f"<nav>n</nav>{s}<p>{'many words ' * 9}{s[3:]}{'x' * n}{s[3:]}" for n, s in zip(itertools.cycle((30, 41, 90, 2900, 3001, 3900, 4001)), SAID) if s]
     rows = [(i, f"https://a.example/{i % 50}", s) for i, s in enumerate(SAID + long)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return folder
@@ -36,6 +36,10 @@ def test_html_to_text_decodes_and_strips_what_its_sql_does(spark, duck, pages):
     same(spark, duck, pages, "html_to_text")
 
 
+def test_page_text_is_cut_as_by_its_sql(spark, duck, pages):
+    same(spark, duck, pages, "page_text")
+
+
 def test_all_references_are_decoded_without_a_list(spark):
     said = "<p>a &quot b &copy; &amp;lt; &amp &eacute; c </p>"
     row = spark.createDataFrame([(said,)], "s string").select(T.html_to_text(F.col("s")).alias("all"), T.html_to_text(F.col("s"), only=[("&amp;", "&")]).alias("one")).first()

@@ -335,20 +335,25 @@ def html_to_text(html: Column, min_line: int = 0, only: list[tuple[str, str]] |
         c = F.regexp_replace(c, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
     c = F.regexp_replace(unescape(F.regexp_replace(c, "<[^>]+>", "\n"), only), r"[ \t]+", " ")
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: trimmed(x, space)), lambda x: x != "")
-    if min_line:
+
+    def longer(lines: Column) -> Column:
         long = F.filter(lines, lambda x: F.length(x) > min_line)
-        lines = F.when(F.size(long) > 0, long).otherwise(lines)
-    return F.array_join(lines, "\n")
+        return F.when(F.size(long) > 0, long).otherwise(lines)
+
+    return F.array_join(bind(lines, longer) if min_line else lines, "\n")
 
 
 def truncate(c: Column, limit: int = 32_000) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("\n... (truncated, "), F.length(c).cast("string"), F.lit(" total chars)"))).otherwise(c)
 
 
-def page_text(html: Column, max_chars: int = 4000) -> Column:
-    """The text of a page's longer lines, cut, or null if there is hardly any."""
-    text = html_to_text(html, 40)
-    return F.when(F.length(text) > 100, F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("\n... (truncated)"))).otherwise(text))
+def page_text(html: Column, max_chars: int = 4000, only: list[tuple[str, str]] | None = None, space: str = SPACE) -> Column:
+    """The text of a page's longer lines, cut, or null if there is hardly any; only and space are those of html_to_text()."""
+
+    def cut(text: Column) -> Column:
+        return F.when(F.length(text) > 100, F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("\n... (truncated)"))).otherwise(text))
+
+    return bind(html_to_text(html, 40, only, space), cut)
 
 
 def unwrap_redirect(url: Column) -> Column:
