@@ -40,6 +40,15 @@ def test_page_text_is_cut_as_by_its_sql(spark, duck, pages):
     same(spark, duck, pages, "page_text")
 
 
+def test_results_hold_pages_as_their_sql_has_them(spark, duck, pages, tmp_path):
+    same(spark, duck, pages, "web_results")
+    # Ids with gaps: several searches have one page as their first result.
+    spark.read.parquet(f"{pages}/pages.parquet").where("page_id > 700").withColumn("page_id", F.expr("3 * (page_id - 701) - page_id % 2")).write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries()["web_results"](spark, str(tmp_path)).where("pos = 0 AND page IS NOT NULL")
+    assert found.count() > found.select("page").distinct().count() > 0
+    same(spark, duck, str(tmp_path), "web_results")
+
+
 def test_all_references_are_decoded_without_a_list(spark):
     said = "<p>a &quot b &copy; &amp;lt; &amp &eacute; c </p>"
     row = spark.createDataFrame([(said,)], "s string").select(T.html_to_text(F.col("s")).alias("all"), T.html_to_text(F.col("s"), only=[("&amp;", "&")]).alias("one")).first()

@@ -381,11 +381,13 @@ def with_pages(results: DataFrame, pages: DataFrame, by: str, order: str, first:
 
     pages with the column `by` are those that each search has fetched, so two
     searches may know an address with different texts; without it they are known
-    to all. Of an address that stands more than once the page with the smallest
-    text is taken: a result stays one row.
+    to all. They hold html, or a page whose text is made already. Of an address
+    that stands more than once the page with the smallest text is taken: a result
+    stays one row.
     """
     own = [by] if by in pages.columns else []
-    known = pages.select(*[F.col(c).alias("_by") for c in own], F.col("url").alias("_u"), page_text(F.col("html"), max_chars).alias("page"))
+    text = F.col("page") if "page" in pages.columns else page_text(F.col("html"), max_chars)
+    known = pages.select(*[F.col(c).alias("_by") for c in own], F.col("url").alias("_u"), text.alias("page"))
     known = known.groupBy(*["_by" for _ in own], "_u").agg(F.min("page").alias("page"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
     rows = results.withColumn("_at", F.when(rank <= first, F.col("url")))
